@@ -58,10 +58,15 @@ TOKENS = {
 
 def _filled(token: Column) -> Column:
     is_comment = token.startswith("#") | token.startswith("//") | token.startswith("/*")
+    one_line = ~token.contains("\n")
+    rest = token.substr(F.lit(2), F.length(token))
     # A string keeps its first character: a line that *starts* with the string
     # filler is therefore the inside of a literal, never the start of a statement.
-    return F.when(is_comment, F.regexp_replace(token, r"[^\n]", COMMENT_FILL)).otherwise(
-        F.concat(F.substring(token, 1, 1), F.regexp_replace(token.substr(F.lit(2), F.length(token)), r"[^\n]", STRING_FILL))
+    return (
+        F.when(is_comment & one_line, F.repeat(F.lit(COMMENT_FILL), F.length(token)))
+        .when(is_comment, F.regexp_replace(token, r"[^\n]", COMMENT_FILL))
+        .when(one_line, F.concat(token.substr(1, 1), F.repeat(F.lit(STRING_FILL), F.length(token) - 1)))
+        .otherwise(F.concat(token.substr(1, 1), F.regexp_replace(rest, r"[^\n]", STRING_FILL)))
     )
 
 
@@ -74,29 +79,46 @@ def masked_as(text: Column, language: str) -> Column:
 
 
 def masked(text: Column, language: Column) -> Column:
-    """Mask ``text`` by the rules of its language; one compiled expression per language."""
+    """Mask ``text`` by the rules of its language; one compiled expression per language.
+
+    Carriage returns and form feeds become blanks, so lines only hold blanks and tabs.
+    """
     chain = None
     for name in TOKENS:
         chain = (F.when if chain is None else chain.when)(language == name, masked_as(text, name))
-    return chain
+    return F.replace(F.replace(chain, F.lit("\r"), F.lit(" ")), F.lit("\f"), F.lit(" "))
+
+
+def right_trimmed(line: Column) -> Column:
+    """Without trailing blanks and tabs; the general trim only where a tab asks for it."""
+    return F.when(line.endswith("\t"), F.rtrim(line, F.lit(BLANKS))).otherwise(F.rtrim(line))
 
 
 def uncommented(mask: Column) -> Column:
     """Masked text with comments as blanks and no trailing white space."""
-    return F.rtrim(F.translate(mask, COMMENT_FILL, " "), F.lit(BLANKS))
+    return right_trimmed(F.replace(mask, F.lit(COMMENT_FILL), F.lit(" ")))
+
+
+def _count(code: Column, characters: str) -> Column:
+    left = F.length(code) * len(characters)
+    for character in characters:
+        left = left - F.length(F.replace(code, F.lit(character), F.lit("")))
+    return left
 
 
 def bracket_change(code: Column) -> Column:
     """Opening minus closing brackets."""
-    return F.length(F.translate(code, ")]}", "")) - F.length(F.translate(code, "([{", ""))
+    return _count(code, "([{") - _count(code, ")]}")
+
+
+def lead_length(code: Column) -> Column:
+    """Number of leading white space characters."""
+    general = F.length(code) - F.length(F.ltrim(code, F.lit(BLANKS)))
+    return F.when(code.contains("\t"), general).otherwise(F.length(code) - F.length(F.ltrim(code)))
 
 
 def indent_width(mask: Column) -> Column:
     """Width of the leading white space; a tab counts eight columns."""
     lead = lead_length(mask)
-    tabs = lead - F.length(F.translate(mask.substr(F.lit(1), lead), "\t", ""))
-    return lead + tabs * 7
-
-
-def lead_length(code: Column) -> Column:
-    return F.length(code) - F.length(F.ltrim(code, F.lit(BLANKS)))
+    tabs = _count(mask.substr(F.lit(1), lead), "\t")
+    return F.when(mask.contains("\t"), lead + tabs * 7).otherwise(lead)

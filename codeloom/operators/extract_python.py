@@ -8,7 +8,8 @@ around a function is the last class that was opened at the current nesting depth
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ _HEADER_WITH_BODY = (
 _STEP = 1 << 32
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is evaluated once however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def is_compound(code: Column) -> Column:
+    """Lines that hold more than one statement."""
+    return code.contains(";") | (code.contains(":") & ~code.endswith(":") & code.rlike(_HEADER_WITH_BODY))
+
+
 def pieces(code: Column) -> Column:
     """Statements of one line: split at ``;`` and behind the colon of a one-line header.
 
@@ -62,15 +73,11 @@ def pieces(code: Column) -> Column:
                     F.slice(parts, F.lit(1), i), F.lit(0), lambda total, earlier: total + F.length(earlier) + 1
                 )
             ).alias("off"),
-            part.alias("code"),
+            lexis.right_trimmed(part).alias("code"),
         ),
     )
-    whole = F.array(F.struct(F.lit(0).alias("off"), code.alias("code")))
-    head = F.when(
-        header > 0, F.array(F.struct(F.lit(0).alias("off"), code.substr(F.lit(1), header).alias("code")))
-    ).otherwise(F.slice(whole, 1, 0))
-    several = F.concat(head, tail)
-    return F.when(code.contains(";") | code.rlike(_HEADER_WITH_BODY), several).otherwise(whole)
+    head = F.array(F.struct(F.lit(0).alias("off"), code.substr(F.lit(1), header).alias("code")))
+    return F.filter(F.concat(head, tail), lambda piece: piece["code"] != "")
 
 
 def assignments(code: Column, mode: str) -> Column:
@@ -79,150 +86,181 @@ def assignments(code: Column, mode: str) -> Column:
     In ``effective`` mode a right side that is a plain name gives the name, and the
     outer part of a chain ``a = b = 1`` takes the inner assignment as its content.
     """
-    lead = lexis.lead_length(code)
-    prefix = F.regexp_extract(code, rf"^\s*(?:{_ASSIGN})++", 0)
-    heads = F.regexp_extract_all(prefix.substr(lead + 1, F.length(prefix)), F.lit(_ASSIGN), F.lit(0))
-    rest = code.substr(F.length(prefix) + 1, F.length(code))
     keywords = [F.lit(word) for word in KEYWORDS]
-    right_is_name = rest.rlike(rf"^{NAME}\z") & ~rest.isin(*keywords)
-    starts = F.transform(
-        heads,
-        lambda head, i: F.aggregate(F.slice(heads, F.lit(1), i), lead, lambda total, earlier: total + F.length(earlier)),
-    )
 
-    def describe(head: Column, i: Column) -> Column:
-        last = i == F.size(heads) - 1
-        left = F.regexp_extract(head, rf"^({NAME})\s*(?::.*)?=\s*\z", 1)
-        name, at = left, starts[i]
-        if mode == "effective":
-            name = F.when(last & right_is_name & (left != ""), rest).otherwise(left)
-            at = F.when(last, starts[i]).otherwise(starts[i + 1])
-        return F.struct(
-            F.lit("variables").alias("chunk_type"),
-            F.lit("assignment").alias("style"),
-            F.when(left.isin(*keywords), "").otherwise(name).alias("name"),
-            (at + 1).alias("col"),
-        )
+    def rows(prefix: Column) -> Column:
+        lead = lexis.lead_length(code)
+        rest = code.substr(F.length(prefix) + 1, F.length(code))
+        heads = F.regexp_extract_all(prefix.substr(lead + 1, F.length(prefix)), F.lit(_ASSIGN), F.lit(0))
 
-    found = F.filter(F.transform(heads, describe), lambda row: row["name"] != "")
-    nothing = F.slice(F.array(F.struct(F.lit("").alias("chunk_type"), F.lit("").alias("style"), F.lit("").alias("name"), F.lit(0).alias("col"))), 1, 0)
-    return F.when(code.contains("="), found).otherwise(nothing)
+        def describe(head: Column, i: Column) -> Column:
+            left = F.regexp_extract(head, rf"^({NAME})\s*(?::.*)?=\s*\z", 1)
+            at = F.aggregate(F.slice(heads, F.lit(1), i), lead, lambda total, earlier: total + F.length(earlier))
+            name = left
+            if mode == "effective":
+                last = i == F.size(heads) - 1
+                right_is_name = rest.rlike(rf"^{NAME}\z") & ~rest.isin(*keywords)
+                name = F.when(last & (left != "") & right_is_name, rest).otherwise(left)
+                at = F.when(last, at).otherwise(at + F.length(head))
+            return F.struct(
+                F.lit("variables").alias("chunk_type"),
+                F.lit("assignment").alias("style"),
+                F.when(left.isin(*keywords), "").otherwise(name).alias("name"),
+                (at + 1).alias("col"),
+            )
+
+        return F.filter(F.transform(heads, describe), lambda row: row["name"] != "")
+
+    nothing = F.slice(
+        F.array(
+            F.struct(
+                F.lit("").alias("chunk_type"), F.lit("").alias("style"), F.lit("").alias("name"), F.lit(0).alias("col")
+            )
+        ),
+        1,
+        0,
+    )
+    prefix = F.regexp_extract(code, rf"^\s*(?:{_ASSIGN})++", 0)
+    return F.when(code.contains("="), bound(prefix, rows)).otherwise(nothing)
 
 
 def statements(partitioned: DataFrame) -> DataFrame:
-    """Statement starts and comment lines of Python files, in file order.
+    """Statement lines and comment lines of Python files, in file order.
 
-    Columns: path, language, ln, off, code, ind, is_start, eff (indent that counts for
-    closing blocks), seen/coded (line and last column of the row before, with and
-    without comment rows).
+    Columns: path, language, ln, code, ind, is_start, next_ind, eff and prev_eff (the
+    indent that counts for closing blocks), seen and coded (line and last column of the
+    row before, with and without comment rows), next_seen and next_coded (where this
+    statement ends).
     """
-    lines = masked_lines(partitioned)
-    rows = lines.select(
+    code = F.col("code")
+    at_end = code == lexis.END_OF_FILE
+    order = Window.partitionBy("path").orderBy("ln")
+    rows = masked_lines(partitioned).select(
         "path",
         "language",
         "ln",
-        lexis.indent_width(F.col("mask")).alias("ind"),
-        F.length("mask").alias("full_end"),
-        F.length("code").alias("code_end"),
-        F.explode(pieces(F.col("code"))).alias("piece"),
+        "code",
+        F.when(at_end, F.lit(-1)).otherwise(lexis.indent_width(F.col("mask"))).alias("ind"),
+        lexis.bracket_change(code).alias("change"),
+        F.struct("ln", F.length("mask").alias("end")).alias("mine"),
+        F.when(code != "", F.struct("ln", F.length("code").alias("end"))).alias("mine_coded"),
     )
     rows = rows.select(
         "path",
         "language",
         "ln",
+        "code",
         "ind",
-        F.col("piece.off").alias("off"),
-        F.rtrim(F.col("piece.code"), F.lit(lexis.BLANKS)).alias("code"),
-        "full_end",
-        "code_end",
-    ).where((F.col("code") != "") | (F.col("code_end") == 0))
-
-    order = Window.partitionBy("path").orderBy("ln", "off")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    at_end = F.col("code") == lexis.END_OF_FILE
-    is_code = F.col("code") != ""
-    last_of_line = (F.col("off") + F.length("code")) >= F.col("code_end")
-    rows = (
-        rows.withColumn("depth", F.coalesce(F.sum(lexis.bracket_change(F.col("code"))).over(before), F.lit(0)))
-        .withColumn("joined", F.coalesce(F.lag(F.col("code").endswith("\\")).over(order), F.lit(False)))
-        .withColumn(
-            "mine",
-            F.struct("ln", F.when(last_of_line, F.col("full_end")).otherwise(F.col("off") + F.length("code")).alias("end")),
-        )
-        .withColumn("mine_code", F.when(is_code, F.struct("ln", (F.col("off") + F.length("code")).alias("end"))))
-        .withColumn("seen", F.lag("mine").over(order))
-        .withColumn("coded", F.expr("lag(mine_code) ignore nulls over (partition by path order by ln, off)"))
+        (F.sum("change").over(order) - F.col("change")).alias("depth"),
+        F.lag(code.endswith("\\"), 1, False).over(order).alias("joined"),
+        F.lag("mine").over(order).alias("seen"),
+        F.expr("lag(mine_coded) ignore nulls over (partition by path order by ln)").alias("coded"),
     )
     free = (F.col("depth") <= 0) & ~F.col("joined")
-    is_start = at_end | (is_code & free & ~F.col("code").startswith(lexis.STRING_FILL))
-    is_note = ~is_code & free
-    rows = (
-        rows.withColumn("is_start", is_start)
-        .where(is_start | is_note)
-        .withColumn("ind", F.when(at_end, F.lit(-1)).otherwise(F.col("ind")))
-    )
+    is_start = at_end | ((code != "") & free & ~code.startswith(lexis.STRING_FILL))
+    is_note = (code == "") & free
+    rows = rows.withColumn("is_start", is_start).where(F.col("is_start") | is_note)
 
     # A comment row closes a block only if no later statement reopens it, and only
-    # once a comment to the left of the block was seen in the same gap.
-    rows = rows.withColumn("rank", F.sum(F.col("is_start").cast("long")).over(order))
-    lowest = F.min(F.col("ind") - F.col("rank") * F.lit(_STEP)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    gap_indent = F.when(~F.col("is_start"), lowest + F.col("rank") * F.lit(_STEP))
-    rows = (
-        rows.withColumn("start_ind", F.when(F.col("is_start"), F.col("ind")))
-        .withColumn("next_ind", F.expr("lead(start_ind) ignore nulls over (partition by path order by ln, off)"))
-        .withColumn("eff", F.when(F.col("is_start"), F.col("ind")).otherwise(F.greatest(gap_indent, F.col("next_ind"))).cast("int"))
-        .withColumn("prev_eff", F.coalesce(F.lag("eff").over(order), F.col("eff")))
-        .withColumn("next_coded", F.lead("coded").over(order))
-        .withColumn("first_seen", F.when(F.col("off") == 0, F.col("seen")))
-        .withColumn("next_seen", F.expr("lead(first_seen) ignore nulls over (partition by path order by ln, off)"))
+    # once a comment to the left of the block was seen in the same gap. Weighing the
+    # indent with the number of the statement makes the running minimum restart at
+    # every statement without a second partitioning.
+    rank = F.sum(F.col("is_start").cast("long")).over(order)
+    rows = rows.select("*", rank.alias("rank"), F.when(F.col("is_start"), F.col("ind")).alias("start_ind"))
+    rows = rows.select(
+        "*",
+        F.min(F.col("ind") - F.col("rank") * F.lit(_STEP)).over(order).alias("lowest"),
+        F.expr("lead(start_ind) ignore nulls over (partition by path order by ln)").alias("next_ind"),
+        F.lead("seen").over(order).alias("next_seen"),
+        F.lead("coded").over(order).alias("next_coded"),
+    )
+    gap_indent = (F.col("lowest") + F.col("rank") * F.lit(_STEP)).cast("int")
+    eff = F.when(F.col("is_start"), F.col("ind")).otherwise(F.greatest(gap_indent, F.col("next_ind")))
+    rows = rows.select(
+        "path", "language", "ln", "code", "ind", "is_start", "seen", "next_ind", "next_seen", "next_coded", eff.alias("eff")
+    )
+    return rows.withColumn("prev_eff", F.lag("eff").over(order))
+
+
+def _event(level: Column, chunk_type: Column, name: Column, scol: Column, end: Column) -> Column:
+    return F.struct(
+        level.alias("level"),
+        chunk_type.alias("chunk_type"),
+        name.alias("name"),
+        scol.alias("scol"),
+        end["ln"].alias("end_ln"),
+        end["end"].alias("end_col"),
     )
-    return rows
 
 
 def spans(partitioned: DataFrame, patterns: Sequence[Pattern], mode: str) -> DataFrame:
     """Declarations of Python files: path, language, chunk_type, name, s, scol, e, ecol."""
     rows = statements(partitioned)
     plain = [p for p in patterns if p.style in ("indent", "statement")]
+    assigns = any(p.style == "assignment" for p in patterns)
     code = F.col("code")
-    found = matches(code, plain)
-    if any(p.style == "assignment" for p in patterns):
-        found = F.concat(found, assignments(code, mode))
-    declares = F.col("is_start") & (code != lexis.END_OF_FILE)
-    indented = F.col("next_ind") > F.col("ind")
-
-    declared = F.transform(
-        F.when(declares, found),
-        lambda d: F.struct(
-            F.when((d["style"] == "indent") & indented, F.col("next_ind") - 1).otherwise(F.lit(-2)).alias("level"),
-            d["chunk_type"].alias("chunk_type"),
-            d["name"].alias("name"),
-            (F.col("off") + d["col"]).alias("scol"),
-            F.when(d["style"] == "indent", F.col("next_seen")).otherwise(F.col("next_coded")).alias("end"),
-        ),
+    has_block = F.col("next_ind") > F.col("ind")
+
+    def found(text: Column) -> Column:
+        listed = matches(text, plain)
+        return F.concat(listed, assignments(text, mode)) if assigns else listed
+
+    def described(d: Column, off: Column, end: Column) -> Column:
+        indented = d["style"] == "indent"
+        # An indented block ends in front of the next row that closes its indent. A
+        # declaration without one (level -2) ends with its own statement.
+        return _event(
+            F.when(indented & has_block, F.col("next_ind") - 1).otherwise(F.lit(-2)),
+            d["chunk_type"],
+            d["name"],
+            off + d["col"],
+            F.when(indented, F.col("next_seen")).otherwise(end),
+        )
+
+    def several(parts: Column) -> Column:
+        own = lambda part: F.struct(F.col("ln").alias("ln"), (part["off"] + F.length(part["code"])).alias("end"))
+        return F.flatten(
+            F.transform(
+                parts,
+                lambda part, i: F.transform(
+                    found(part["code"]),
+                    lambda d: described(
+                        d, part["off"], F.when(i < F.size(parts) - 1, own(part)).otherwise(F.col("next_coded"))
+                    ),
+                ),
+            )
+        )
+
+    single = F.transform(found(code), lambda d: described(d, F.lit(0), F.col("next_coded")))
+    none = F.filter(
+        F.array(_event(F.lit(0), F.lit(""), F.lit(""), F.lit(0), F.col("seen"))), lambda _: F.lit(False)
+    )
+    hints = [p.hint for p in plain] + (["="] if assigns else [])
+    may_declare = reduce(Column.__or__, [code.contains(hint) for hint in hints])
+    declared = (
+        F.when(~F.col("is_start") | ~may_declare | (code == lexis.END_OF_FILE), none)
+        .when(is_compound(code), bound(pieces(code), several))
+        .otherwise(single)
     )
-    closed = F.transform(
-        F.when(F.col("eff") < F.col("prev_eff"), F.sequence(F.col("eff"), F.col("prev_eff") - 1)),
-        lambda level: F.struct(
-            level.alias("level"),
-            F.lit(None).cast("string").alias("chunk_type"),
-            F.lit(None).cast("string").alias("name"),
-            F.lit(None).cast("int").alias("scol"),
-            F.col("seen").alias("end"),
+    empty = F.lit(None).cast("string")
+    closed = F.when(
+        F.col("eff") < F.col("prev_eff"),
+        F.transform(
+            F.sequence(F.col("eff"), F.col("prev_eff") - 1),
+            lambda level: _event(level, empty, empty, F.lit(None).cast("int"), F.col("seen")),
         ),
+    ).otherwise(none)
+    events = rows.select("path", "language", "ln", F.explode(F.concat(declared, closed)).alias("event")).select(
+        "path", "language", "ln", "event.*"
     )
-    none = F.slice(F.array(F.struct(
-        F.lit(0).alias("level"), F.lit("").alias("chunk_type"), F.lit("").alias("name"), F.lit(0).alias("scol"), F.col("seen").alias("end"),
-    )), 1, 0)
-    events = rows.select(
-        "path", "language", "ln", F.explode(F.concat(F.coalesce(declared, none), F.coalesce(closed, none))).alias("event")
-    ).select("path", "language", "ln", "event.*")
-
-    later = Window.partitionBy("path", "level").orderBy(F.desc("ln"), F.col("chunk_type").isNull())
-    closing = F.when(F.col("chunk_type").isNull(), F.col("end"))
-    events = events.withColumn(
-        "closing", F.last(closing, ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, 0))
-    ).where(F.col("chunk_type").isNotNull())
-    end = F.when(F.col("level") == -2, F.col("end")).otherwise(F.col("closing"))
+
+    # Going backwards through the file, the last closing row seen is the next one below.
+    backwards = Window.partitionBy("path", "level").orderBy(F.desc("ln"), F.col("chunk_type").isNull())
+    closing = F.when(F.col("chunk_type").isNull(), F.struct("end_ln", "end_col"))
+    events = events.withColumn("closing", F.last(closing, ignorenulls=True).over(backwards.rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    ))).where(F.col("chunk_type").isNotNull())
+    by_statement = F.col("level") == -2
     return events.select(
         "path",
         "language",
@@ -230,8 +268,8 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern], mode: str) -> Dat
         "name",
         F.col("ln").alias("s"),
         "scol",
-        end["ln"].alias("e"),
-        end["end"].alias("ecol"),
+        F.when(by_statement, F.col("end_ln")).otherwise(F.col("closing.end_ln")).alias("e"),
+        F.when(by_statement, F.col("end_col")).otherwise(F.col("closing.end_col")).alias("ecol"),
     )
 
 

@@ -53,6 +53,6 @@ def masked_lines(partitioned: DataFrame) -> DataFrame:
         "path",
         "language",
         (F.col("pos") + 1).alias("ln"),
-        F.rtrim(F.col("mask"), F.lit(lexis.BLANKS)).alias("mask"),
+        lexis.right_trimmed(F.col("mask")).alias("mask"),
     ).where(F.col("mask") != "")
     return rows.withColumn("code", lexis.uncommented(F.col("mask")))

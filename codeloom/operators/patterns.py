@@ -35,37 +35,38 @@ class Pattern(NamedTuple):
     style: str
     mode: str = "declared"
     named: bool = True
+    hint: str = ""  # text that every match contains: a cheap test in front of the expression
 
 
 _EXPORT = r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
 _VISIBLE = r"(?:pub(?:\s*\([^)]*\))?\s+)?"
 
 _PYTHON = (
-    Pattern("python", "functions", "", rf"(?:async\s+)?def\s+({NAME})", "indent", "effective"),
-    Pattern("python", "classes", "", rf"class\s+({NAME})", "indent", "effective"),
+    Pattern("python", "functions", "", rf"(?:async\s+)?def\s+({NAME})", "indent", "effective", True, "def"),
+    Pattern("python", "classes", "", rf"class\s+({NAME})", "indent", "effective", True, "class"),
     Pattern("python", "variables", "", rf"({NAME})\s*[:=]", "assignment", "effective"),
-    Pattern("python", "imports", "", r"(?:import\s|from\s+\S+\s+import\b)", "statement", "declared", False),
+    Pattern("python", "imports", "", r"(?:import\s|from\s+\S+\s+import\b)", "statement", "declared", False, "import"),
 )
 _GO = (
-    Pattern("go", "functions", "", rf"func\s+(?:\([^)]*\)\s*)?({NAME})\s*[\[(]", "block"),
-    Pattern("go", "types", "", rf"type\s+({NAME})(?:\[[^\]]*\])?\s+[^\s=]", "statement"),
-    Pattern("go", "variables", "", rf"var\s+({NAME})", "statement"),
-    Pattern("go", "constants", "", rf"const\s+({NAME})(?:\s+[^=]*)?=", "statement"),
+    Pattern("go", "functions", "", rf"func\s+(?:\([^)]*\)\s*)?({NAME})\s*[\[(]", "block", "declared", True, "func"),
+    Pattern("go", "types", "", rf"type\s+({NAME})(?:\[[^\]]*\])?\s+[^\s=]", "statement", "declared", True, "type"),
+    Pattern("go", "variables", "", rf"var\s+({NAME})", "statement", "declared", True, "var"),
+    Pattern("go", "constants", "", rf"const\s+({NAME})(?:\s+[^=]*)?=", "statement", "declared", True, "const"),
 )
 
 
 def _script(language: str) -> tuple[Pattern, ...]:
     return (
-        Pattern(language, "functions", _EXPORT, rf"(?:async\s+)?function\s+({SCRIPT_NAME})\s*[<(]", "block"),
+        Pattern(language, "functions", _EXPORT, rf"(?:async\s+)?function\s+({SCRIPT_NAME})\s*[<(]", "block", "declared", True, "function"),
         Pattern(language, "functions", "", r"=>", "arrow", "arrow", False),
-        Pattern(language, "classes", _EXPORT, rf"class\s+({SCRIPT_NAME})", "block"),
+        Pattern(language, "classes", _EXPORT, rf"class\s+({SCRIPT_NAME})", "block", "declared", True, "class"),
         Pattern(language, "variables", _EXPORT, rf"(?:const|let|var)\s+({SCRIPT_NAME})", "statement"),
     )
 
 
 _TYPESCRIPT = _script("typescript") + (
-    Pattern("typescript", "interfaces", _EXPORT, rf"interface\s+({SCRIPT_NAME})", "block"),
-    Pattern("typescript", "types", _EXPORT, rf"type\s+({SCRIPT_NAME})\s*(?:<[^=]*>)?\s*=", "statement"),
+    Pattern("typescript", "interfaces", _EXPORT, rf"interface\s+({SCRIPT_NAME})", "block", "declared", True, "interface"),
+    Pattern("typescript", "types", _EXPORT, rf"type\s+({SCRIPT_NAME})\s*(?:<[^=]*>)?\s*=", "statement", "declared", True, "type"),
 )
 _RUST = (
     Pattern(
@@ -74,13 +75,14 @@ _RUST = (
         "",
         rf"{_VISIBLE}(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\S+\s+)?)*fn\s+({NAME})",
         "block",
+        hint="fn",
     ),
-    Pattern("rust", "structs", "", rf"{_VISIBLE}struct\s+({NAME})\s*(?:<|\{{|where\b|\z)", "block"),
-    Pattern("rust", "enums", "", rf"{_VISIBLE}enum\s+({NAME})", "block"),
-    Pattern("rust", "impls", "", rf"(?:unsafe\s+)?impl\b(?:[^{{;]*\sfor\s+|\s+){NAME}\s*(?:\{{|where\b|\z)", "block", "declared", False),
-    Pattern("rust", "traits", "", rf"{_VISIBLE}(?:unsafe\s+)?trait\s+({NAME})", "block"),
-    Pattern("rust", "constants", "", rf"{_VISIBLE}const\s+({NAME})\s*:", "statement"),
-    Pattern("rust", "statics", "", rf"{_VISIBLE}static\s+(?:mut\s+)?({NAME})\s*:", "statement"),
+    Pattern("rust", "structs", "", rf"{_VISIBLE}struct\s+({NAME})\s*(?:<|\{{|where\b|\z)", "block", "declared", True, "struct"),
+    Pattern("rust", "enums", "", rf"{_VISIBLE}enum\s+({NAME})", "block", "declared", True, "enum"),
+    Pattern("rust", "impls", "", rf"(?:unsafe\s+)?impl\b(?:[^{{;]*\sfor\s+|\s+){NAME}\s*(?:\{{|where\b|\z)", "block", "declared", False, "impl"),
+    Pattern("rust", "traits", "", rf"{_VISIBLE}(?:unsafe\s+)?trait\s+({NAME})", "block", "declared", True, "trait"),
+    Pattern("rust", "constants", "", rf"{_VISIBLE}const\s+({NAME})\s*:", "statement", "declared", True, "const"),
+    Pattern("rust", "statics", "", rf"{_VISIBLE}static\s+(?:mut\s+)?({NAME})\s*:", "statement", "declared", True, "static"),
 )
 
 PATTERNS: tuple[Pattern, ...] = _PYTHON + _GO + _script("javascript") + _TYPESCRIPT + _RUST
@@ -113,9 +115,10 @@ def matches(code: Column, patterns: Sequence[Pattern]) -> Column:
         lead = rf"^(\s*{p.lead})"
         full = lead + p.head
         name = F.regexp_extract(code, full, 2) if p.named else F.lit("")
+        is_match = code.contains(p.hint) & code.rlike(full) if p.hint else code.rlike(full)
         found.append(
             F.when(
-                code.rlike(full),
+                is_match,
                 F.struct(
                     F.lit(p.chunk_type).alias("chunk_type"),
                     F.lit(p.style).alias("style"),
