@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 COMMENT_FILL = "\u0001"
 STRING_FILL = "\u0002"
 END_OF_FILE = "\u0003"
-BLANKS = " \t\r\f"
+BLANKS = " \t"
 
 
 def _quoted(q: str) -> str:
@@ -86,7 +86,11 @@ def masked(text: Column, language: Column) -> Column:
     chain = None
     for name in TOKENS:
         chain = (F.when if chain is None else chain.when)(language == name, masked_as(text, name))
-    return F.replace(F.replace(chain, F.lit("\r"), F.lit(" ")), F.lit("\f"), F.lit(" "))
+    return plain_blanks(chain)
+
+
+def plain_blanks(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r"), F.lit(" ")), F.lit("\f"), F.lit(" "))
 
 
 def right_trimmed(line: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lexis
 from codeloom.operators.lines import masked_lines
-from codeloom.operators.patterns import Pattern, matches
+from codeloom.operators.patterns import BRACKET_PAIR, Pattern, matches
 
 LANGUAGES = ["go", "javascript", "typescript", "rust"]
 
@@ -27,23 +27,32 @@ def _last_brace(code: Column) -> Column:
     return F.length(code) - F.instr(F.reverse(code), "}") + 1
 
 
-def _arrows(code: Column, wanted: bool) -> Column:
-    """Arrow functions that start in this line, nameless; an array of (style, name, col) structs."""
+def _arrows(code: Column) -> Column:
+    """Arrow functions that start in this line, nameless: (chunk_type, style, name, col, own_end)."""
     found = F.regexp_extract_all(code, F.lit(_ARROW), F.lit(0))
     between = F.split(code, _ARROW, -1)
 
+    nothing = F.lit(None).cast("int")
+
     def describe(token: Column, i: Column) -> Column:
         ahead = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda total, text: total + F.length(text))
         inside = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda total, text: total + F.length(text))
+        at = ahead + inside
+        # An expression body ends in front of the comma or bracket that follows it.
+        rest = F.ltrim(code.substr(at + F.length(token) + 1, F.length(code)))
+        body = F.rtrim(F.regexp_extract(rest, rf"^(?:[^()\[\]{{}},;]|{BRACKET_PAIR})*+", 0))
+        one_line = ~rest.startswith("{") & (body != "") & ~body.rlike(_CONTINUES)
+        blank = F.length(code) - at - F.length(token) - F.length(rest)
         return F.struct(
             F.lit("functions").alias("chunk_type"),
-            F.lit("arrow").alias("style"),
+            F.when(rest.startswith("{"), "block").otherwise("statement").alias("style"),
             F.lit("").alias("name"),
-            (ahead + inside + 1).alias("col"),
+            (at + 1).alias("col"),
+            F.when(one_line, at + F.length(token) + blank + F.length(body)).otherwise(nothing).alias("own_end"),
         )
 
     rows = F.transform(found, describe)
-    return F.when(code.contains("=>"), rows).otherwise(F.slice(rows, 1, 0)) if wanted else F.slice(rows, 1, 0)
+    return F.when(code.contains("=>"), rows).otherwise(F.slice(rows, 1, 0))
 
 
 def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
@@ -67,7 +76,9 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     for language in languages:
         mine = [p for p in patterns if p.language == language and p.style in ("block", "statement")]
         arrows = any(p.language == language and p.style == "arrow" for p in patterns)
-        listed = F.concat(matches(code, mine), _arrows(code, arrows)) if arrows else matches(code, mine)
+        listed = F.transform(matches(code, mine), lambda d: d.withField("own_end", F.lit(None).cast("int")))
+        if arrows:
+            listed = F.concat(listed, _arrows(code))
         found = (F.when if found is None else found.when)(F.col("language") == language, listed)
 
     inside = code.substr(F.lit(1), F.lit(1)) == lexis.STRING_FILL
@@ -76,9 +87,7 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         lambda d: F.struct(
             (
                 F.col("before")
-                + F.when(
-                    d["style"] == "arrow", lexis.bracket_change(code.substr(F.lit(1), d["col"] - 1))
-                ).otherwise(0)
+                + F.when(d["name"] == "", lexis.bracket_change(code.substr(F.lit(1), d["col"] - 1))).otherwise(0)
             )
             .cast("int")
             .alias("level"),
@@ -86,6 +95,7 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
             d["style"].alias("style"),
             d["name"].alias("name"),
             d["col"].alias("scol"),
+            d["own_end"].alias("own_end"),
         ),
     )
     semicolon = code.endswith(";")
@@ -104,6 +114,7 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
             F.lit(None).cast("string").alias("style"),
             F.lit(None).cast("string").alias("name"),
             F.lit(None).cast("int").alias("scol"),
+            F.lit(None).cast("int").alias("own_end"),
         ),
     )
     none = F.slice(
@@ -114,6 +125,7 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
                 F.lit("").alias("style"),
                 F.lit("").alias("name"),
                 F.lit(0).alias("scol"),
+                F.lit(0).alias("own_end"),
             )
         ),
         1,
@@ -155,7 +167,12 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     events = events.withColumn("block_end", F.last("block_end", ignorenulls=True).over(later)).withColumn(
         "statement_end", F.last("statement_end", ignorenulls=True).over(later)
     )
-    end = F.when(F.col("style") == "block", F.col("block_end")).otherwise(F.col("statement_end"))
+    own = F.struct("ln", F.col("own_end").alias("end"), F.lit(True).alias("body"))
+    end = (
+        F.when(F.col("own_end").isNotNull(), own)
+        .when(F.col("style") == "block", F.col("block_end"))
+        .otherwise(F.col("statement_end"))
+    )
     return (
         events.where(F.col("chunk_type").isNotNull())
         .withColumn("end", end)

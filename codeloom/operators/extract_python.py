@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lexis
 from codeloom.operators.lines import masked_lines
-from codeloom.operators.patterns import NAME, Pattern, matches
+from codeloom.operators.patterns import BRACKET_PAIR, NAME, Pattern, matches
 
 # Words that can stand in front of "=" or ":" but are not names.
 KEYWORDS = (
@@ -25,22 +25,13 @@ KEYWORDS = (
 ).split()
 
 
-def _bracketed(depth: int = 5) -> str:
-    """A bracket pair with its content, up to ``depth`` levels deep."""
-    pair = r"[(\[{][^()\[\]{}]*+[)\]}]"
-    for _ in range(depth - 1):
-        pair = rf"[(\[{{](?:[^()\[\]{{}}]|{pair})*+[)\]}}]"
-    return pair
-
-
-_PAIR = _bracketed()
-_ATOM = rf"\*?(?:{NAME}|{_PAIR})(?:\s*\.\s*{NAME}|{_PAIR})*+"
+_ATOM = rf"\*?(?:{NAME}|{BRACKET_PAIR})(?:\s*\.\s*{NAME}|{BRACKET_PAIR})*+"
 _TARGETS = rf"{_ATOM}(?:\s*,\s*{_ATOM})*+\s*,?\s*"
-_ANNOTATION = rf"(?::(?!=)(?:[^=()\[\]{{}}]|{_PAIR})*+)?"
+_ANNOTATION = rf"(?::(?!=)(?:[^=()\[\]{{}}]|{BRACKET_PAIR})*+)?"
 _ASSIGN = rf"{_TARGETS}{_ANNOTATION}=(?!=)\s*"
 _HEADER_WITH_BODY = (
     r"^\s*(?:async\s+)?(?:if|elif|else|for|while|try|except|finally|with|def|class|case(?=\s+[^\s:=]))\b"
-    rf"(?:[^()\[\]{{}}:]|:=|{_PAIR})*+:(?=\s*\S)"
+    rf"(?:[^()\[\]{{}}:]|:=|{BRACKET_PAIR})*+:(?=\s*\S)"
 )
 
 # Larger than any indent, so that a later statement always outweighs an earlier one.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import lexis
@@ -32,8 +32,8 @@ def line_model(texts: DataFrame, key: str, text: Column) -> DataFrame:
         key,
         (F.col("pos") + 1).alias("ln"),
         "txt",
-        lexis.indent_width(F.col("txt")).alias("ind"),
-        (F.trim(F.col("txt"), F.lit(lexis.BLANKS)) == "").alias("blank"),
+        lexis.indent_width(lexis.plain_blanks(F.col("txt"))).alias("ind"),
+        (F.trim(lexis.plain_blanks(F.col("txt")), F.lit(lexis.BLANKS)) == "").alias("blank"),
     )
 
 
@@ -56,3 +56,18 @@ def masked_lines(partitioned: DataFrame) -> DataFrame:
         lexis.right_trimmed(F.col("mask")).alias("mask"),
     ).where(F.col("mask") != "")
     return rows.withColumn("code", lexis.uncommented(F.col("mask")))
+
+
+def line_facts(partitioned: DataFrame) -> DataFrame:
+    """Per non-blank line: does it start inside a string, at which bracket depth, and where its code ends."""
+    change = lexis.bracket_change(F.col("code"))
+    order = Window.partitionBy("path").orderBy("ln")
+    rows = masked_lines(partitioned).where(F.col("mask") != lexis.END_OF_FILE)
+    return rows.select(
+        "path",
+        "language",
+        "ln",
+        F.col("code").startswith(lexis.STRING_FILL).alias("in_string"),
+        (F.sum(change).over(order) - change).alias("depth"),
+        F.length("code").alias("code_end"),
+    )

@@ -9,7 +9,7 @@ depend on the order in which floating point numbers were added.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -235,3 +235,21 @@ def hits(
     return found.join(corpus.select("id", "document"), "id").select(
         "query_id", "rank", "id", "document", "distance", "similarity"
     )
+
+
+def approximate_nearest(
+    corpus: DataFrame, query: Sequence[float], k: int = CANDIDATES, tables: int = 8, bucket_length: float = 0.5
+) -> DataFrame:
+    """k approximate neighbours of one dense vector by random projections: ``(rank, id, distance)``."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    features = corpus.select("id", array_to_vector(F.col("embedding")).alias("features"))
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7
+    )
+    found = lsh.fit(features).approxNearestNeighbors(features, Vectors.dense([float(x) for x in query]), k, "l2")
+    squared = F.round(F.col("l2") * F.col("l2"), DIGITS)
+    rows = found.select("id", squared.alias("distance"))
+    return rows.select(F.row_number().over(Window.orderBy("distance", "id")).alias("rank"), "id", "distance")
