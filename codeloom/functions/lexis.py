@@ -8,6 +8,8 @@ are lines and columns of the source. All of it runs inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,13 +80,13 @@ def masked_as(text: Column, language: str) -> Column:
     return F.array_join(pairs, "")
 
 
-def masked(text: Column, language: Column) -> Column:
+def masked(text: Column, language: Column, languages: Sequence[str]) -> Column:
     """Mask ``text`` by the rules of its language; one compiled expression per language.
 
     Carriage returns and form feeds become blanks, so lines only hold blanks and tabs.
     """
     chain = None
-    for name in TOKENS:
+    for name in languages:
         chain = (F.when if chain is None else chain.when)(language == name, masked_as(text, name))
     return plain_blanks(chain)
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.session import placed_by
+
 BUCKETS = 4096
 BUILT_IN = "trigrams-4096"
 DEFAULT_MODEL = "all-MiniLM-L6-v2"
@@ -44,7 +46,7 @@ def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     ``key`` must be unique. Whole texts are shuffled on it once; the word, bucket and
     length aggregations that follow all keep that placement.
     """
-    placed = texts.select(key, text).repartition(key)
+    placed = placed_by(texts.select(key, text), key)
     counted = placed.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").count()
     grams = counted.select(key, "count", F.explode(trigrams(F.col("word"))).alias("gram"))
     hashed = grams.select(key, "count", bucket(F.col("gram")).alias("bucket"))

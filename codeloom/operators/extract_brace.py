@@ -58,7 +58,7 @@ def _arrows(code: Column) -> Column:
 def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """Declarations: path, language, chunk_type, name, s, scol, e, ecol."""
     languages = [name for name in LANGUAGES if any(p.language == name for p in patterns)]
-    lines = masked_lines(partitioned)
+    lines = masked_lines(partitioned, languages)
     order = Window.partitionBy("path").orderBy("ln")
     code = F.col("code")
     at_end = code == lexis.END_OF_FILE

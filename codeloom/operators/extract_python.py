@@ -81,12 +81,18 @@ def assignments(code: Column, mode: str) -> Column:
 
     def rows(prefix: Column) -> Column:
         lead = lexis.lead_length(code)
-        rest = code.substr(F.length(prefix) + 1, F.length(code))
         heads = F.regexp_extract_all(prefix.substr(lead + 1, F.length(prefix)), F.lit(_ASSIGN), F.lit(0))
+        rest = code.substr(F.length(prefix) + 1, F.length(code))
+        return bound(F.struct(lead.alias("lead"), heads.alias("heads"), rest.alias("rest")), listed)
+
+    def listed(parts: Column) -> Column:
+        heads, rest = parts["heads"], parts["rest"]
 
         def describe(head: Column, i: Column) -> Column:
             left = F.regexp_extract(head, rf"^({NAME})\s*(?::.*)?=\s*\z", 1)
-            at = F.aggregate(F.slice(heads, F.lit(1), i), lead, lambda total, earlier: total + F.length(earlier))
+            at = F.aggregate(
+                F.slice(heads, F.lit(1), i), parts["lead"], lambda total, earlier: total + F.length(earlier)
+            )
             name = left
             if mode == "effective":
                 last = i == F.size(heads) - 1
@@ -126,7 +132,7 @@ def statements(partitioned: DataFrame) -> DataFrame:
     code = F.col("code")
     at_end = code == lexis.END_OF_FILE
     order = Window.partitionBy("path").orderBy("ln")
-    rows = masked_lines(partitioned).select(
+    rows = masked_lines(partitioned, ["python"]).select(
         "path",
         "language",
         "ln",

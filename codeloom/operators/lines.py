@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lexis
 from codeloom.functions.text import detect_language, repaired_text
+from codeloom.session import placed_by
 
 
 def text_files(files: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def by_path(files: DataFrame, languages: list[str]) -> DataFrame:
     rows of one file together, and ``(path, ...)`` is satisfied by ``path``. A file is
     one row, so a partition key never holds more than one file.
     """
-    return text_files(files).where(detect_language(F.col("path")).isin(languages)).repartition("path")
+    return placed_by(text_files(files).where(detect_language(F.col("path")).isin(languages)), "path")
 
 
 def line_model(texts: DataFrame, key: str, text: Column) -> DataFrame:
@@ -37,13 +38,13 @@ def line_model(texts: DataFrame, key: str, text: Column) -> DataFrame:
     )
 
 
-def masked_lines(partitioned: DataFrame) -> DataFrame:
+def masked_lines(partitioned: DataFrame, languages: list[str]) -> DataFrame:
     """Non-blank masked lines ``(path, language, ln, mask, code)`` plus one end-of-file row.
 
     The end-of-file row lets every span end at *some* later row.
     """
     files = partitioned.select("path", detect_language(F.col("path")).alias("language"), "text")
-    lines = F.split(lexis.masked(F.col("text"), F.col("language")), "\n", -1)
+    lines = F.split(lexis.masked(F.col("text"), F.col("language"), languages), "\n", -1)
     rows = files.select(
         "path",
         "language",
@@ -58,11 +59,11 @@ def masked_lines(partitioned: DataFrame) -> DataFrame:
     return rows.withColumn("code", lexis.uncommented(F.col("mask")))
 
 
-def line_facts(partitioned: DataFrame) -> DataFrame:
+def line_facts(partitioned: DataFrame, languages: list[str]) -> DataFrame:
     """Per non-blank line: does it start inside a string, at which bracket depth, and where its code ends."""
     change = lexis.bracket_change(F.col("code"))
     order = Window.partitionBy("path").orderBy("ln")
-    rows = masked_lines(partitioned).where(F.col("mask") != lexis.END_OF_FILE)
+    rows = masked_lines(partitioned, languages).where(F.col("mask") != lexis.END_OF_FILE)
     return rows.select(
         "path",
         "language",

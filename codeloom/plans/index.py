@@ -29,21 +29,25 @@ def indexed(files: DataFrame, mode: str = "effective", patterns: Sequence[Patter
     return rows.join(vectors, "id", "left").withColumn("encoder", F.lit(encode.BUILT_IN))
 
 
+def index_files(
+    files: DataFrame, collection: Collection, mode: str = "effective", patterns: Sequence[Pattern] = PATTERNS
+) -> int:
+    """Extract, encode and upsert the chunks of ``files``; returns the number of the batch."""
+    collection.get_or_create(DESCRIPTION)
+    names = ("file_path", "function_name", "class_name", "start_line", "end_line", "language", "chunk_type")
+    pairs = [part for name in names for part in (F.lit(name), F.col(name).cast("string"))]
+    rows = indexed(files, mode, patterns).select(
+        "id", "document", F.create_map(*pairs).alias("metadata"), "vector", "encoder", F.lit(0).alias("position")
+    )
+    return collection.upsert(rows)
+
+
 def index_directory(
     spark: SparkSession, root: str, store: str, extensions: tuple[str, ...] = (".py",), mode: str = "effective"
 ) -> Collection:
-    """Scan a tree, extract, encode and upsert into the ``code_chunks`` collection of ``store``."""
-    collection = Collection(spark, store, COLLECTION).get_or_create(DESCRIPTION)
-    rows = indexed(source_tree(spark, root, extensions), mode)
-    metadata = F.create_map(
-        *[
-            part
-            for name in ("file_path", "function_name", "class_name", "start_line", "end_line", "language", "chunk_type")
-            for part in (F.lit(name), F.col(name).cast("string"))
-        ]
-    )
-    shaped = rows.select("id", "document", metadata.alias("metadata"), "vector", "encoder")
-    collection.upsert(shaped.withColumn("position", F.lit(0)))
+    """Scan a tree and index it into the ``code_chunks`` collection of ``store``."""
+    collection = Collection(spark, store, COLLECTION)
+    index_files(source_tree(spark, root, extensions), collection, mode)
     return collection
 
 

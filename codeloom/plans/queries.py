@@ -14,7 +14,7 @@ from codeloom.operators.extract import chunks, rejects
 from codeloom.operators.lines import by_path, line_facts, line_model
 from codeloom.operators.patterns import PATTERNS
 from codeloom.plans.corpus import modules
-from codeloom.plans.index import ask, indexed
+from codeloom.plans.index import ask, index_files, question
 from codeloom.session import shared_folder
 from codeloom.sources.requests import stream_requests
 from codeloom.streaming import index_stream
@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for written tables, below the one the cluster names."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 # --- paths and files -------------------------------------------------------------
 
 
@@ -85,7 +90,7 @@ def python_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = line_facts(by_path(python_modules(spark, sf_dir), ["python"])).where(F.col("code_end") > 0)
+    facts = line_facts(by_path(python_modules(spark, sf_dir), ["python"]), ["python"]).where(F.col("code_end") > 0)
     return facts.select("path", "ln", "in_string", F.col("depth").cast("int").alias("depth"), "code_end")
 
 
@@ -192,7 +197,7 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the stream over one checkpoint; the second replaces what assistants said."""
-    root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = fresh_folder(spark, "stream")
     rows = turn_chunks(spark, sf_dir)
     collection = store.Collection(spark, f"{root}/store", index_stream.COLLECTION)
 
@@ -352,10 +357,12 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index the Python modules and ask four questions of them."""
+    """Index the Python modules into a collection and ask four questions of it."""
+    collection = store.Collection(spark, fresh_folder(spark, "search"), index_stream.COLLECTION)
+    index_files(python_modules(spark, sf_dir), collection)
     asked = spark.createDataFrame(QUESTIONS, "query_id string, words array<string>")
-    queries = asked.select("query_id", X.joined_words(F.col("words")).alias("text"))
-    found = ask(indexed(python_modules(spark, sf_dir)), queries)
+    queries = asked.select("query_id", question(F.col("words")).alias("text"))
+    found = ask(collection.rows(), queries)
     return found.select(
         "query_id", "rank", "id", "document", "distance", F.round("similarity", 6).alias("similarity")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="codeloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def placed_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` shuffled on ``keys`` into the session's number of shuffle partitions.
+
+    The explicit number keeps adaptive execution from merging partitions by their size in
+    bytes: what follows is heavy on computation, so small partitions are still worth a task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
