@@ -215,18 +215,14 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern], mode: str) -> Dat
         )
 
     def several(parts: Column) -> Column:
-        own = lambda part: F.struct(F.col("ln").alias("ln"), (part["off"] + F.length(part["code"])).alias("end"))
-        return F.flatten(
-            F.transform(
-                parts,
-                lambda part, i: F.transform(
-                    found(part["code"]),
-                    lambda d: described(
-                        d, part["off"], F.when(i < F.size(parts) - 1, own(part)).otherwise(F.col("next_coded"))
-                    ),
-                ),
-            )
-        )
+        def listed(part: Column) -> Column:
+            # Only the piece that reaches the end of the line can go on below it.
+            stop = part["off"] + F.length(part["code"])
+            own = F.struct(F.col("ln").alias("ln"), stop.alias("end"))
+            end = F.when(stop < F.length(code), own).otherwise(F.col("next_coded"))
+            return F.transform(found(part["code"]), lambda d: described(d, part["off"], end))
+
+        return F.flatten(F.transform(parts, listed))
 
     single = F.transform(found(code), lambda d: described(d, F.lit(0), F.col("next_coded")))
     none = F.filter(

@@ -140,17 +140,18 @@ def _per_task(
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """Query rows in blocks of a checked size, ordered by id within a block."""
-    total = queries.count()
-    blocks = max(1, -(-total // (QUERIES_PER_BLOCK // 2)))
-    if total <= QUERIES_PER_BLOCK:
-        blocks = 1
+    """Query rows in blocks of a checked size; one job when they fit into one block."""
+    rows = queries.limit(QUERIES_PER_BLOCK + 1).toPandas()
+    if len(rows) <= QUERIES_PER_BLOCK:
+        if len(rows):
+            yield rows
+        return
+    # Half-full blocks on average, so that an uneven hash still stays below the limit.
+    blocks = -(-2 * queries.count() // QUERIES_PER_BLOCK)
     for number in range(blocks):
-        part = queries
-        if blocks > 1:
-            part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        rows = part.limit(2 * QUERIES_PER_BLOCK + 1).toPandas()
-        if len(rows) > 2 * QUERIES_PER_BLOCK:
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        rows = part.limit(QUERIES_PER_BLOCK + 1).toPandas()
+        if len(rows) > QUERIES_PER_BLOCK:
             raise ValueError("query ids are not unique enough to form blocks")
         if len(rows):
             yield rows

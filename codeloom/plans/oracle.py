@@ -233,8 +233,8 @@ later AS (
 
 _MANIFEST = """
 manifest AS (
-  SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' old' ELSE text END) AS stored
-  FROM documents WHERE doc_id % 11 <> 0),
+  SELECT doc_id, sha256(CASE WHEN toxic = 1 THEN text || ' old' ELSE text END) AS stored
+  FROM documents JOIN labels USING (doc_id)),
 changes AS (
   SELECT doc_id, source, sha256(text) AS sha256, stored IS NULL OR stored <> sha256(text) AS changed
   FROM documents LEFT JOIN manifest USING (doc_id))"""
@@ -349,7 +349,7 @@ SELECT source, count(*) AS documents, (SELECT count(DISTINCT source) FROM docume
     "footprint": _footprint(),
     "changed_files": f"WITH {_MANIFEST} SELECT doc_id, sha256, changed FROM changes",
     "group_refresh": f"""WITH {_MANIFEST},
-flagged AS (SELECT doc_id, source || '-' || (doc_id // 40) AS pair, changed FROM changes)
+flagged AS (SELECT doc_id, doc_id // 2 AS pair, changed FROM changes)
 SELECT * FROM flagged QUALIFY bool_or(changed) OVER (PARTITION BY pair)""",
     "manifest_refresh": f"""WITH {_MANIFEST}
 SELECT doc_id, CASE WHEN changed THEN sha256 ELSE stored END AS sha256 FROM changes LEFT JOIN manifest USING (doc_id)""",

@@ -273,10 +273,10 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_and_manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents, and an older manifest: some texts differed then, some were not there."""
+    """Documents, and an older manifest: only labelled ones were there, toxic ones with other text."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    older = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
-    then = documents.select("doc_id", older.alias("text")).where(F.col("doc_id") % 11 != 0)
+    older = F.when(F.col("toxic") == 1, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
+    then = documents.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", older.alias("text"))
     return documents, incremental.manifest_of(then, "doc_id", "text")
 
 
@@ -290,7 +290,7 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = _changes(spark, sf_dir)[0].withColumn("pair", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 40).cast("string")))
+    changes = _changes(spark, sf_dir)[0].withColumn("pair", F.floor(F.col("doc_id") / 2))
     return incremental.refresh_groups(changes, "pair").select("doc_id", "pair", "changed")
 
 

@@ -1,27 +1,32 @@
-"""A source for directory trees that keeps names starting with ``_`` or ``.``.
+"""Directory trees as FILE rows, names starting with ``_`` or ``.`` included.
 
-Spark's own file sources skip such names, and ``__init__.py`` is one of them. The
-listing is distributed: the driver only lists down to a small depth, and every partition
-walks its own subtrees. Skipped directories are never entered, other extensions are
-never opened, and a failing listing fails the query.
+Spark's own file sources skip such names, and ``__init__.py`` is one of them. A small
+data source lists the tree; the listed paths are then spread evenly before any content is
+read, so a subtree with a large share of the files costs one task its listing only.
+Skipped directories are never entered, other extensions are never opened, and a failing
+listing or read fails the query.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from codeloom.functions.text import SKIPPED_DIRECTORIES
+from codeloom.schemas import FILE
+from codeloom.session import placed_by
 
 _ROOTS_WANTED = 256
+_BYTES_PER_BATCH = 32 << 20
 
 
 class Subtrees(InputPartition):
-    """Directories to walk and single files to read."""
+    """Directories to walk and single files."""
 
     def __init__(self, directories: list[str], files: list[str]) -> None:
         self.directories, self.files = directories, files
@@ -37,10 +42,9 @@ class TreeReader(DataSourceReader):
         self.root = options["path"]
         self.extensions = set(options.get("extensions", ".py").split(","))
         self.skipped = set(options.get("skipped", ",".join(SKIPPED_DIRECTORIES)).split(","))
-        self.with_content = options.get("content", "true").lower() == "true"
 
     def _list(self, directory: str) -> tuple[list[str], list[str]]:
-        """Subdirectories to enter and files to read, in lexical order, links not followed."""
+        """Subdirectories to enter and files to take, in lexical order, links not followed."""
         below, files = [], []
         with os.scandir(directory) as entries:
             for entry in sorted(entries, key=lambda e: e.name):
@@ -52,11 +56,12 @@ class TreeReader(DataSourceReader):
         return below, files
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.basename(self.root.rstrip("/")) in self.skipped:
-            return [Subtrees([], [])]
+        name = os.path.basename(self.root.rstrip("/"))
         if not os.path.isdir(self.root):
-            os.stat(self.root)
-            return [Subtrees([], [self.root] if _extension(os.path.basename(self.root)) in self.extensions else [])]
+            os.stat(self.root)  # fails for a missing root
+            return [Subtrees([], [self.root] if _extension(name) in self.extensions else [])]
+        if name in self.skipped:
+            return [Subtrees([], [])]
         parts: list[InputPartition] = []
         level = [self.root]
         # Go down level by level until there are enough subtrees to share out.
@@ -65,28 +70,22 @@ class TreeReader(DataSourceReader):
             for directory in level:
                 below, files = self._list(directory)
                 deeper += below
-                for start in range(0, len(files), 1000):
-                    parts.append(Subtrees([], files[start : start + 1000]))
+                if files:
+                    parts.append(Subtrees([], files))
             level = deeper
         parts += [Subtrees([directory], []) for directory in level]
         return parts or [Subtrees([], [])]
 
-    def _paths(self, part: Subtrees) -> Iterator[str]:
-        yield from part.files
-        pending = list(reversed(part.directories))
+    def read(self, partition: Subtrees) -> Iterator[tuple[str, int]]:
+        for path in partition.files:
+            yield path, os.path.getsize(path)
+        pending = list(reversed(partition.directories))
         while pending:
             below, files = self._list(pending.pop())
-            yield from files
+            for path in files:
+                yield path, os.path.getsize(path)
             pending += reversed(below)
 
-    def read(self, partition: Subtrees) -> Iterator[tuple]:
-        for path in self._paths(partition):
-            if not self.with_content:
-                yield (path, os.path.getsize(path))
-                continue
-            with open(path, "rb") as file:
-                yield (path, file.read())
-
 
 class TreeSource(DataSource):
     """``spark.read.format("source_tree").option("extensions", ".py").load(root)``"""
@@ -96,22 +95,51 @@ class TreeSource(DataSource):
         return "source_tree"
 
     def schema(self) -> str:
-        if self.options.get("content", "true").lower() == "true":
-            return "path string, content binary"
         return "path string, length bigint"
 
     def reader(self, schema: StructType) -> TreeReader:
         return TreeReader(dict(self.options))
 
 
-def source_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".py",)) -> DataFrame:
-    """FILE rows below ``root``. On a cluster the tree lies on a file system all executors mount."""
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").option("extensions", ",".join(extensions)).load(root)
-
+def tree_listing(
+    spark: SparkSession,
+    root: str,
+    extensions: Iterable[str] = (".py",),
+    skipped: Iterable[str] = SKIPPED_DIRECTORIES,
+) -> DataFrame:
+    """``(path, length)`` of the files below ``root``, without opening them.
 
-def tree_listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".py",)) -> DataFrame:
-    """``(path, length)`` of the same files, without reading them."""
+    On a cluster the tree lies on a file system that driver and executors mount.
+    """
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("source_tree").option("extensions", ",".join(extensions))
-    return reader.option("content", "false").load(root)
+    return reader.option("skipped", ",".join(skipped)).load(root)
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    paths: list[str] = []
+    contents: list[bytes] = []
+    held = 0
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as file:
+                data = file.read()
+            paths.append(path)
+            contents.append(data)
+            held += len(data)
+            if held >= _BYTES_PER_BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], schema=schema)
+                paths, contents, held = [], [], 0
+    if paths:
+        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], schema=schema)
+
+
+def read_files(listing: DataFrame) -> DataFrame:
+    """FILE rows of listed paths, read whole, the reading spread over all tasks."""
+    return placed_by(listing.select("path"), "path").mapInArrow(_read_batches, FILE)
+
+
+def source_tree(spark: SparkSession, root: str, extensions: Iterable[str] = (".py",)) -> DataFrame:
+    """FILE rows below ``root``."""
+    return read_files(tree_listing(spark, root, extensions))
