@@ -28,7 +28,7 @@ def test_tree_scan(spark, tree):
     assert {r.path[len(str(tree)) + 1 :] for r in rows} == FOUND
     assert all(bytes(r.content).decode() == f"# {r.path[len(str(tree)) + 1:]}\n" for r in rows)
     listing = tree_listing(spark, str(tree), (".py", "")).collect()
-    assert {r.path[len(str(tree)) + 1 :] for r in listing} == FOUND | {"x/venv", "x/noext"}
+    assert {r.path[len(str(tree)) + 1 :] for r in listing} == FOUND | {"x/venv", "x/noext", "link"}
     assert tree_listing(spark, str(tree / "venv")).count() == 0
 
 
