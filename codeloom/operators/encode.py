@@ -18,6 +18,7 @@ from codeloom.session import placed_by
 
 BUCKETS = 4096
 BUILT_IN = "trigrams-4096"
+_MULTIPLIER = 2654435761
 DEFAULT_MODEL = "all-MiniLM-L6-v2"
 
 # Words that say nothing about a piece of code or a question.
@@ -25,33 +26,37 @@ STOP_WORDS = "function def return if else to is this where class self the a".spl
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of letters and digits, camel case split, stop words dropped."""
-    parted = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
-    found = F.filter(F.split(parted, "[^a-z0-9]+"), lambda word: word != "")
-    return F.filter(found, lambda word: ~word.isin(*STOP_WORDS))
+    """Lower-case runs of letters and digits, camel case split; may hold '' and stop words."""
+    return F.split(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
 
 
-def trigrams(word: Column) -> Column:
-    framed = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda at: framed.substr(at, F.lit(3)))
+def bucket(framed: Column, at: Column) -> Column:
+    """Bucket of the three characters of ``framed`` from ``at`` on.
 
-
-def bucket(trigram: Column) -> Column:
-    return (F.conv(F.substring(F.md5(trigram), 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
+    The characters make one number of 21 bits; a multiplicative hash keeps its top 12 bits.
+    """
+    code = F.lit(0).cast("long")
+    for offset in range(3):
+        code = code * 128 + F.ascii(framed.substr(at + offset, F.lit(1)))
+    return (code * _MULTIPLIER % (1 << 32) / (1 << 20)).cast("int")
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse vectors as rows ``(key, bucket, weight)`` with unit length per key.
+    """Term weights ``(key, bucket, raw)``, not yet of unit length.
 
-    ``key`` must be unique. Whole texts are shuffled on it once; the word, bucket and
-    length aggregations that follow all keep that placement.
+    ``key`` must be unique. Whole texts are shuffled on it once; the aggregations by
+    bucket here and by key in ``encoded`` keep that placement.
     """
     placed = placed_by(texts.select(key, text), key)
-    counted = placed.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").count()
-    grams = counted.select(key, "count", F.explode(trigrams(F.col("word"))).alias("gram"))
-    hashed = grams.select(key, "count", bucket(F.col("gram")).alias("bucket"))
-    weighted = hashed.groupBy(key, "bucket").agg((F.log(F.sum("count").cast("double")) + 1).alias("raw"))
-    return weighted
+    found = placed.select(key, F.explode(words(F.col(text))).alias("word"))
+    found = found.where((F.col("word") != "") & ~F.col("word").isin(*STOP_WORDS))
+    framed = found.select(
+        key,
+        F.concat(F.lit("^"), "word", F.lit("$")).alias("framed"),
+        F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"),
+    )
+    hashed = framed.select(key, bucket(F.col("framed"), F.col("at")).alias("bucket"))
+    return hashed.groupBy(key, "bucket").agg((F.log(F.count("*").cast("double")) + 1).alias("raw"))
 
 
 def encoded(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ plain range joins and grouped minima, search compares all pairs.
 
 from __future__ import annotations
 
-from codeloom.operators.encode import BUCKETS, STOP_WORDS
+from codeloom.operators.encode import STOP_WORDS
 from codeloom.plans import queries as Q
 from codeloom.plans.corpus import KEYS_PER_FILE, LAYOUTS
 
@@ -264,6 +264,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 
 def postings(name: str, source: str, key: str, text: str) -> str:
     """CTE ``name(key, bucket, weight)``."""
+    code = "ascii(substr(word, i, 1)) * 16384 + ascii(substr(word, i + 1, 1)) * 128 + ascii(substr(word, i + 2, 1))"
     return f"""
 {name}_words AS (
   SELECT {key} AS key, unnest(string_split_regex(lower(regexp_replace({text}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS word
@@ -272,9 +273,9 @@ def postings(name: str, source: str, key: str, text: str) -> str:
   SELECT key, '^' || word || '$' AS word, count(*) AS n FROM {name}_words
   WHERE word <> '' AND word NOT IN ({_list(STOP_WORDS)}) GROUP BY ALL),
 {name}_grams AS (
-  SELECT key, n, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))) AS gram FROM {name}_counted),
+  SELECT key, n, unnest(list_transform(range(1, length(word) - 1), lambda i: {code})) AS code FROM {name}_counted),
 {name}_raw AS (
-  SELECT key, (('0x' || substr(md5(gram), 1, 8))::BIGINT % {BUCKETS})::INTEGER AS bucket, 1 + ln(sum(n)) AS raw
+  SELECT key, (code::BIGINT * 2654435761 % 4294967296 // 1048576)::INTEGER AS bucket, 1 + ln(sum(n)) AS raw
   FROM {name}_grams GROUP BY ALL),
 {name} AS (SELECT key, bucket, raw / sqrt(sum(raw * raw) OVER (PARTITION BY key)) AS weight FROM {name}_raw)"""
 

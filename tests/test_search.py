@@ -1,4 +1,3 @@
-import hashlib
 import math
 import re
 from collections import Counter
@@ -50,7 +49,8 @@ def by_hand(text):
     for word in words:
         framed = f"^{word}$"
         for at in range(len(word)):
-            counts[int(hashlib.md5(framed[at : at + 3].encode()).hexdigest()[:8], 16) % encode.BUCKETS] += 1
+            a, b, c = framed[at : at + 3].encode()
+            counts[((a * 128 + b) * 128 + c) * 2654435761 % 2**32 >> 20] += 1
     raw = {b: 1 + math.log(n) for b, n in counts.items()}
     norm = math.sqrt(sum(w * w for w in raw.values()))
     return {b: w / norm for b, w in raw.items()}
