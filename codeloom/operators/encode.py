@@ -41,14 +41,16 @@ def bucket(framed: Column, at: Column) -> Column:
     return (code * _MULTIPLIER % (1 << 32) / (1 << 20)).cast("int")
 
 
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
+def postings(texts: DataFrame, key: str, text: str, placed: bool = False) -> DataFrame:
     """Term weights ``(key, bucket, raw)``, not yet of unit length.
 
-    ``key`` must be unique. Whole texts are shuffled on it once; the aggregations by
-    bucket here and by key in ``encoded`` keep that placement.
+    ``key`` must be unique. Whole texts are shuffled on it once, unless the rows are
+    ``placed`` by it already; the aggregations by bucket here and by key in ``encoded``
+    keep that placement.
     """
-    placed = placed_by(texts.select(key, text), key)
-    found = placed.select(key, F.explode(words(F.col(text))).alias("word"))
+    rows = texts.select(key, text)
+    rows = rows if placed else placed_by(rows, key)
+    found = rows.select(key, F.explode(words(F.col(text))).alias("word"))
     found = found.where((F.col("word") != "") & ~F.col("word").isin(*STOP_WORDS))
     framed = found.select(
         key,
@@ -59,9 +61,9 @@ def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     return hashed.groupBy(key, "bucket").agg((F.log(F.count("*").cast("double")) + 1).alias("raw"))
 
 
-def encoded(texts: DataFrame, key: str, text: str) -> DataFrame:
+def encoded(texts: DataFrame, key: str, text: str, placed: bool = False) -> DataFrame:
     """``(key, vector)`` of every text that has a word; at most ``BUCKETS`` entries each."""
-    listed = postings(texts, key, text).groupBy(key).agg(
+    listed = postings(texts, key, text, placed).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("bucket", "raw"))).alias("entries"),
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
     )
@@ -74,6 +76,16 @@ def encoded(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def with_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with ``vector`` (null without a word) and ``encoder``; ``rows`` are grouped by ``key``.
+
+    The text side and the vector side read the one exchange that grouped the rows, so
+    whatever made the rows runs once and nothing is shuffled again.
+    """
+    joined = rows.join(encoded(rows, key, text, placed=True), key, "left")
+    return joined.withColumn("encoder", F.lit(BUILT_IN))
+
+
 def as_postings(vectors: DataFrame, key: str) -> DataFrame:
     pairs = F.arrays_zip(F.col("vector.buckets").alias("bucket"), F.col("vector.weights").alias("weight"))
     return vectors.select(key, F.inline(pairs).alias("bucket", "weight"))

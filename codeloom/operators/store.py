@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("batch_seq", "position")) -> DataFrame:
-    """The last row of every key. An aggregate, so copies of a hot key shrink before the shuffle."""
-    whole = F.struct(*rows.columns)
-    picked = rows.groupBy(key).agg(F.max_by(whole, F.struct(*order)).alias("row"))
-    return picked.select("row.*")
+    """The last row of every key. An aggregate, so copies of a hot key shrink before the shuffle.
+
+    The key itself stays a grouping column: later steps by key then need no exchange.
+    """
+    rest = F.struct(*[name for name in rows.columns if name != key])
+    picked = rows.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("row"))
+    return picked.select(key, "row.*").select(*rows.columns)
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
@@ -97,12 +100,15 @@ class Collection:
     def last_seq(self) -> int:
         return max([-1, *self._numbers("delta", "batch_seq="), *self._numbers("base", "v=")])
 
-    def upsert(self, rows: DataFrame, batch_seq: int | None = None) -> int:
-        """Write one batch; within it the highest position of an id wins."""
+    def upsert(self, rows: DataFrame, batch_seq: int | None = None, unique: bool = False) -> int:
+        """Write one batch; within it the highest position of an id wins.
+
+        ``unique`` says that no id occurs twice in ``rows``.
+        """
         seq = self.last_seq() + 1 if batch_seq is None else batch_seq
-        if seq in self._numbers("base", "v=") or any(v > seq for v in self._numbers("base", "v=")):
+        if any(version >= seq for version in self._numbers("base", "v=")):
             return seq  # a replay of a batch that a compaction has already taken in
-        newest = latest(rows.withColumn("batch_seq", F.lit(seq).cast("long"))).drop("batch_seq")
+        newest = rows if unique else latest(rows, order=("position",))
         newest.write.mode("overwrite").parquet(f"{self.path}/delta/batch_seq={seq}")
         return seq
 

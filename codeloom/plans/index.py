@@ -11,7 +11,7 @@ from codeloom.functions.text import joined_words
 from codeloom.operators import encode, search
 from codeloom.operators.extract import chunks
 from codeloom.operators.patterns import PATTERNS, Pattern
-from codeloom.operators.store import Collection
+from codeloom.operators.store import Collection, latest
 from codeloom.sources.tree import source_tree
 from codeloom.streaming.index_stream import COLLECTION, DESCRIPTION
 
@@ -23,10 +23,8 @@ def indexed(files: DataFrame, mode: str = "effective", patterns: Sequence[Patter
     as it does when both are upserted one after the other.
     """
     found = chunks(files, mode, patterns).withColumnRenamed("content", "document")
-    unique = found.groupBy("id").agg(F.max_by(F.struct(*found.columns), F.struct("chunk_type", "document")).alias("row"))
-    rows = unique.select("row.*")
-    vectors = encode.encoded(rows, "id", "document")
-    return rows.join(vectors, "id", "left").withColumn("encoder", F.lit(encode.BUILT_IN))
+    unique = latest(found, order=("chunk_type", "document"))
+    return encode.with_vectors(unique, "id", "document")
 
 
 def index_files(
@@ -39,7 +37,7 @@ def index_files(
     rows = indexed(files, mode, patterns).select(
         "id", "document", F.create_map(*pairs).alias("metadata"), "vector", "encoder", F.lit(0).alias("position")
     )
-    return collection.upsert(rows)
+    return collection.upsert(rows, unique=True)
 
 
 def index_directory(

@@ -16,9 +16,7 @@ COLLECTION = "code_chunks"
 
 def indexed_rows(chunks: DataFrame) -> DataFrame:
     """INDEXED rows of accepted chunks: the last one per id, encoded."""
-    newest = latest(chunks, order=("position",))
-    vectors = encode.encoded(newest, "id", "document")
-    return newest.join(vectors, "id", "left").withColumn("encoder", F.lit(encode.BUILT_IN))
+    return encode.with_vectors(latest(chunks, order=("position",)), "id", "document")
 
 
 def index_batch(requests: DataFrame, collection: Collection, batch_seq: int, ack_path: str) -> None:
@@ -30,7 +28,7 @@ def index_batch(requests: DataFrame, collection: Collection, batch_seq: int, ack
     order = F.struct("modified", "session", "line_no")
     rows = parsed(requests).persist()
     try:
-        collection.upsert(indexed_rows(accepted_chunks(rows, order)), batch_seq)
+        collection.upsert(indexed_rows(accepted_chunks(rows, order)), batch_seq, unique=True)
         acks(rows).write.mode("overwrite").parquet(f"{ack_path}/batch_seq={batch_seq}")
     finally:
         rows.unpersist()
