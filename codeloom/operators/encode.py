@@ -8,6 +8,7 @@ unit length. A sentence model can take its place where its package is installed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,16 +77,6 @@ def encoded(texts: DataFrame, key: str, text: str, placed: bool = False) -> Data
     )
 
 
-def with_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``rows`` with ``vector`` (null without a word) and ``encoder``; ``rows`` are grouped by ``key``.
-
-    The text side and the vector side read the one exchange that grouped the rows, so
-    whatever made the rows runs once and nothing is shuffled again.
-    """
-    joined = rows.join(encoded(rows, key, text, placed=True), key, "left")
-    return joined.withColumn("encoder", F.lit(BUILT_IN))
-
-
 def as_postings(vectors: DataFrame, key: str) -> DataFrame:
     pairs = F.arrays_zip(F.col("vector.buckets").alias("bucket"), F.col("vector.weights").alias("weight"))
     return vectors.select(key, F.inline(pairs).alias("bucket", "weight"))
@@ -116,3 +107,31 @@ def model_encoder(load: Callable[[], object]) -> Callable[[Column], Column]:
             yield pd.Series([[float(x) for x in vector] for vector in model.encode(texts.tolist())])
 
     return encode
+
+
+class Encoder(NamedTuple):
+    """A named way from text to vectors: the built-in one, or a model by its loader."""
+
+    name: str
+    load: Callable[[], object] | None = None
+
+    def add_vectors(self, rows: DataFrame, key: str, text: str, placed: bool = False) -> DataFrame:
+        """``rows`` (unique by ``key``) with their vector, null where a text has no word, and ``encoder``.
+
+        With the built-in encoder on rows that were grouped by ``key`` (``placed``), the text
+        side and the vector side read the one exchange that grouped them: whatever made the
+        rows runs once and nothing is shuffled again.
+        """
+        if self.load is None:
+            rows = rows.join(encoded(rows, key, text, placed), key, "left")
+        else:
+            rows = rows.withColumn("embedding", model_encoder(self.load)(F.col(text)))
+        return rows.withColumn("encoder", F.lit(self.name))
+
+
+TRIGRAMS = Encoder(BUILT_IN)
+
+
+def model(name: str = DEFAULT_MODEL) -> Encoder:
+    """The encoder of a cached sentence model, for sessions whose workers have its package."""
+    return Encoder(name, sentence_model(name))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import checksum
+from codeloom.operators.store import Collection
+from codeloom.schemas import MANIFEST
 
 
 def manifest_of(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -39,3 +41,16 @@ def refreshed_manifest(manifest: DataFrame, written: DataFrame, key: str = "path
     """The manifest after ``written`` files were stored."""
     kept = manifest.join(written.select(key), key, "left_anti")
     return kept.unionByName(written.select(key, "sha256"))
+
+
+def stored_manifest(manifest: Collection) -> DataFrame:
+    """MANIFEST rows of a manifest collection; no rows before the first write."""
+    if manifest.last_seq() < 0:
+        return manifest.spark.createDataFrame([], MANIFEST)
+    return manifest.rows().select(F.col("id").alias("path"), "sha256")
+
+
+def store_manifest(manifest: Collection, written: DataFrame) -> int:
+    """Record the checksums of ``written`` files; the others keep theirs."""
+    rows = written.select(F.col("path").alias("id"), "sha256", F.lit(0).alias("position"))
+    return manifest.upsert(rows, unique=True)

@@ -109,6 +109,11 @@ def in_mode(patterns: Sequence[Pattern], mode: str, arrows: bool = False) -> tup
     return tuple(p for p in patterns if p.mode in wanted)
 
 
+def of_language(language: str, patterns: Sequence[Pattern] = PATTERNS) -> tuple[Pattern, ...]:
+    """The rows of one language: files of the others are then not even shuffled."""
+    return tuple(p for p in patterns if p.language == language)
+
+
 def pattern_table(spark: SparkSession, patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
     schema = T.StructType(
         [T.StructField(name, T.BooleanType() if name == "named" else T.StringType()) for name in Pattern._fields]

@@ -10,33 +10,42 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import joined_words
 from codeloom.operators import encode, search
 from codeloom.operators.extract import chunks
+from codeloom.operators.incremental import store_manifest, stored_manifest, with_change
 from codeloom.operators.patterns import PATTERNS, Pattern
 from codeloom.operators.store import Collection, latest
 from codeloom.sources.tree import source_tree
 from codeloom.streaming.index_stream import COLLECTION, DESCRIPTION
 
 
-def indexed(files: DataFrame, mode: str = "effective", patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
-    """INDEXED rows of source files: chunk columns, sparse vector, encoder name.
+def indexed(
+    files: DataFrame,
+    mode: str = "effective",
+    patterns: Sequence[Pattern] = PATTERNS,
+    encoder: encode.Encoder = encode.TRIGRAMS,
+) -> DataFrame:
+    """INDEXED rows of source files: chunk columns, vector, encoder name.
 
     Ids can collide when two declarations of one name share a line; the later type wins,
     as it does when both are upserted one after the other.
     """
     found = chunks(files, mode, patterns).withColumnRenamed("content", "document")
     unique = latest(found, order=("chunk_type", "document"))
-    return encode.with_vectors(unique, "id", "document")
+    return encoder.add_vectors(unique, "id", "document", placed=True)
 
 
 def index_files(
-    files: DataFrame, collection: Collection, mode: str = "effective", patterns: Sequence[Pattern] = PATTERNS
+    files: DataFrame,
+    collection: Collection,
+    mode: str = "effective",
+    patterns: Sequence[Pattern] = PATTERNS,
+    encoder: encode.Encoder = encode.TRIGRAMS,
 ) -> int:
     """Extract, encode and upsert the chunks of ``files``; returns the number of the batch."""
     collection.get_or_create(DESCRIPTION)
     names = ("file_path", "function_name", "class_name", "start_line", "end_line", "language", "chunk_type")
     pairs = [part for name in names for part in (F.lit(name), F.col(name).cast("string"))]
-    rows = indexed(files, mode, patterns).select(
-        "id", "document", F.create_map(*pairs).alias("metadata"), "vector", "encoder", F.lit(0).alias("position")
-    )
+    rows = indexed(files, mode, patterns, encoder)
+    rows = rows.withColumn("metadata", F.create_map(*pairs)).drop(*names).withColumn("position", F.lit(0))
     return collection.upsert(rows, unique=True)
 
 
@@ -54,9 +63,32 @@ def question(words: Column) -> Column:
     return joined_words(words)
 
 
-def ask(corpus: DataFrame, queries: DataFrame, threshold: float = search.THRESHOLD, shown: int = search.SHOWN) -> DataFrame:
-    """HIT rows for text queries ``(query_id, text)`` on rows with ``id``, ``document`` and ``vector``."""
+def refresh_directory(
+    spark: SparkSession, root: str, store: str, extensions: tuple[str, ...] = (".py",), mode: str = "effective"
+) -> Collection:
+    """Like ``index_directory``, but only for files whose checksum is new.
+
+    The manifest is a collection of its own: reading it is a scan of digests, renewing it
+    writes the changed ones.
+    """
+    manifest = Collection(spark, store, "manifest").get_or_create("Checksums of indexed files")
+    collection = Collection(spark, store, COLLECTION)
+    files = source_tree(spark, root, extensions)
+    changes = with_change(files, stored_manifest(manifest)).where("changed")
+    index_files(changes.select("path", "content"), collection, mode)
+    store_manifest(manifest, changes)
+    return collection
+
+
+def ask(
+    corpus: DataFrame,
+    queries: DataFrame,
+    threshold: float = search.THRESHOLD,
+    shown: int = search.SHOWN,
+    encoder: encode.Encoder = encode.TRIGRAMS,
+) -> DataFrame:
+    """HIT rows for text queries ``(query_id, text)`` on rows with ``id``, ``document`` and a vector."""
     if "encoder" in corpus.columns:
-        search.check_encoder(corpus, encode.BUILT_IN)
-    vectors = encode.encoded(queries, "query_id", "text")
-    return search.hits(corpus, vectors, threshold, shown)
+        search.check_encoder(corpus, encoder.name)
+    asked = encoder.add_vectors(queries.select("query_id", "text"), "query_id", "text")
+    return search.hits(corpus, asked, threshold, shown)

@@ -149,7 +149,6 @@ _HEADS = {
         ("statics", "^\\s*(?:pub )?static (?:mut )?(\\w+)", "statement"),
     ],
 }
-_LANGUAGES = {"go": "go", "js": "javascript", "ts": "typescript", "tsx": "typescript", "rust": "rust"}
 
 
 def brace(kind: str, arrows: bool = False) -> str:
@@ -185,7 +184,7 @@ SELECT path || '_' || CASE WHEN name = '' THEN kind ELSE name END || '_' || s AS
        regexp_replace(body, '^export ', '') AS content, path AS file_path,
        CASE WHEN kind = 'classes' THEN '' ELSE name END AS function_name,
        CASE WHEN kind = 'classes' THEN name ELSE '' END AS class_name,
-       s::INTEGER AS start_line, e::INTEGER AS end_line, '{_LANGUAGES[kind]}' AS language, kind AS chunk_type
+       s::INTEGER AS start_line, e::INTEGER AS end_line, '{Q.KIND_LANGUAGES[kind]}' AS language, kind AS chunk_type
 FROM content{arrow if arrows else ''}"""
 
 

@@ -12,7 +12,7 @@ from codeloom.functions import text as X
 from codeloom.operators import encode, incremental, reports, requests, search, store
 from codeloom.operators.extract import chunks, rejects
 from codeloom.operators.lines import by_path, line_facts, line_model
-from codeloom.operators.patterns import PATTERNS
+from codeloom.operators.patterns import of_language
 from codeloom.plans.corpus import modules
 from codeloom.plans.index import ask, index_files, question
 from codeloom.session import shared_folder
@@ -26,6 +26,7 @@ TREE_SKIPPED = ("fr", "spam")
 TREE_EXTENSIONS = ("", ".html")
 FOOTPRINT_NAMES = ("en/src1", "fr", "de/src10", "src7", "absent/model")
 QUESTIONS = (("q1", ("price", "12")), ("q2", ("quote", "1")), ("q3", ("Catalog3", "prices", "of", "block")), ("q4", ("area", "77", "size")))
+KIND_LANGUAGES = {"go": "go", "js": "javascript", "ts": "typescript", "tsx": "typescript", "rust": "rust"}
 TURNS_PER_REQUEST = 4
 REQUESTS_PER_SESSION = 4
 
@@ -99,12 +100,13 @@ def python_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(python_modules(spark, sf_dir), "declared").where("chunk_type in ('imports', 'variables')")
+    return chunks(python_modules(spark, sf_dir), "declared", of_language("python")).where("chunk_type in ('imports', 'variables')")
 
 
 def brace_chunks(kind: str, arrows: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return chunks(modules(table(spark, sf_dir, "part"), kind), "declared", PATTERNS, arrows)
+        files = modules(table(spark, sf_dir, "part"), kind)
+        return chunks(files, "declared", of_language(KIND_LANGUAGES[kind]), arrows)
 
     return run
 

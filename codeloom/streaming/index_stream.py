@@ -14,12 +14,13 @@ DESCRIPTION = "Code chunks for semantic search"
 COLLECTION = "code_chunks"
 
 
-def indexed_rows(chunks: DataFrame) -> DataFrame:
-    """INDEXED rows of accepted chunks: the last one per id, encoded."""
-    return encode.with_vectors(latest(chunks, order=("position",)), "id", "document")
-
-
-def index_batch(requests: DataFrame, collection: Collection, batch_seq: int, ack_path: str) -> None:
+def index_batch(
+    requests: DataFrame,
+    collection: Collection,
+    batch_seq: int,
+    ack_path: str,
+    encoder: encode.Encoder = encode.TRIGRAMS,
+) -> None:
     """Index one bounded set of request lines and write its acknowledgements.
 
     Both writes replace what an interrupted try of the same batch left behind. The
@@ -28,7 +29,8 @@ def index_batch(requests: DataFrame, collection: Collection, batch_seq: int, ack
     order = F.struct("modified", "session", "line_no")
     rows = parsed(requests).persist()
     try:
-        collection.upsert(indexed_rows(accepted_chunks(rows, order)), batch_seq, unique=True)
+        newest = latest(accepted_chunks(rows, order), order=("position",))
+        collection.upsert(encoder.add_vectors(newest, "id", "document", placed=True), batch_seq, unique=True)
         acks(rows).write.mode("overwrite").parquet(f"{ack_path}/batch_seq={batch_seq}")
     finally:
         rows.unpersist()
@@ -46,14 +48,19 @@ def _first_seq(spark: SparkSession, collection: Collection, checkpoint: str) ->
 
 
 def start(
-    requests: DataFrame, collection: Collection, checkpoint: str, ack_path: str, available_now: bool = False
+    requests: DataFrame,
+    collection: Collection,
+    checkpoint: str,
+    ack_path: str,
+    available_now: bool = False,
+    encoder: encode.Encoder = encode.TRIGRAMS,
 ) -> StreamingQuery:
     """Start the stream over ``stream_requests``. Bad requests only cost an error acknowledgement."""
     collection.get_or_create(DESCRIPTION)
     first = _first_seq(requests.sparkSession, collection, checkpoint)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        index_batch(batch, collection, first + batch_id, ack_path)
+        index_batch(batch, collection, first + batch_id, ack_path, encoder)
 
     writer = requests.writeStream.foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/stream")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
