@@ -156,7 +156,12 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         ).alias("block_end"),
         F.when(
             F.col("event.chunk_type").isNull() & F.col("ends_statement"),
-            F.struct("ln", F.length("code").alias("end"), (~F.col("at_end")).alias("body")),
+            F.struct(
+                "ln",
+                F.length("code").alias("end"),
+                (~F.col("at_end")).alias("body"),
+                F.length(F.rtrim("code", F.lit(";, "))).alias("expression"),
+            ),
         ).alias("statement_end"),
     )
     later = (
@@ -168,10 +173,17 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         "statement_end", F.last("statement_end", ignorenulls=True).over(later)
     )
     own = F.struct("ln", F.col("own_end").alias("end"), F.lit(True).alias("body"))
+    # An arrow function ends with its expression, not with the statement around it.
+    is_arrow = (F.col("chunk_type") == "functions") & (F.col("name") == "")
+    statement = F.struct(
+        F.col("statement_end.ln").alias("ln"),
+        F.when(is_arrow, F.col("statement_end.expression")).otherwise(F.col("statement_end.end")).alias("end"),
+        F.col("statement_end.body").alias("body"),
+    )
     end = (
         F.when(F.col("own_end").isNotNull(), own)
         .when(F.col("style") == "block", F.col("block_end"))
-        .otherwise(F.col("statement_end"))
+        .otherwise(statement)
     )
     return (
         events.where(F.col("chunk_type").isNotNull())

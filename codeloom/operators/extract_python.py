@@ -132,6 +132,7 @@ def statements(partitioned: DataFrame) -> DataFrame:
     code = F.col("code")
     at_end = code == lexis.END_OF_FILE
     order = Window.partitionBy("path").orderBy("ln")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = masked_lines(partitioned, ["python"]).select(
         "path",
         "language",
@@ -148,7 +149,7 @@ def statements(partitioned: DataFrame) -> DataFrame:
         "ln",
         "code",
         "ind",
-        (F.sum("change").over(order) - F.col("change")).alias("depth"),
+        (F.sum("change").over(running) - F.col("change")).alias("depth"),
         F.lag(code.endswith("\\"), 1, False).over(order).alias("joined"),
         F.lag("mine").over(order).alias("seen"),
         F.expr("lag(mine_coded) ignore nulls over (partition by path order by ln)").alias("coded"),
@@ -162,11 +163,11 @@ def statements(partitioned: DataFrame) -> DataFrame:
     # once a comment to the left of the block was seen in the same gap. Weighing the
     # indent with the number of the statement makes the running minimum restart at
     # every statement without a second partitioning.
-    rank = F.sum(F.col("is_start").cast("long")).over(order)
+    rank = F.sum(F.col("is_start").cast("long")).over(running)
     rows = rows.select("*", rank.alias("rank"), F.when(F.col("is_start"), F.col("ind")).alias("start_ind"))
     rows = rows.select(
         "*",
-        F.min(F.col("ind") - F.col("rank") * F.lit(_STEP)).over(order).alias("lowest"),
+        F.min(F.col("ind") - F.col("rank") * F.lit(_STEP)).over(running).alias("lowest"),
         F.expr("lead(start_ind) ignore nulls over (partition by path order by ln)").alias("next_ind"),
         F.lead("seen").over(order).alias("next_seen"),
         F.lead("coded").over(order).alias("next_coded"),

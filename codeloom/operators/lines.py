@@ -62,13 +62,13 @@ def masked_lines(partitioned: DataFrame, languages: list[str]) -> DataFrame:
 def line_facts(partitioned: DataFrame, languages: list[str]) -> DataFrame:
     """Per non-blank line: does it start inside a string, at which bracket depth, and where its code ends."""
     change = lexis.bracket_change(F.col("code"))
-    order = Window.partitionBy("path").orderBy("ln")
+    running = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = masked_lines(partitioned, languages).where(F.col("mask") != lexis.END_OF_FILE)
     return rows.select(
         "path",
         "language",
         "ln",
         F.col("code").startswith(lexis.STRING_FILL).alias("in_string"),
-        (F.sum(change).over(order) - change).alias("depth"),
+        (F.sum(change).over(running) - change).alias("depth"),
         F.length("code").alias("code_end"),
     )

@@ -13,6 +13,7 @@ from codeloom.operators.extract import chunks
 from codeloom.operators.incremental import store_manifest, stored_manifest, with_change
 from codeloom.operators.patterns import PATTERNS, Pattern
 from codeloom.operators.store import Collection, latest
+from codeloom.session import placed_by
 from codeloom.sources.tree import source_tree
 from codeloom.streaming.index_stream import COLLECTION, DESCRIPTION
 
@@ -29,7 +30,9 @@ def indexed(
     as it does when both are upserted one after the other.
     """
     found = chunks(files, mode, patterns).withColumnRenamed("content", "document")
-    unique = latest(found, order=("chunk_type", "document"))
+    # Ids hold path and line, so none is frequent: placing rows first loses nothing, and the
+    # explicit partition number keeps the encoder on all tasks.
+    unique = latest(placed_by(found, "id"), order=("chunk_type", "document"))
     return encoder.add_vectors(unique, "id", "document", placed=True)
 
 

@@ -222,11 +222,12 @@ def test_hard_braces(spark, path):
 
 
 def test_arrows(spark):
-    text = "const f = (a) => a * 2;\nconst g = (x) => {\n  return m.map((y) => y + 1).filter((z) => [z, 1]);\n};\n"
+    text = "const f = (a) => a * 2;\nconst g = (x) => {\n  return m.map((y) => y + 1).filter((z) => [z, 1]);\n};\nconst h = async (q) =>\n  q + 1;\n"
     rows = chunks(files(spark, [("a.ts", text)]), "declared", arrows=True).where("chunk_type = 'functions'").collect()
     assert {(r.id, r.content) for r in rows} == {
         ("a.ts_functions_1", "(a) => a * 2"),
         ("a.ts_functions_2", "(x) => {\n  return m.map((y) => y + 1).filter((z) => [z, 1]);\n}"),
         ("a.ts_functions_3", "(y) => y + 1"),
         ("a.ts_functions_3", "(z) => [z, 1]"),
+        ("a.ts_functions_5", "async (q) =>\n  q + 1"),
     }
