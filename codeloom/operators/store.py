@@ -48,6 +48,17 @@ def as_set(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct()
 
 
+def newest_segment(rows: DataFrame, key: str = "id", segment: str = "batch_seq") -> DataFrame:
+    """Rows of the newest segment of every key; a key occurs once per segment.
+
+    Only keys that occur again take part in the join: usually a small side.
+    """
+    again = rows.groupBy(key).agg(F.max(segment).alias("newest"), F.count("*").alias("times"))
+    again = again.where("times > 1").select(key, "newest")
+    joined = rows.join(again, key, "left")
+    return joined.where(F.col("newest").isNull() | (F.col(segment) == F.col("newest"))).drop("newest")
+
+
 class CollectionNotFound(LookupError):
     pass
 
@@ -123,7 +134,11 @@ class Collection:
         return self.spark.read.option("basePath", f"{self.path}/{folder}").parquet(*paths)
 
     def rows(self) -> DataFrame:
-        """The current rows, one per id."""
+        """The current rows, one per id.
+
+        Ids are unique within a segment. So only ids are compared across segments, a
+        single segment is read as it is, and columns nobody asks for are not read.
+        """
         self.get()
         bases = self._numbers("base", "v=")[-1:]
         newer = [n for n in self._numbers("delta", "batch_seq=") if not bases or n > bases[0]]
@@ -133,9 +148,11 @@ class Collection:
             return self._segments("base", "v=", bases).drop("v")
         delta = self._segments("delta", "batch_seq=", newer)
         delta = delta.withColumn("batch_seq", F.col("batch_seq").cast("long"))
+        current = delta if len(newer) == 1 else newest_segment(delta)
         if not bases:
-            return latest(delta)
-        return upserted(self._segments("base", "v=", bases).drop("v"), delta)
+            return current
+        base = self._segments("base", "v=", bases).drop("v")
+        return without(base, delta, "id").unionByName(current)
 
     def count(self) -> int:
         return self.rows().count() if self.last_seq() >= 0 else 0

@@ -18,6 +18,9 @@ LOCAL_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Folders of sessions on a local master that name none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def local_session(app: str, cores: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks. Clusters bring their own."""
@@ -44,9 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="codeloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="codeloom-")
+    return _LOCAL_FOLDERS[application]
 
 
 def placed_by(rows: DataFrame, *keys: str) -> DataFrame:
