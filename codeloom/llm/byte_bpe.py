@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding over a file of merge ranks (operator 10).
 
 Every match of the splitting pattern is merged on its own. The pairs of a match wait in a queue with
-one bucket of linked-list positions for each merge rank; a bitmap of three levels says which buckets
-hold something, so the next rank is three find-first-set steps away. A merge leaves the entries
+one bucket of linked-list positions for each merge rank; a bitmap of two levels says which buckets
+hold something, so the next rank is two find-first-set steps away. A merge leaves the entries
 of the pairs that it destroyed in their buckets; they are recognised as stale when taken.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows give repeated
@@ -17,14 +17,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_texts, pieces, strings
+from codeloom.llm.common import Splitter, map_texts, pieces, strings
 
-#: Encoded matches that a task remembers; when full, it starts anew.
-REMEMBERED = 200_000
+#: Encoded matches of a generation that a task remembers; two generations at most.
+REMEMBERED = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,41 +33,48 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank; the lowest rank and in it the leftmost position comes first."""
+    """Positions by merge rank; the lowest rank and in it the leftmost position comes first.
+
+    Bucket ``r`` holds its one position as a number or several as a heap. Bit ``r % WIDTH`` of leaf ``r // WIDTH`` says
+    that it holds something, bit ``g`` of the root that leaf ``g`` does.
+    """
+
+    SHIFT = 8
+    WIDTH = 1 << SHIFT
 
     def __init__(self, ranks: int) -> None:
-        self.top = 0
-        self.middle = [0] * ((ranks >> 12) + 1)
-        self.leaves = [0] * ((ranks >> 6) + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.root = 0
+        self.leaves = [0] * ((ranks >> self.SHIFT) + 1)
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> 6
-        self.leaves[leaf] |= 1 << (rank & 63)
-        self.middle[leaf >> 6] |= 1 << (leaf & 63)
-        self.top |= 1 << (leaf >> 6)
+        held = self.buckets.get(rank)
+        if held is None:
+            self.buckets[rank] = position
+            leaf = rank >> 8
+            self.leaves[leaf] |= 1 << (rank & 255)
+            self.root |= 1 << leaf
+        elif type(held) is int:
+            self.buckets[rank] = [held, position] if held < position else [position, held]
+        else:
+            heapq.heappush(held, position)
 
     def pop(self) -> tuple[int, int]:
         """Takes an entry out. Only for queues that hold one."""
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[group]
-        leaf = group << 6 | (bits & -bits).bit_length() - 1
+        root = self.root
+        leaf = (root & -root).bit_length() - 1
         bits = self.leaves[leaf]
-        rank = leaf << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
+        rank = (leaf << 8) + (bits & -bits).bit_length() - 1
+        held = self.buckets[rank]
+        if type(held) is int:
             del self.buckets[rank]
             self.leaves[leaf] = bits = bits & (bits - 1)
             if not bits:
-                self.middle[group] &= self.middle[group] - 1
-                if not self.middle[group]:
-                    self.top &= self.top - 1
+                self.root = root & (root - 1)
+            return rank, held
+        position = heapq.heappop(held)
+        if len(held) == 1:
+            self.buckets[rank] = held[0]
         return rank, position
 
 
@@ -77,9 +83,11 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.findall = regex.compile(pattern).findall
+        self.findall = Splitter(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0))
+        #: Ids of matches, in two generations: what is met again while the older one lasts moves to the newer.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -89,51 +97,62 @@ class ByteBPE:
         ranks, queue, n = self.ranks, self.queue, len(data)
         if data in ranks:
             return [ranks[data]]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        #: Rank of the pair that begins at a position, -1 without one.
-        pair = [ranks.get(data[i : i + 2], -1) for i in range(n - 1)] + [-1]
+        rank_of, push, pop = ranks.get, queue.push, queue.pop
+        after = list(range(1, n + 2))
+        before = list(range(-1, n))
+        #: Rank of the pair that begins at a position, None without one.
+        pair = [rank_of(data[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
         for position, rank in enumerate(pair):
-            if rank >= 0:
-                queue.push(rank, position)
-        while queue.top:
-            rank, left = queue.pop()
+            if rank is not None:
+                push(rank, position)
+        while queue.root:
+            rank, left = pop()
             if pair[left] != rank:
                 continue
             right = after[left]
-            end = after[right]
-            after[left] = end
-            pair[right] = -1
-            pair[left] = -1
+            after[left] = end = after[right]
+            pair[right] = None
             if end < n:
                 before[end] = left
-                pair[left] = rank = ranks.get(data[left : after[end]], -1)
-                if rank >= 0:
-                    queue.push(rank, left)
-            first = before[left]
-            if first >= 0:
-                pair[first] = rank = ranks.get(data[first:end], -1)
-                if rank >= 0:
-                    queue.push(rank, first)
+                pair[left] = rank = rank_of(data[left : after[end]])
+                if rank is not None:
+                    push(rank, left)
+            else:
+                pair[left] = None
+            if left:
+                first = before[left]
+                pair[first] = rank = rank_of(data[first:end])
+                if rank is not None:
+                    push(rank, first)
         ids, begin = [], 0
         while begin < n:
-            ids.append(ranks[data[begin : after[begin]]])
-            begin = after[begin]
+            end = after[begin]
+            ids.append(ranks[data[begin:end]])
+            begin = end
+        return ids
+
+    def remembered(self, match: str) -> bytes:
+        """The ids of a match that is not in the newer generation."""
+        ids = self.older.get(match)
+        if ids is None:
+            ids = np.array(self.merged(match.encode("utf-8", "replace")), "<u4").tobytes()
+        if len(match) < 64:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[match] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
+        out = []
         for piece in pieces(text):
-            for match in self.findall(piece):
-                ids = known.get(match)
-                if ids is None:
-                    ids = np.array(self.merged(match.encode("utf-8", "replace")), "<u4").tobytes()
-                    if len(match) < 64:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[match] = ids
-                out.append(ids)
+            matches = self.findall(piece)
+            known = self.known
+            ids = list(map(known.get, matches))
+            if None in ids:
+                ids = [found or known.get(match) or self.remembered(match) for found, match in zip(ids, matches, strict=True)]
+            out.append(b"".join(ids))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

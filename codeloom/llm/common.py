@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.session import shared_folder
@@ -62,3 +64,53 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
         yield text[begin : cut.start()]
         begin = cut.start()
     yield text[begin:] if begin else text
+
+
+_BEYOND_BMP = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def _members(name: str, end: int) -> str:
+    """The characters of a class below ``end``, written as ranges of a bracket expression."""
+    found = regex.findall(f"[{name}]+", "".join(map(chr, range(end))))
+    out = []
+    for run in found:
+        begin = previous = ord(run[0])
+        for code in [*map(ord, run[1:]), -1]:
+            if code != previous + 1:
+                out.append(f"\\U{begin:08x}-\\U{previous:08x}")
+                begin = code
+            previous = code
+    return "".join(out)
+
+
+def _spelled_out(pattern: str, end: int) -> re.Pattern:
+    """``pattern`` for ``re``, with its character classes as ranges."""
+    out, inside = [], False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part.startswith(("\\p", "\\s")):
+            out.append(_members(part, end) if inside else f"[{_members(part, end)}]")
+        elif part == "\\S":
+            out.append(f"[^{_members('\\s', end)}]")
+        else:
+            inside = part == "[" or (inside and part != "]")
+            out.append(part)
+    return re.compile("".join(out))
+
+
+class Splitter:
+    """Finds all matches of a pattern with Unicode classes (``\\p{..}``, ``\\s``).
+
+    The standard library matches several times faster than ``regex`` but lacks such classes, so they are
+    spelled out: for ASCII texts, and for texts within the basic plane. Others go to ``regex``.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        self.all = regex.compile(pattern).findall
+        self.ascii = _spelled_out(pattern, 0x80).findall
+        self.basic = _spelled_out(pattern, 0x10000).findall
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii(text)
+        return self.all(text) if _BEYOND_BMP.search(text) else self.basic(text)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import PIECE_CHARS, map_texts, strings
+from codeloom.llm.common import PIECE_CHARS, Splitter, map_texts, strings
 
 #: Counts of words, and transitions, that a task remembers; when full, it starts anew.
 REMEMBERED = 400_000
@@ -184,7 +184,7 @@ class TokenCounter(dict):
             description = json.load(file)
         self.transducer = Transducer(Merges(description["model"]))
         split = description["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split).findall
+        self.words = Splitter(split)
         special = [t["content"] for t in description["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
