@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import Splitter, map_texts, pieces, strings
 
 #: Encoded matches of a generation that a task remembers; two generations at most.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -159,11 +160,17 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@cache
+def bpe_of(path: str, pattern: str) -> ByteBPE:
+    """One for all tasks of a Python worker, so that later tasks begin with what earlier ones remember."""
+    return ByteBPE(load_ranks(path), pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids``: the token ids of each row's ``text``, four bytes each, little-endian."""
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        bpe = ByteBPE(load_ranks(path), pattern)
+        bpe = bpe_of(path, pattern)
 
         def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [bpe.encode(text) for text in strings(batch.column(1))]
@@ -178,7 +185,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded``: the bytes that the ids stand for."""
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        bpe = ByteBPE(load_ranks(path), "")
+        bpe = bpe_of(path, "")
 
         def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             decoded = [bpe.decode(ids or b"") for ids in batch.column(1).to_pylist()]
