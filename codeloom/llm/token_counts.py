@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -231,11 +232,17 @@ class TokenCounter(dict):
         return self.closed(head) + count + self.closed(tail or "")
 
 
+@cache
+def counter_of(path: str) -> TokenCounter:
+    """One for all tasks of a Python worker, so that the transducer is compiled once."""
+    return TokenCounter(path)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """For each row ``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit``."""
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        counter = TokenCounter(path)
+        counter = counter_of(path)
 
         def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = strings(batch.column(1))
