@@ -32,7 +32,8 @@ SHARD_BYTES = 16 << 20
 _NORMAL = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text as it stands.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 SCHEMA = "doc_id bigint, text_hash bigint, row bigint, n_words bigint, hits array<int>, items array<string>, spans array<struct<begin:int,end:int>>"
 
