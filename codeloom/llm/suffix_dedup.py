@@ -128,10 +128,11 @@ def repeated_heads(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = "doc_id bigint, text_hash bigint, n_words int, heads array<bigint>"
     texts = checkpointed(map_texts(rows, ["doc_id", "text_hash", "text"], schema, work))
+    place = F.xxhash64("text_hash", "at")
     counted = (
         texts.select("text_hash", F.posexplode("heads").alias("at", "head"))
         .groupBy("head")
-        .agg(F.min(F.struct("text_hash", "at")).alias("low"), F.max(F.struct("text_hash", "at")).alias("high"))
+        .agg(F.min(place).alias("low"), F.max(place).alias("high"))
     )
     return texts.drop("heads"), counted.where("low <> high").select("head")
 
@@ -202,8 +203,10 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     texts, heads = repeated_heads(docs)
     found = windows(docs, head_bitmap(heads))
-    place = F.struct("text_hash", "place")
-    equal = (
+    # One number for each place of a text: least and greatest differ if there are two places. Written before the
+    # join, so that the rows of a window that many documents share can be split there.
+    place = F.xxhash64("text_hash", "place")
+    equal = checkpointed(
         found.groupBy("window")
         .agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("doc_id").alias("first_doc_id"))
         .where("low <> high")
