@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import Splitter, map_texts, pieces, strings
 
 #: Encoded matches of a generation that a task remembers; two generations at most.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -196,8 +196,24 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return map_texts(rows, ["doc_id", "ids"], "doc_id bigint, ids binary, decoded binary", work)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What ``decode`` gives of what ``encode`` gives, in one pass, so that a task keeps one set of tables."""
+
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        bpe = bpe_of(path, pattern)
+
+        def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [bpe.encode(text) for text in strings(batch.column(1))]
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+
+        return of_batch
+
+    return map_texts(docs, ["doc_id", "text"], "doc_id bigint, ids binary, decoded binary", work)
+
+
 def digests(rows: DataFrame) -> DataFrame:
-    """Counts and checksums of what ``decode`` gives."""
+    """Counts and checksums of what ``decode`` or ``round_trip`` gives."""
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -18,6 +18,7 @@ from codeloom.llm import (
     url_filter,
 )
 from codeloom.llm.common import table
+from codeloom.llm.oracle import ORACLE
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +60,7 @@ def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(ids, path))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 QUERIES = {
@@ -71,4 +71,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

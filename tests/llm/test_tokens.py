@@ -35,6 +35,8 @@ def test_byte_bpe_agrees_with_the_library_and_round_trips(documents):
         text = TEXTS[row.doc_id] or ""
         assert np.frombuffer(row.ids, "<u4").tolist() == library.encode_ordinary(text)
         assert bytes(row.decoded).decode() == text
+    again = byte_bpe.round_trip(documents(TEXTS), RANKS, public_tokenizers.PATTERN)
+    assert sorted(again.collect()) == sorted(encoded.collect())
     digest = byte_bpe.digests(encoded).where("doc_id = 0").first()
     nothing = hashlib.sha256(b"").hexdigest()
     assert (digest.n_tokens, digest.ids_sha256, digest.decoded_sha256) == (0, nothing, nothing)
