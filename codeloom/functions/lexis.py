@@ -33,8 +33,20 @@ def _tripled(q: str) -> str:
 
 _LINE_COMMENT = r"//[^\n]*+"
 _BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
-_NESTED_BLOCK_COMMENT = r"/\*(?:(?!/\*|\*/)[\s\S]|/\*[\s\S]*?\*/)*+\*/"
-_REGEX_LITERAL = r"(?<=[=(,:;!&|?{}\[]\s{0,8})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+
+
+def _nested_comment(depth: int = 24) -> str:
+    """A block comment with block comments in it, ``depth`` levels deep."""
+    comment = r"/\*[\s\S]*?\*/"
+    for _ in range(depth - 1):
+        comment = rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|{comment})*+\*/"
+    return comment
+
+
+_NESTED_BLOCK_COMMENT = _nested_comment()
+# A slash begins a literal behind an operator, a bracket or one of the words that an expression follows.
+_BEFORE_LITERAL = r"[=(,:;!&|?{}\[+*%~^<>]|\b(?:return|typeof|case|delete|void|throw|else|do|yield|await|in|of)"
+_REGEX_LITERAL = rf"(?=/)(?<=(?:{_BEFORE_LITERAL})\s{{0,400}})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
 _SCRIPT = "|".join(
     [_LINE_COMMENT, _BLOCK_COMMENT, _quoted('"'), _quoted("'"), _quoted_across_lines("`"), _REGEX_LITERAL]
 )
@@ -48,11 +60,9 @@ TOKENS = {
         [
             _LINE_COMMENT,
             _NESTED_BLOCK_COMMENT,
-            r'r"[^"]*+"',
-            r'r#"[\s\S]*?"#',
-            r'r##"[\s\S]*?"##',
+            r'r(#*+)"[\s\S]*?"\1',
             _quoted_across_lines('"'),
-            r"'(?:[^'\\\n]|\\[^\n]{1,10}?)'",
+            r"'(?:[^'\\\n]|\\u\{[^}\n]*+\}|\\x[0-9A-Fa-f]{2}|\\[^\n])'",
         ]
     ),
 }

@@ -28,18 +28,18 @@ STOP_WORDS = "function def return if else to is this where class self the a".spl
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, camel case split; may hold '' and stop words."""
-    return F.split(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
+    return F.split(F.lower(F.regexp_replace(text, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")), r"[^\p{L}\p{N}]+")
 
 
 def bucket(framed: Column, at: Column) -> Column:
     """Bucket of the three characters of ``framed`` from ``at`` on.
 
-    The characters make one number of 21 bits; a multiplicative hash keeps its top 12 bits.
+    The code points make one number of 24 bits; a multiplicative hash keeps its top 12 bits.
     """
     code = F.lit(0).cast("long")
     for offset in range(3):
         code = code * 128 + F.ascii(framed.substr(at + offset, F.lit(1)))
-    return (code * _MULTIPLIER % (1 << 32) / (1 << 20)).cast("int")
+    return F.shiftright(code.bitwiseAND((1 << 24) - 1) * _MULTIPLIER % (1 << 32), 20).cast("int")
 
 
 def postings(texts: DataFrame, key: str, text: str, placed: bool = False) -> DataFrame:
@@ -53,13 +53,16 @@ def postings(texts: DataFrame, key: str, text: str, placed: bool = False) -> Dat
     rows = rows if placed else placed_by(rows, key)
     found = rows.select(key, F.explode(words(F.col(text))).alias("word"))
     found = found.where((F.col("word") != "") & ~F.col("word").isin(*STOP_WORDS))
-    framed = found.select(
+    # A word is cut into trigrams once, however often it occurs.
+    counted = found.groupBy(key, "word").agg(F.count("*").alias("n"))
+    framed = counted.select(
         key,
+        "n",
         F.concat(F.lit("^"), "word", F.lit("$")).alias("framed"),
         F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"),
     )
-    hashed = framed.select(key, bucket(F.col("framed"), F.col("at")).alias("bucket"))
-    return hashed.groupBy(key, "bucket").agg((F.log(F.count("*").cast("double")) + 1).alias("raw"))
+    hashed = framed.select(key, "n", bucket(F.col("framed"), F.col("at")).alias("bucket"))
+    return hashed.groupBy(key, "bucket").agg((F.log(F.sum("n").cast("double")) + 1).alias("raw"))
 
 
 def encoded(texts: DataFrame, key: str, text: str, placed: bool = False) -> DataFrame:

@@ -20,7 +20,17 @@ LANGUAGES = ["go", "javascript", "typescript", "rust"]
 
 # A line that ends like this goes on in the next line.
 _CONTINUES = r"(?:[=+\-*/%&|^<>?:,.(\[{~!]|\b(?:where|extends|implements|in|of|as))\z"
-_ARROW = r"(?:async\s*)?\((?:[^()]|\([^()]*+\))*+\)\s*(?::[^=;{}]*+)?=>"
+
+
+def _list(depth: int = 24) -> str:
+    """A parameter list with parentheses in its defaults, ``depth`` levels deep."""
+    inner = r"\([^()]*+\)"
+    for _ in range(depth - 1):
+        inner = rf"\((?:[^()]|{inner})*+\)"
+    return inner
+
+
+_ARROW = rf"(?:async\s*)?{_list()}\s*(?::[^=;{{}}]*+)?=>"
 
 
 def _last_brace(code: Column) -> Column:

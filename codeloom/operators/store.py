@@ -2,8 +2,9 @@
 
 A collection is a folder with one ``delta/batch_seq=N`` segment per write and, after a
 compaction, ``base/v=N`` with everything up to batch N. A write costs the size of its
-batch, never the size of the collection, and writing a batch again replaces the same
-segment: replays after a lost executor or driver change nothing. One writer at a time.
+batch, never the size of the collection. A writer that may repeat a batch names itself and the batch;
+the number of the segment is fixed at the first try, so replays after a lost executor or driver
+change nothing, and no other writer can take that number. One write at a time.
 """
 
 from __future__ import annotations
@@ -63,6 +64,10 @@ class CollectionNotFound(LookupError):
     pass
 
 
+class LayoutMismatch(ValueError):
+    """Rows with other columns or types than those that the collection holds."""
+
+
 class Collection:
     """A keyed collection below ``root``. Rows need ``id``, ``batch_seq`` and ``position``."""
 
@@ -109,18 +114,56 @@ class Collection:
         fs.delete(hadoop.Path(self.path), True)
 
     def last_seq(self) -> int:
+        """The highest number of a finished write."""
         return max([-1, *self._numbers("delta", "batch_seq="), *self._numbers("base", "v=")])
 
-    def upsert(self, rows: DataFrame, batch_seq: int | None = None, unique: bool = False) -> int:
-        """Write one batch; within it the highest position of an id wins.
+    def _claims(self) -> list[tuple[str, int]]:
+        """Batches of named writers with the numbers they have taken."""
+        fs, hadoop = self._fs()
+        folder = hadoop.Path(f"{self.path}/claims")
+        names = [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+        return [(batch, int(seq)) for batch, seq in (name.rsplit("=", 1) for name in names)]
+
+    def _claimed(self, batch: str) -> tuple[int, bool]:
+        """The number of a writer's batch, fixed at its first try, and whether its rows are part of a base already."""
+        claims, finished, bases = self._claims(), set(self._numbers("delta", "batch_seq=")), self._numbers("base", "v=")
+        folded = max(bases, default=-1)
+        own = [seq for name, seq in claims if name == batch]
+        for seq in own:
+            if seq in finished or seq > folded:
+                return seq, seq <= folded
+        # New, or an unfinished try that a compaction has passed by.
+        seq = max([self.last_seq(), *(seq for _, seq in claims)]) + 1
+        fs, hadoop = self._fs()
+        fs.mkdirs(hadoop.Path(f"{self.path}/claims/{batch}={seq}"))
+        return seq, False
 
-        ``unique`` says that no id occurs twice in ``rows``.
+    def _check_layout(self, rows: DataFrame) -> None:
+        """All segments have the columns and types of the first write, kept beside it."""
+        path = f"{self.path}/layout"
+        layout = ", ".join(sorted(f"{name} {kind}" for name, kind in rows.dtypes if name != "batch_seq"))
+        fs, hadoop = self._fs()
+        if not fs.exists(hadoop.Path(f"{path}/_SUCCESS")):
+            self.spark.range(1).select(F.lit(layout).alias("layout")).coalesce(1).write.mode("overwrite").parquet(path)
+            return
+        stored = self.spark.read.parquet(path).first()["layout"]
+        if stored != layout:
+            raise LayoutMismatch(f"{self.name} holds rows of ({stored}), not ({layout})")
+
+    def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None, unique: bool = False) -> int:
+        """Write one batch; within it the highest position of an id wins. Returns its number.
+
+        ``batch`` names a writer and the writer's own number of the batch, for writes that may be tried
+        again: every try writes the same segment. ``unique`` says that no id occurs twice in ``rows``.
         """
-        seq = self.last_seq() + 1 if batch_seq is None else batch_seq
-        if any(version >= seq for version in self._numbers("base", "v=")):
-            return seq  # a replay of a batch that a compaction has already taken in
-        newest = rows if unique else latest(rows, order=("position",))
-        newest.write.mode("overwrite").parquet(f"{self.path}/delta/batch_seq={seq}")
+        self._check_layout(rows)
+        if batch is None:
+            seq, done = max([self.last_seq(), *(seq for _, seq in self._claims())]) + 1, False
+        else:
+            seq, done = self._claimed(f"{batch[0]}-{batch[1]}")
+        if not done:
+            newest = rows if unique else latest(rows, order=("position",))
+            newest.write.mode("overwrite").parquet(f"{self.path}/delta/batch_seq={seq}")
         return seq
 
     def add(self, rows: DataFrame) -> int:

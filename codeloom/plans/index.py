@@ -48,7 +48,12 @@ def index_files(
     names = ("file_path", "function_name", "class_name", "start_line", "end_line", "language", "chunk_type")
     pairs = [part for name in names for part in (F.lit(name), F.col(name).cast("string"))]
     rows = indexed(files, mode, patterns, encoder)
-    rows = rows.withColumn("metadata", F.create_map(*pairs)).drop(*names).withColumn("position", F.lit(0))
+    rows = rows.withColumn("metadata", F.create_map(*pairs)).drop(*names)
+    # The layout of rows that come from requests.
+    at = F.struct(
+        F.lit(None).cast("timestamp").alias("modified"), F.lit("").alias("session"), F.lit(0).alias("line_no")
+    )
+    rows = rows.withColumn("position", F.struct(at.alias("at"), F.lit(0).alias("place")))
     return collection.upsert(rows, unique=True)
 
 

@@ -263,10 +263,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 
 def postings(name: str, source: str, key: str, text: str) -> str:
     """CTE ``name(key, bucket, weight)``."""
-    code = "ascii(substr(word, i, 1)) * 16384 + ascii(substr(word, i + 1, 1)) * 128 + ascii(substr(word, i + 2, 1))"
+    code = "(unicode(substr(word, i, 1)) * 16384 + unicode(substr(word, i + 1, 1)) * 128 + unicode(substr(word, i + 2, 1))) % 16777216"
     return f"""
 {name}_words AS (
-  SELECT {key} AS key, unnest(string_split_regex(lower(regexp_replace({text}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS word
+  SELECT {key} AS key, unnest(string_split_regex(lower(regexp_replace({text}, '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g')), '[^\\p{{L}}\\p{{N}}]+')) AS word
   FROM {source}),
 {name}_counted AS (
   SELECT key, '^' || word || '$' AS word, count(*) AS n FROM {name}_words

@@ -11,7 +11,7 @@ from codeloom.operators.requests import session_lines
 def _sessions(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("_metadata.file_name").alias("session"),
+        F.col("_metadata.file_path").alias("session"),
         F.col("value").alias("text"),
     )
 

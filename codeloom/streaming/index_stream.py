@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,11 +19,11 @@ COLLECTION = "code_chunks"
 def index_batch(
     requests: DataFrame,
     collection: Collection,
-    batch_seq: int,
+    batch: tuple[str, int],
     ack_path: str,
     encoder: encode.Encoder = encode.TRIGRAMS,
 ) -> None:
-    """Index one bounded set of request lines and write its acknowledgements.
+    """Index one bounded set of request lines and write its acknowledgements. ``batch`` names the writer and its batch.
 
     Both writes replace what an interrupted try of the same batch left behind. The
     acknowledgements come last: a request is never acknowledged before it is stored.
@@ -30,21 +32,21 @@ def index_batch(
     rows = parsed(requests).persist()
     try:
         newest = latest(accepted_chunks(rows, order), order=("position",))
-        collection.upsert(encoder.add_vectors(newest, "id", "document", placed=True), batch_seq, unique=True)
-        acks(rows).write.mode("overwrite").parquet(f"{ack_path}/batch_seq={batch_seq}")
+        seq = collection.upsert(encoder.add_vectors(newest, "id", "document", placed=True), batch, unique=True)
+        acks(rows).write.mode("overwrite").parquet(f"{ack_path}/batch_seq={seq}")
     finally:
         rows.unpersist()
 
 
-def _first_seq(spark: SparkSession, collection: Collection, checkpoint: str) -> int:
-    """Number of the stream's batch 0, kept with its checkpoint so that a restart finds it."""
-    path = f"{checkpoint.rstrip('/')}/first_seq"
+def _writer(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's name as a writer, kept with its checkpoint so that a restart finds it."""
+    path = f"{checkpoint.rstrip('/')}/writer"
     hadoop = spark._jvm.org.apache.hadoop.fs
     marker = hadoop.Path(f"{path}/_SUCCESS")
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        first = collection.last_seq() + 1
-        spark.range(1).select(F.lit(first).alias("first")).coalesce(1).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).first()["first"]
+        name = f"stream-{uuid.uuid4().hex}"
+        spark.range(1).select(F.lit(name).alias("writer")).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["writer"]
 
 
 def start(
@@ -57,10 +59,10 @@ def start(
 ) -> StreamingQuery:
     """Start the stream over ``stream_requests``. Bad requests only cost an error acknowledgement."""
     collection.get_or_create(DESCRIPTION)
-    first = _first_seq(requests.sparkSession, collection, checkpoint)
+    writer_name = _writer(requests.sparkSession, checkpoint)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        index_batch(batch, collection, first + batch_id, ack_path, encoder)
+        index_batch(batch, collection, (writer_name, batch_id), ack_path, encoder)
 
     writer = requests.writeStream.foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/stream")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

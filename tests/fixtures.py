@@ -1,151 +1,139 @@
 """Golden sources and their chunks: (id, function, class, start, end, language, type)."""
 
-PYTHON = """
-def calculate_tax(income):
-   if income > 50000:
-       return income * 0.3
-   else:
-       return income * 0.2
-
-class TaxCalculator:
-   def __init__(self):
-       self.rate = 0.2
-   
-   def calculate(self, amount):
-       return amount * self.rate
-
-TAX_RATE = 0.2
-"""
-GO = """
-package main
+PYTHON = """DEPTH = 3
 
-import "fmt"
 
-type Calculator struct {
-   rate float64
-}
+class Pond:
+    def fill(self, litres):
+        for step in range(litres):
+            self.level += step
 
-func (c *Calculator) Calculate(amount float64) float64 {
-   return amount * c.rate
-}
+    def __len__(self):
+        return self.level
 
-func main() {
-   calc := &Calculator{rate: 0.2}
-   result := calc.Calculate(1000)
-   fmt.Printf("Result: %f\\n", result)
-}
 
-const TAX_RATE = 0.2
-var GlobalVar = "test"
+def drain(pond):
+    while len(pond):
+        pond.level -= 1
+    return pond
 """
-JAVASCRIPT = """
-function calculateTax(income) {
-   if (income > 50000) {
-       return income * 0.3;
-   } else {
-       return income * 0.2;
-   }
-}
+GO = """package yard
+
+import "os"
+
+var Fence = os.Getenv("FENCE")
+
+const Posts = 12
 
-class TaxCalculator {
-   constructor() {
-       this.rate = 0.2;
-   }
+func Mow(rows int) (cut int) {
+	for r := 0; r < rows; r++ {
+		cut += r
+	}
+	return
+}
 
-   calculate(amount) {
-       return amount * this.rate;
-   }
+type Gate struct {
+	open bool
+	bars []string
 }
 
-const TAX_RATE = 0.2;
+func (g Gate) Swing() bool {
+	return !g.open
+}
 """
-RUST = """
-struct Calculator {
-   rate: f64,
+JAVASCRIPT = """let beds = [1, 2];
+
+class Hose {
+  spray(bed) { return bed; }
 }
 
-impl Calculator {
-   fn new(rate: f64) -> Self {
-       Calculator { rate }
-   }
+function soak(bed) {
+  while (bed.dry) {
+    bed.dry = !new Hose().spray(bed);
+  }
+}
+"""
+RUST = """const ROWS: u8 = 4;
 
-   fn calculate(&self, amount: f64) -> f64 {
-       amount * self.rate
-   }
+fn sow(rows: u8) -> u8 {
+    match rows {
+        0 => 1,
+        n => n + ROWS,
+    }
 }
 
-fn main() {
-   let calc = Calculator::new(0.2);
-   let result = calc.calculate(1000.0);
-   println!("Result: {}", result);
+struct Seed {
+    kind: String,
+    weeks: u8,
 }
 
-const TAX_RATE: f64 = 0.2;
-"""
-TYPESCRIPT = """
-interface Calculator {
-   rate: number;
-   calculate(amount: number): number;
+impl Seed {
+    fn ripe(&self) -> bool {
+        self.weeks > 9
+    }
 }
+"""
+TYPESCRIPT = """type Hours = number;
 
-function createCalculator(rate: number): Calculator {
-   return {
-       rate,
-       calculate: (amount: number) => amount * rate
-   };
+function shade(h: Hours): Sun {
+  if (h > 6) {
+    return { h };
+  }
+  return { h: 0 };
 }
 
-type TaxRate = number;
+interface Sun {
+  h: Hours;
+}
 """
 FILES = [
-    ("test.py", PYTHON),
+    ("yard.py", PYTHON),
     ("empty.py", ""),
-    ("test.go", GO),
-    ("test.js", JAVASCRIPT),
-    ("test.rs", RUST),
-    ("test.ts", TYPESCRIPT),
-    ("test.tsx", TYPESCRIPT),
-    ("test.txt", "some text content"),
-    ("test", "some content"),
+    ("yard.go", GO),
+    ("yard.js", JAVASCRIPT),
+    ("yard.rs", RUST),
+    ("yard.ts", TYPESCRIPT),
+    ("yard.tsx", TYPESCRIPT),
+    ("yard.txt", "plain notes"),
+    ("yard", "notes"),
 ]
 
 PYTHON_CHUNKS = {
-    ("test.py_calculate_tax_2", "calculate_tax", "", 2, 6, "python", "functions"),
-    ("test.py_TaxCalculator_8", "", "TaxCalculator", 8, 13, "python", "classes"),
-    ("test.py___init___9", "__init__", "TaxCalculator", 9, 10, "python", "methods"),
-    ("test.py_calculate_12", "calculate", "TaxCalculator", 12, 13, "python", "methods"),
-    ("test.py_TAX_RATE_15", "TAX_RATE", "", 15, 15, "python", "variables"),
+    ("yard.py_DEPTH_1", "DEPTH", "", 1, 1, "python", "variables"),
+    ("yard.py_Pond_4", "", "Pond", 4, 10, "python", "classes"),
+    ("yard.py_fill_5", "fill", "Pond", 5, 7, "python", "methods"),
+    ("yard.py___len___9", "__len__", "Pond", 9, 10, "python", "methods"),
+    ("yard.py_drain_13", "drain", "", 13, 16, "python", "functions"),
 }
 BRACE_CHUNKS = {
-    ("test.go_Calculate_10", "Calculate", "", 10, 12, "go", "functions"),
-    ("test.go_main_14", "main", "", 14, 18, "go", "functions"),
-    ("test.go_Calculator_6", "Calculator", "", 6, 8, "go", "types"),
-    ("test.go_TAX_RATE_20", "TAX_RATE", "", 20, 20, "go", "constants"),
-    ("test.go_GlobalVar_21", "GlobalVar", "", 21, 21, "go", "variables"),
-    ("test.js_calculateTax_2", "calculateTax", "", 2, 8, "javascript", "functions"),
-    ("test.js_TaxCalculator_10", "", "TaxCalculator", 10, 18, "javascript", "classes"),
-    ("test.js_TAX_RATE_20", "TAX_RATE", "", 20, 20, "javascript", "variables"),
-    ("test.rs_new_7", "new", "", 7, 9, "rust", "functions"),
-    ("test.rs_calculate_11", "calculate", "", 11, 13, "rust", "functions"),
-    ("test.rs_main_16", "main", "", 16, 20, "rust", "functions"),
-    ("test.rs_Calculator_2", "Calculator", "", 2, 4, "rust", "structs"),
-    ("test.rs_impls_6", "", "", 6, 14, "rust", "impls"),
-    ("test.rs_TAX_RATE_22", "TAX_RATE", "", 22, 22, "rust", "constants"),
+    ("yard.go_Fence_5", "Fence", "", 5, 5, "go", "variables"),
+    ("yard.go_Posts_7", "Posts", "", 7, 7, "go", "constants"),
+    ("yard.go_Mow_9", "Mow", "", 9, 14, "go", "functions"),
+    ("yard.go_Gate_16", "Gate", "", 16, 19, "go", "types"),
+    ("yard.go_Swing_21", "Swing", "", 21, 23, "go", "functions"),
+    ("yard.js_beds_1", "beds", "", 1, 1, "javascript", "variables"),
+    ("yard.js_Hose_3", "", "Hose", 3, 5, "javascript", "classes"),
+    ("yard.js_soak_7", "soak", "", 7, 11, "javascript", "functions"),
+    ("yard.rs_ROWS_1", "ROWS", "", 1, 1, "rust", "constants"),
+    ("yard.rs_sow_3", "sow", "", 3, 8, "rust", "functions"),
+    ("yard.rs_Seed_10", "Seed", "", 10, 13, "rust", "structs"),
+    ("yard.rs_impls_15", "", "", 15, 19, "rust", "impls"),
+    ("yard.rs_ripe_16", "ripe", "", 16, 18, "rust", "functions"),
 } | {
     row
     for suffix in ("ts", "tsx")
     for row in (
-        (f"test.{suffix}_Calculator_2", "Calculator", "", 2, 5, "typescript", "interfaces"),
-        (f"test.{suffix}_createCalculator_7", "createCalculator", "", 7, 12, "typescript", "functions"),
-        (f"test.{suffix}_TaxRate_14", "TaxRate", "", 14, 14, "typescript", "types"),
+        (f"yard.{suffix}_Hours_1", "Hours", "", 1, 1, "typescript", "types"),
+        (f"yard.{suffix}_shade_3", "shade", "", 3, 8, "typescript", "functions"),
+        (f"yard.{suffix}_Sun_10", "Sun", "", 10, 12, "typescript", "interfaces"),
     )
 }
 CONTENTS = {
-    "test.py_calculate_12": "def calculate(self, amount):\n       return amount * self.rate",
-    "test.py_TAX_RATE_15": "TAX_RATE = 0.2",
-    "test.go_Calculator_6": "type Calculator struct {\n   rate float64\n}",
-    "test.js_TAX_RATE_20": "const TAX_RATE = 0.2;",
-    "test.rs_new_7": "fn new(rate: f64) -> Self {\n       Calculator { rate }\n   }",
-    "test.rs_TAX_RATE_22": "const TAX_RATE: f64 = 0.2;",
-    "test.ts_TaxRate_14": "type TaxRate = number;",
+    "yard.py___len___9": "def __len__(self):\n        return self.level",
+    "yard.py_DEPTH_1": "DEPTH = 3",
+    "yard.go_Gate_16": "type Gate struct {\n\topen bool\n\tbars []string\n}",
+    "yard.js_beds_1": "let beds = [1, 2];",
+    "yard.rs_ripe_16": "fn ripe(&self) -> bool {\n        self.weeks > 9\n    }",
+    "yard.rs_ROWS_1": "const ROWS: u8 = 4;",
+    "yard.ts_Hours_1": "type Hours = number;",
 }

@@ -40,7 +40,7 @@ def test_bytes_are_repaired(spark):
 
 def test_unsupported_files(spark):
     found = {tuple(r) for r in rejects(files(spark, fixtures.FILES)).collect()}
-    assert found == {("test.txt", "unsupported file type: test.txt"), ("test", "unsupported file type: test")}
+    assert found == {("yard.txt", "unsupported file type: yard.txt"), ("yard", "unsupported file type: yard")}
 
 
 def test_language_detection(spark):
@@ -52,7 +52,7 @@ def test_language_detection(spark):
 
 def test_deterministic_order(spark):
     rows = [r.id for r in ordered(chunks(files(spark, fixtures.FILES))).collect()]
-    assert rows[0] == "test.py_calculate_tax_2" and rows[-1] == "test.py_TAX_RATE_15"
+    assert rows[0] == "yard.py_DEPTH_1" and rows[-1] == "yard.py_drain_13"
 
 
 HARD = '''
@@ -231,3 +231,23 @@ def test_arrows(spark):
         ("a.ts_functions_3", "(z) => [z, 1]"),
         ("a.ts_functions_5", "async (q) =>\n  q + 1"),
     }
+
+
+def names_of(spark, path, text, mode="declared"):
+    return {(r.function_name or r.class_name, r.start_line, r.end_line) for r in chunks(files(spark, [(path, text)]), mode).collect()}
+
+
+def test_deep_brackets(spark):
+    deep = "[" * 30 + "int" + "]" * 30
+    text = f"x: A{deep} = 1\ny[a(b(c(d(e(f(1))))))] = w = 2\n"
+    assert {n for n, _, _ in names_of(spark, "a.py", text, "effective")} == {"x", "w"}
+
+
+def test_regular_expressions_with_braces(spark):
+    text = "function f(x) {\n  return /[{]/.test(x);\n}\nconst r =          /{/;\nfunction g() {\n  return 1;\n}\n"
+    assert names_of(spark, "a.js", text) == {("f", 1, 3), ("r", 4, 4), ("g", 5, 7)}
+
+
+def test_raw_strings_and_nested_comments(spark):
+    text = 'const A: &str = r###"{"##{"###;\n/* a /* { /* b */ */ */\nfn f() -> u8 {\n    1\n}\nconst C: char = \'\\u{1F600}\';\nfn g() {}\n'
+    assert names_of(spark, "a.rs", text) == {("A", 1, 1), ("f", 3, 5), ("C", 6, 6), ("g", 7, 7)}

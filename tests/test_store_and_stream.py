@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import encode, requests, store
-from codeloom.operators.store import Collection, CollectionNotFound
+from codeloom.operators.store import Collection, CollectionNotFound, LayoutMismatch
 from codeloom.sources.requests import read_requests, stream_requests
+from codeloom.plans.index import index_files
 from codeloom.streaming import index_stream
 
 
@@ -28,12 +29,12 @@ def test_upsert_add_compact_replay_drop(spark, tmp_path):
     assert c.upsert(first) == 0
     content = lambda: {r.id: r.document for r in c.rows().collect()}
     assert content() == {"a": "2", "b": "1"}
-    assert c.upsert(rows_of(spark, [("b", "3", 0), ("c", "3", 0)])) == 1
-    c.upsert(rows_of(spark, [("b", "3", 0), ("c", "3", 0)]), 1)  # the same batch again
+    assert c.upsert(rows_of(spark, [("b", "3", 0), ("c", "3", 0)]), ("w", 0)) == 1
+    assert c.upsert(rows_of(spark, [("b", "3", 0), ("c", "3", 0)]), ("w", 0)) == 1  # the same batch again
     assert content() == {"a": "2", "b": "3", "c": "3"}
     c.compact()
     assert content() == {"a": "2", "b": "3", "c": "3"} and c.last_seq() == 1
-    c.upsert(first, 0)  # a replay from before the compaction changes nothing
+    assert c.upsert(first, ("w", 0)) == 1  # a replay from before the compaction changes nothing
     assert content() == {"a": "2", "b": "3", "c": "3"}
     c.add(rows_of(spark, [("a", "9", 0), ("d", "9", 0)]))
     assert content() == {"a": "2", "b": "3", "c": "3", "d": "9"} and c.count() == 4
@@ -142,7 +143,31 @@ def test_stream_indexes_acknowledges_and_restarts(spark, tmp_path):
     assert {r.encoder for r in stored.collect()} == {encode.BUILT_IN} and stored.where("vector is null").count() == 0
 
     # The same bounded batch again leaves the same state: same segment, same acknowledgements.
+    index_stream.index_batch(read_requests(spark, str(inbox / "two.jsonl")), collection, ("own", 1), acks)
     before = collection.last_seq()
-    index_stream.index_batch(read_requests(spark, str(inbox / "two.jsonl")), collection, before, acks)
+    index_stream.index_batch(read_requests(spark, str(inbox / "two.jsonl")), collection, ("own", 1), acks)
     assert collection.last_seq() == before and content()["b"] == "replaced"
-    assert spark.read.parquet(acks).count() == 4
+    assert spark.read.parquet(acks).count() == 5
+
+    # Another writer between two runs of the stream, with and without a compaction, takes nothing from either.
+    code = spark.createDataFrame([("a.py", bytearray(b"def tax(x):\n    return x\n"))], "path string, content binary")
+    index_files(code, collection)
+    write(inbox, "three.jsonl", [{"meta": {"id": "q4"}, "chunks": [chunk("s4", "four")]}])
+    run()
+    assert set(content()) == {"a", "b", "c", "a.py_tax_1", "s4"}
+    collection.compact()
+    write(inbox, "four.jsonl", [{"meta": {"id": "q5"}, "chunks": [chunk("s5", "five")]}])
+    run()
+    assert set(content()) == {"a", "b", "c", "a.py_tax_1", "s4", "s5"}
+    with pytest.raises(LayoutMismatch):
+        collection.upsert(collection.rows().drop("batch_seq").withColumn("position", F.lit(0)))
+
+
+def test_an_unfinished_batch_that_a_compaction_passed_by_is_written(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "things").get_or_create()
+    c.upsert(rows_of(spark, [("a", "1", 0)]))
+    assert c._claimed("w-7") == (1, False)  # a try that ended before it wrote
+    assert c.upsert(rows_of(spark, [("b", "1", 0)])) == 2
+    c.compact()
+    assert c.upsert(rows_of(spark, [("c", "1", 0)]), ("w", 7)) == 3
+    assert {r.id for r in c.rows().collect()} == {"a", "b", "c"}
