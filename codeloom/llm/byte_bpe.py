@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import Splitter, map_texts, pieces, strings
 
 #: Encoded matches of a generation that a task remembers; two generations at most.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
