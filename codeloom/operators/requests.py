@@ -79,7 +79,9 @@ def parsed(requests: DataFrame) -> DataFrame:
             lambda item: F.struct(
                 F.try_variant_get(item, "$.id", "string").alias("id"),
                 F.try_variant_get(item, "$.content", "string").alias("content"),
-                F.try_variant_get(item, "$.metadata", "map<string,string>").alias("metadata"),
+                F.coalesce(
+                    F.try_variant_get(item, "$.metadata", "map<string,string>"), F.expr("cast(map() AS map<string,string>)")
+                ).alias("metadata"),
                 F.when(_type_of(item) != "dict", "chunk is not an object")
                 .when(F.try_variant_get(item, "$.id", "variant").isNull(), "'id'")
                 .when(F.try_variant_get(item, "$.content", "variant").isNull(), "'content'")
@@ -101,7 +103,9 @@ def parsed(requests: DataFrame) -> DataFrame:
         | chunk_type.isin("NoneType")
         | ((chunk_type == "list") & (F.coalesce(F.size("items"), F.lit(0)) <= 0))
         | ((chunk_type == "dict") & (F.to_json("chunk_part") == "{}"))
-        | (chunk_type.isin("str", "int", "bool", "float") & text.isin("", "0", "false", "0.0"))
+        | ((chunk_type == "str") & (text == ""))
+        | ((chunk_type == "bool") & (text == "false"))
+        | (chunk_type.isin("int", "float") & (text.try_cast("double") == 0))
     )
     error = (
         F.when(F.col("doc").isNull(), "Invalid JSON: the line is not a JSON document")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from codeloom.operators.extract import chunks
 from codeloom.operators.incremental import store_manifest, stored_manifest, with_change
 from codeloom.operators.patterns import PATTERNS, Pattern
 from codeloom.operators.store import Collection, latest
-from codeloom.session import placed_by
+from codeloom.session import placed_by, shared_folder
 from codeloom.sources.tree import source_tree
 from codeloom.streaming.index_stream import COLLECTION, DESCRIPTION
 
@@ -58,11 +59,16 @@ def index_files(
 
 
 def index_directory(
-    spark: SparkSession, root: str, store: str, extensions: tuple[str, ...] = (".py",), mode: str = "effective"
+    spark: SparkSession,
+    root: str,
+    store: str,
+    extensions: tuple[str, ...] = (".py",),
+    mode: str = "effective",
+    encoder: encode.Encoder = encode.TRIGRAMS,
 ) -> Collection:
     """Scan a tree and index it into the ``code_chunks`` collection of ``store``."""
     collection = Collection(spark, store, COLLECTION)
-    index_files(source_tree(spark, root, extensions), collection, mode)
+    index_files(source_tree(spark, root, extensions), collection, mode, encoder=encoder)
     return collection
 
 
@@ -72,18 +78,26 @@ def question(words: Column) -> Column:
 
 
 def refresh_directory(
-    spark: SparkSession, root: str, store: str, extensions: tuple[str, ...] = (".py",), mode: str = "effective"
+    spark: SparkSession,
+    root: str,
+    store: str,
+    extensions: tuple[str, ...] = (".py",),
+    mode: str = "effective",
+    encoder: encode.Encoder = encode.TRIGRAMS,
 ) -> Collection:
     """Like ``index_directory``, but only for files whose checksum is new.
 
     The manifest is a collection of its own: reading it is a scan of digests, renewing it
-    writes the changed ones.
+    writes the changed ones. The changed files are written once below the shared folder, so that what is
+    indexed and what is recorded are the same reading of the tree.
     """
     manifest = Collection(spark, store, "manifest").get_or_create("Checksums of indexed files")
     collection = Collection(spark, store, COLLECTION)
     files = source_tree(spark, root, extensions)
-    changes = with_change(files, stored_manifest(manifest)).where("changed")
-    index_files(changes.select("path", "content"), collection, mode)
+    folder = f"{shared_folder(spark).rstrip('/')}/changed-{uuid.uuid4().hex}"
+    with_change(files, stored_manifest(manifest)).where("changed").write.parquet(folder)
+    changes = spark.read.parquet(folder)
+    index_files(changes.select("path", "content"), collection, mode, encoder=encoder)
     store_manifest(manifest, changes)
     return collection
 

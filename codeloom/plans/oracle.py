@@ -253,7 +253,7 @@ GROUP BY name"""
 # --- search ----------------------------------------------------------------------
 
 _PAIRS = """
-probes AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
+probes AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % $STEP = 0),
 pairs AS (
   SELECT query_id, vec_id AS id,
          round(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 6) AS distance
@@ -306,24 +306,26 @@ raw AS (SELECT doc_id, unnest(parts) AS txt, generate_subscripts(parts, 1) AS ln
 plain AS (SELECT *, replace(replace(txt, chr(13), ' '), chr(12), ' ') AS t FROM raw),
 led AS (SELECT *, regexp_extract(t, '^[ \\t]*') AS lead FROM plain)
 SELECT doc_id, ln::INTEGER AS ln, (length(lead) + 7 * (length(lead) - length(replace(lead, chr(9), ''))))::INTEGER AS ind,
-       t = lead AS blank, length(txt)::INTEGER AS n_chars FROM led""",
+       t = lead AS blank, length(txt)::INTEGER AS n_chars, md5(txt) AS txt_md5 FROM led""",
     "code_mask": f"""WITH {_PYTHON_LINES}
 SELECT path, ln::INTEGER AS ln, in_string AND trim(txt) <> '' AS in_string, depth::INTEGER AS depth,
        (CASE WHEN in_string THEN length(rtrim(txt))
              WHEN contains(regexp_replace(txt, '"[^"]*"', 'S', 'g'), '#') THEN length(rtrim(split_part(txt, '#', 1)))
              ELSE length(rtrim(txt)) END)::INTEGER AS code_end
-FROM deep WHERE (in_string AND trim(txt) <> '') OR code <> ''""",
+FROM deep WHERE trim(txt) <> ''""",
     "py_chunks": f"WITH {_EFFECTIVE} SELECT * FROM chunk",
-    "py_declared": f"WITH {_DECLARED} SELECT * FROM chunk WHERE chunk_type IN ('imports', 'variables')",
+    "py_declared": f"WITH {_DECLARED} SELECT * FROM chunk",
     "brace_go": brace("go"),
     "brace_js": brace("js"),
     "brace_ts": brace("ts"),
     "brace_tsx": brace("tsx"),
     "brace_rust": brace("rust"),
     "brace_ts_arrows": brace("ts", arrows=True),
-    "mixed_effective": f"WITH {_EFFECTIVE} SELECT language, chunk_type, count(*) AS n_chunks FROM chunk GROUP BY ALL",
+    "mixed_effective": f"WITH {_EFFECTIVE} SELECT id, language, chunk_type, md5(content) AS content_md5 FROM chunk",
     "chunk_requests": f"""WITH {_EFFECTIVE}
-SELECT file_path, count(*)::INTEGER AS n_chunks, string_agg(id, ',' ORDER BY start_line, chunk_type, id) AS chunk_ids
+SELECT file_path, count(*)::INTEGER AS n_chunks, string_agg(id, ',' ORDER BY start_line, chunk_type, id) AS chunk_ids,
+       string_agg(concat_ws('|', id, md5(content), file_path, nullif(function_name, ''), nullif(class_name, ''), start_line, end_line, language,
+         chunk_type), ',' ORDER BY start_line, chunk_type, id) AS request
 FROM chunk GROUP BY file_path""",
     "request_acks": f"WITH {_REQUESTS} SELECT * FROM answers",
     "ack_summary": f"""WITH {_REQUESTS}
@@ -349,20 +351,20 @@ SELECT source, count(*) AS documents, (SELECT count(DISTINCT source) FROM docume
     "footprint": _footprint(),
     "changed_files": f"WITH {_MANIFEST} SELECT doc_id, sha256, changed FROM changes",
     "group_refresh": f"""WITH {_MANIFEST},
-flagged AS (SELECT doc_id, doc_id // 2 AS pair, changed FROM changes)
-SELECT * FROM flagged QUALIFY bool_or(changed) OVER (PARTITION BY pair)""",
+flagged AS (SELECT doc_id, source, changed FROM changes)
+SELECT * FROM flagged QUALIFY bool_or(changed) OVER (PARTITION BY source)""",
     "manifest_refresh": f"""WITH {_MANIFEST}
 SELECT doc_id, CASE WHEN changed THEN sha256 ELSE stored END AS sha256 FROM changes LEFT JOIN manifest USING (doc_id)""",
-    "normalize_ws": "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'))) AS text_md5 FROM documents",
+    "normalize_ws": "SELECT doc_id, md5(trim(regexp_replace(text || ' ' || chr(65533) || ' end', '[ \\t\\n\\f\\r]+', ' ', 'g'))) AS text_md5 FROM documents",
     "knn_exact": """
 WITH pairs AS (
   SELECT vec_id AS id, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)),
          lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 6) AS distance FROM embeddings)
 SELECT row_number() OVER (ORDER BY distance, id)::INTEGER AS rank, id, distance FROM pairs ORDER BY distance, id LIMIT 50""",
-    "knn_batch": f"WITH {_PAIRS} SELECT query_id, rank, id, distance FROM ranked WHERE rank <= 50",
-    "knn_threshold": f"""WITH {_PAIRS}
+    "knn_batch": f"WITH {_PAIRS.replace('$STEP', '1')} SELECT query_id, rank, id, distance FROM ranked WHERE rank <= 50",
+    "knn_threshold": f"""WITH {_PAIRS.replace('$STEP', '20')}
 SELECT query_id, rank, id, distance, round(1.3 - distance, 6) AS similarity FROM ranked WHERE distance < 1.3 AND rank <= 5""",
-    "knn_wide": f"""WITH {_PAIRS}
+    "knn_wide": f"""WITH {_PAIRS.replace('$STEP', '20')}
 SELECT query_id, rank, id, distance, round(1.9 - distance, 6) AS similarity FROM ranked WHERE distance < 1.9 AND rank <= 5""",
     "encode_text": f"""WITH {postings('c', 'documents', 'doc_id', 'text')}
 SELECT key AS doc_id, bucket, round(weight, 6) AS weight FROM c""",

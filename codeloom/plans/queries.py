@@ -83,7 +83,7 @@ def rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_model(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return lines.select("doc_id", "ln", "ind", "blank", F.length("txt").alias("n_chars"))
+    return lines.select("doc_id", "ln", "ind", "blank", F.length("txt").alias("n_chars"), F.md5("txt").alias("txt_md5"))
 
 
 def python_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def python_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = line_facts(by_path(python_modules(spark, sf_dir), ["python"]), ["python"]).where(F.col("code_end") > 0)
+    facts = line_facts(by_path(python_modules(spark, sf_dir), ["python"]), ["python"])
     return facts.select("path", "ln", "in_string", F.col("depth").cast("int").alias("depth"), "code_end")
 
 
@@ -100,7 +100,7 @@ def python_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(python_modules(spark, sf_dir), "declared", of_language("python")).where("chunk_type in ('imports', 'variables')")
+    return chunks(python_modules(spark, sf_dir), "declared", of_language("python"))
 
 
 def brace_chunks(kind: str, arrows: bool = False) -> Query:
@@ -115,12 +115,26 @@ def brace_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In effective mode a mixed tree only yields the chunks of its Python files."""
     part = table(spark, sf_dir, "part")
     mixed = modules(part, "python").unionByName(modules(part, "go")).unionByName(modules(part, "rust"))
-    return chunks(mixed).groupBy("language", "chunk_type").agg(F.count("*").alias("n_chunks"))
+    return chunks(mixed).select("id", "language", "chunk_type", F.md5("content").alias("content_md5"))
 
 
 def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON line of every file, read back and listed field by field."""
     lines = requests.request_lines(python_chunks(spark, sf_dir))
-    return lines.select("file_path", "n_chunks", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    fields = "file_path string, function_name string, class_name string, start_line int, end_line int, language string, chunk_type string"
+    read = F.from_json("value", f"chunks array<struct<id string, content string, metadata struct<{fields}>>>")
+    written = F.transform(
+        read["chunks"],
+        lambda c: F.concat_ws(
+            "|", c["id"], F.md5(c["content"]), *[c["metadata"][field.split()[0]] for field in fields.split(", ")]
+        ),
+    )
+    return lines.select(
+        "file_path",
+        "n_chunks",
+        F.array_join("chunk_ids", ",").alias("chunk_ids"),
+        F.array_join(written, ",").alias("request"),
+    )
 
 
 # --- requests --------------------------------------------------------------------
@@ -292,8 +306,8 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = _changes(spark, sf_dir)[0].withColumn("pair", F.floor(F.col("doc_id") / 2))
-    return incremental.refresh_groups(changes, "pair").select("doc_id", "pair", "changed")
+    changes = _changes(spark, sf_dir)[0]
+    return incremental.refresh_groups(changes, "source").select("doc_id", "source", "changed")
 
 
 def manifest_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +316,9 @@ def manifest_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    repaired = F.make_valid_utf8(F.col("text"))
+    """Every text gets a byte that is not UTF-8; reading replaces it."""
+    broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("09FF")), F.encode(F.lit(" end"), "UTF-8"))
+    repaired = X.repaired_text(broken)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalized(repaired)).alias("text_md5"))
 
 
@@ -314,9 +330,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query vector per label: the first vector that carries it."""
-    labelled = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    return labelled.select(F.col("label").alias("query_id"), "embedding")
+    """The vectors whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +341,9 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.nearest(vectors(spark, sf_dir), probes(spark, sf_dir), 50)
+    """Every vector asks for its neighbours."""
+    asked = vectors(spark, sf_dir).withColumnRenamed("id", "query_id")
+    return search.nearest(vectors(spark, sf_dir), asked, 50)
 
 
 def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
