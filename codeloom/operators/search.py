@@ -1,8 +1,8 @@
 """Nearest neighbours under a distance threshold.
 
-The corpus is never joined with the queries. A block of query vectors of checked size
+The corpus is never joined with the queries. A set of query vectors of checked size
 goes to every task, each task keeps its own k best rows per query, and only those meet
-in the final ranking. More queries than one block holds are searched block by block.
+in the final ranking. One pass over the corpus serves a set; it is compared block by block.
 Distances are rounded to six digits *before* ranking, so that the result does not
 depend on the order in which floating point numbers were added.
 """
@@ -15,9 +15,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions.vectors import similarity, squared_l2
 
@@ -25,7 +27,12 @@ CANDIDATES = 50
 SHOWN = 5
 THRESHOLD = 1.3
 DIGITS = 6
+#: Queries that are compared together with a batch of rows.
 QUERIES_PER_BLOCK = 1024
+#: Vector entries of the queries that go to the tasks at once: at most about 32 MB of them.
+QUERY_VALUES = 4_000_000
+#: Hits up to this number are sent to the scan of the documents; of more the join is left to Spark.
+BROADCAST_HITS = 100_000
 _SALTS = 64
 _CELLS = 4_000_000
 
@@ -35,7 +42,7 @@ class EncoderMismatch(ValueError):
 
 
 def check_encoder(collection: DataFrame, encoder: str) -> None:
-    other = collection.where(F.col("encoder") != encoder).select("encoder").limit(1).collect()
+    other = collection.where(~F.col("encoder").eqNullSafe(F.lit(encoder))).select("encoder").limit(1).collect()
     if other:
         raise EncoderMismatch(f"collection was encoded with {other[0][0]}, the query with {encoder}")
 
@@ -52,109 +59,159 @@ def nearest_to(corpus: DataFrame, query: Column, k: int = CANDIDATES, vector: st
     return best.select(F.row_number().over(Window.orderBy("distance", "id")).alias("rank"), "id", "distance")
 
 
-def _best(distances: np.ndarray, ids: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest (distance, id) pairs, all ties decided by id."""
-    if threshold is not None:
-        near = distances < threshold
-        distances, ids = distances[near], ids[near]
-    if len(distances) > k:
-        limit = np.partition(distances, k - 1)[k - 1]
-        near = distances <= limit
-        distances, ids = distances[near], ids[near]
-    order = np.lexsort((ids, distances))[:k]
-    return distances[order], ids[order]
+def _first_k(
+    query: np.ndarray, distances: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k smallest (distance, id) pairs of every query, all ties decided by id."""
+    order = np.lexsort((ids, distances, query))
+    query, distances, ids = query[order], distances[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+    near = place < k
+    return query[near], distances[near], ids[near]
 
 
-def _dense_distances(queries: np.ndarray) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]:
-    squares = (queries * queries).sum(axis=1)
+class _Dense:
+    """Exact distances to a block of dense query vectors.
 
-    def distances(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    The product form finds the cells that can be among the best, within the bound of its rounding
+    error; only those are computed from the differences.
+    """
+
+    def __init__(self, block: pd.DataFrame, k: int, threshold: float | None) -> None:
+        self.queries = np.stack(block["v0"].to_list()).astype(np.float64)
+        self.squares = (self.queries * self.queries).sum(axis=1)
+        self.k, self.threshold = k, np.inf if threshold is None else threshold
+
+    def cells(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, query, distance) of the cells that matter."""
+        count, width = self.queries.shape
         flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        rows = flat.reshape(batch.num_rows, queries.shape[1])
-        step = max(1, _CELLS // max(1, len(queries)))
+        rows = flat.reshape(batch.num_rows, width)
+        step = max(1, _CELLS // count)
         for start in range(0, len(rows), step):
             part = rows[start : start + step]
-            found = (part * part).sum(axis=1)[:, None] + squares[None, :] - 2.0 * (part @ queries.T)
-            yield start, found
-
-    return distances
-
-
-def _sparse_distances(
-    offsets: np.ndarray, owners: np.ndarray, weights: np.ndarray, count: int
-) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]:
-    """Distances from an inverted index over the query block: bucket -> (query, weight)."""
+            own = (part * part).sum(axis=1)
+            rough = own[:, None] + self.squares[None, :] - 2.0 * (part @ self.queries.T)
+            # Rounding of sums of ``width`` products, twice over; half a last digit for ties after rounding.
+            slack = 8.0 * (width + 2) * np.finfo(np.float64).eps * (own[:, None] + self.squares[None, :]) + 10.0**-DIGITS
+            limit = np.full(count, self.threshold)
+            if len(part) > self.k:
+                limit = np.minimum(limit, np.partition(rough + slack, self.k - 1, axis=0)[self.k - 1])
+            row, query = np.nonzero(rough - slack <= limit[None, :])
+            found = np.empty(len(row))
+            pairs = max(1, _CELLS // width)
+            for at in range(0, len(row), pairs):
+                apart = part[row[at : at + pairs]] - self.queries[query[at : at + pairs]]
+                found[at : at + pairs] = (apart * apart).sum(axis=1)
+            yield start + row, query, found
+
+
+class _Sparse:
+    """Distances to a block of sparse query vectors of unit length.
+
+    The block is an inverted index (bucket to queries). With a threshold below 2 only the cells that share a bucket
+    are made; otherwise all cells are.
+    """
 
-    def distances(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    def __init__(self, block: pd.DataFrame, k: int, threshold: float | None) -> None:
+        owners = np.repeat(np.arange(len(block)), block["v0"].map(len).to_numpy())
+        buckets = np.concatenate(block["v0"].to_list()).astype(np.int64)
+        weights = np.concatenate(block["v1"].to_list()).astype(np.float64)
+        order = np.argsort(buckets, kind="stable")
+        self.owners, self.weights = owners[order], weights[order]
+        self.buckets, self.offsets = np.unique(buckets[order], return_index=True)
+        self.offsets = np.append(self.offsets, len(buckets))
+        self.count = len(block)
+        self.sharing = threshold is not None and threshold <= 2.0
+
+    def cells(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         buckets_of, weights_of = batch.column(1), batch.column(2)
         ends = np.concatenate([[0], np.cumsum(np.asarray(buckets_of.value_lengths()))])
-        buckets = buckets_of.flatten().to_numpy(zero_copy_only=False)
+        found = buckets_of.flatten().to_numpy(zero_copy_only=False)
         values = weights_of.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        place = np.searchsorted(self.buckets, found)
+        shared = place < len(self.buckets)
+        shared[shared] = self.buckets[place[shared]] == found[shared]
+        row, place, values = row[shared], place[shared], values[shared]
+        hits = self.offsets[place + 1] - self.offsets[place]
+        # Postings up to each row, so that a step makes a bounded number of cells.
+        made = np.cumsum(np.bincount(row, weights=hits, minlength=batch.num_rows)).astype(np.int64)
+        begins = np.searchsorted(row, np.arange(batch.num_rows + 1))
         start = 0
         while start < batch.num_rows:
-            # As many rows as keep both the postings and the result matrix small.
-            stop = start + max(1, _CELLS // max(1, count * 4))
-            stop = min(stop, max(start + 1, int(np.searchsorted(ends, ends[start] + _CELLS // 64))), batch.num_rows)
-            low, high = ends[start], ends[stop]
-            part, value = buckets[low:high], values[low:high]
-            row = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
-            hits = offsets[part + 1] - offsets[part]
-            first = np.repeat(offsets[part] - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits)
+            base = made[start - 1] if start else 0
+            stop = int(np.searchsorted(made, base + _CELLS, "right"))
+            stop = min(max(start + 1, stop), batch.num_rows)
+            if not self.sharing:
+                stop = min(stop, start + max(1, _CELLS // self.count))
+            part = slice(begins[start], begins[stop])
+            times = hits[part]
+            first = np.repeat(self.offsets[place[part]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) if len(times) else times
             at = first + np.arange(len(first))
-            cell = np.repeat(row, hits) * count + owners[at]
-            dots = np.bincount(cell, weights=np.repeat(value, hits) * weights[at], minlength=(stop - start) * count)
-            yield start, 2.0 - 2.0 * dots.reshape(stop - start, count)
+            cell = np.repeat(row[part] - start, times) * self.count + self.owners[at]
+            product = np.repeat(values[part], times) * self.weights[at]
+            if self.sharing:
+                cell, of = np.unique(cell, return_inverse=True)
+                dots = np.bincount(of, weights=product, minlength=len(cell))
+            else:
+                dots = np.bincount(cell, weights=product, minlength=(stop - start) * self.count)
+                cell = np.arange(len(dots))
+            yield start + cell // self.count, cell % self.count, 2.0 - 2.0 * dots
             start = stop
 
-    return distances
-
 
-def _per_task(
-    distances: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]],
-    query_ids: list,
-    k: int,
-    threshold: float | None,
-    output: pa.Schema,
+def _search_pass(
+    shared: Broadcast, dense: bool, k: int, threshold: float | None, output: pa.Schema
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass over the corpus for all queries of ``shared``: the k best rows of the task for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+        queries = shared.value
+        blocks = [
+            (start, (_Dense if dense else _Sparse)(queries.iloc[start : start + QUERIES_PER_BLOCK], k, threshold))
+            for start in range(0, len(queries), QUERIES_PER_BLOCK)
+        ]
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(blocks)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_pandas().to_numpy()
-            for start, found in distances(batch):
-                found = np.round(np.maximum(found, 0.0), DIGITS)
-                names = ids[start : start + len(found)]
-                for q in range(len(query_ids)):
-                    mine, named = found[:, q], names
-                    if kept[q] is not None:
-                        mine, named = np.concatenate([kept[q][0], mine]), np.concatenate([kept[q][1], named])
-                    kept[q] = _best(mine, named, k, threshold)
-        for query_id, best in zip(query_ids, kept):
+            for b, (_, block) in enumerate(blocks):
+                for row, query, found in block.cells(batch):
+                    found = np.round(np.maximum(found, 0.0), DIGITS)
+                    if threshold is not None:
+                        near = found < threshold
+                        row, query, found = row[near], query[near], found[near]
+                    mine = (query, found, ids[row])
+                    if kept[b] is not None:
+                        mine = tuple(np.concatenate(pair) for pair in zip(kept[b], mine, strict=True))
+                    kept[b] = _first_k(*mine, k)
+        names = pa.array(queries["query_id"].to_list(), output.field(0).type)
+        for (start, _), best in zip(blocks, kept, strict=True):
             if best is not None and len(best[0]):
-                columns = [pa.array([query_id] * len(best[0]), output.field(0).type)]
-                columns += [pa.array(best[1], output.field(1).type), pa.array(best[0], output.field(2).type)]
-                yield pa.RecordBatch.from_arrays(columns, schema=output)
+                columns = [names.take(pa.array(best[0] + start)), pa.array(best[2], output.field(1).type)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best[1], output.field(2).type)], schema=output)
 
     return run
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """Query rows in blocks of a checked size; one job when they fit into one block."""
-    rows = queries.limit(QUERIES_PER_BLOCK + 1).toPandas()
-    if len(rows) <= QUERIES_PER_BLOCK:
-        if len(rows):
-            yield rows
-        return
-    # Half-full blocks on average, so that an uneven hash still stays below the limit.
-    blocks = -(-2 * queries.count() // QUERIES_PER_BLOCK)
-    for number in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        rows = part.limit(QUERIES_PER_BLOCK + 1).toPandas()
-        if len(rows) > QUERIES_PER_BLOCK:
-            raise ValueError("query ids are not unique enough to form blocks")
-        if len(rows):
-            yield rows
+def _query_passes(queries: DataFrame) -> Iterator[pd.DataFrame]:
+    """The queries in sets of at most ``QUERY_VALUES`` vector entries; the driver holds one set at a time.
+
+    The query plan runs once. More queries than one set holds cost a further pass over the corpus each.
+    """
+    taken: list[tuple] = []
+    values = 0
+    for row in queries.toLocalIterator(prefetchPartitions=True):
+        taken.append(tuple(row))
+        values += len(row["v0"])
+        if values >= QUERY_VALUES:
+            yield pd.DataFrame(taken, columns=queries.columns)
+            taken, values = [], 0
+    if taken:
+        yield pd.DataFrame(taken, columns=queries.columns)
 
 
 def top_per_query(hits: DataFrame, k: int) -> DataFrame:
@@ -177,6 +234,11 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, threshol
     Corpus and queries both carry either ``embedding`` (dense, one length) or ``vector``
     (sparse, unit length); the corpus is keyed by ``id``, the queries by ``query_id``.
     """
+    return _nearest(corpus, queries, k, threshold)[0]
+
+
+def _nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None) -> tuple[DataFrame, int]:
+    """What ``nearest`` returns, and the number of queries."""
     dense = "embedding" in corpus.columns
     key_type = corpus.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
@@ -187,33 +249,21 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, threshol
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     output = to_arrow_schema(schema)
+    context = corpus.sparkSession.sparkContext
     vectors = [F.col("embedding")] if dense else [F.col("vector.buckets"), F.col("vector.weights")]
     present = vectors[0].isNotNull()
     rows = corpus.where(present).select("id", *vectors)
     asked = queries.where(present).select("query_id", *[v.alias(f"v{i}") for i, v in enumerate(vectors)])
 
-    parts = []
-    for block in _query_blocks(asked):
-        if dense:
-            distances = _dense_distances(np.stack(block["v0"].to_list()).astype(np.float64))
-        else:
-            owner = np.repeat(np.arange(len(block)), block["v0"].map(len).to_numpy())
-            bucket = np.concatenate(block["v0"].to_list()).astype(np.int64)
-            weight = np.concatenate(block["v1"].to_list()).astype(np.float64)
-            order = np.argsort(bucket, kind="stable")
-            width = 1 << 16
-            offsets = np.searchsorted(bucket[order], np.arange(width + 1))
-            distances = _sparse_distances(offsets, owner[order], weight[order], len(block))
-        run = _per_task(distances, block["query_id"].to_list(), k, threshold, output)
-        parts.append(rows.mapInArrow(run, schema))
+    parts, count = [], 0
+    for part in _query_passes(asked):
+        parts.append(rows.mapInArrow(_search_pass(context.broadcast(part), dense, k, threshold, output), schema))
+        count += len(part)
     if not parts:
-        return corpus.sparkSession.createDataFrame([], schema).select(
-            "query_id", F.lit(0).alias("rank"), "id", "distance"
-        )
-    return top_per_query(reduce(DataFrame.unionByName, parts), k)
+        none = corpus.sparkSession.createDataFrame([], schema)
+        return none.select("query_id", F.lit(0).alias("rank"), "id", "distance"), 0
+    return top_per_query(reduce(DataFrame.unionByName, parts), k), count
 
 
 def hits(
@@ -228,12 +278,14 @@ def hits(
     Asking for ``candidates`` rows first and filtering then would give the same: the filter is
     monotone in the sort key, ``min(shown, candidates)`` filtered rows are enough.
     """
-    best = nearest(corpus, queries, min(shown, candidates), threshold)
+    best, count = _nearest(corpus, queries, min(shown, candidates), threshold)
     found = best.withColumn("similarity", similarity(F.col("distance"), threshold))
     if "document" not in corpus.columns:
         return found
-    # Documents are looked up for the few hits only; the vector scan does not read them.
-    return found.join(corpus.select("id", "document"), "id").select(
+    # Documents are looked up for the few hits only; the vector scan does not read them. A query brings
+    # at most ``shown`` hits, so their number is bounded by that of the queries.
+    sent = F.broadcast(found) if count * shown <= BROADCAST_HITS else found
+    return sent.join(corpus.select("id", "document"), "id").select(
         "query_id", "rank", "id", "document", "distance", "similarity"
     )
 

@@ -96,6 +96,34 @@ def test_dense_search_is_exact(spark, monkeypatch, block):
     assert {(3, r["rank"], r.id) for r in one.collect()} == brute(rows, asked[3:4], 7)
 
 
+def test_large_vectors_and_several_passes(spark, monkeypatch):
+    """Far from the origin the product form alone would lose all digits; equal query ids are separate queries."""
+    monkeypatch.setattr(search, "QUERY_VALUES", 24)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in 1e5 + rng.normal(scale=0.01, size=8)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    asked = frame.withColumnRenamed("id", "query_id").where("query_id < 10").coalesce(1)
+    found = {(r.query_id, r["rank"], r.id, r.distance) for r in search.nearest(frame, asked, 4).collect()}
+    for q in range(10):
+        one = search.nearest_to(frame, F.array(*[F.lit(x) for x in rows[q][1]]), 4).collect()
+        assert {f[1:] for f in found if f[0] == q} == {(r["rank"], r.id, r.distance) for r in one}
+    assert len(found) == 40
+
+
+def test_documents_stay_in_place(spark):
+    """The lookup of documents sends the hits to the scan, also where Spark would not broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id long, document string")
+        corpus = encode.TRIGRAMS.add_vectors(frame, "id", "document")
+        asked = encode.encoded(queries(spark, "alpha"), "query_id", "text")
+        found = search.hits(corpus, asked)
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+        assert [(r.id, r.document) for r in found.collect()] == [(1, "alpha beta")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("cells", [4_000_000, 64])
 def test_sparse_search_is_exact(spark, monkeypatch, cells):
     monkeypatch.setattr(search, "_CELLS", cells)
