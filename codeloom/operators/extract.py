@@ -42,6 +42,12 @@ def with_content(found: DataFrame, partitioned: DataFrame) -> DataFrame:
     text = F.array_join(taken, "\n")
     dropped = F.length(F.element_at("lines", F.col("e"))) - F.col("ecol")
     content = text.substr(F.col("scol"), F.length(text) - F.col("scol") + 1 - dropped)
+    if "style" in found.columns:
+        joined = joined.withColumn("content", content)
+        names = extract_brace.declared_names(F.col("content"), F.col("language"), F.col("chunk_type"))
+        names = F.when(F.col("style") == "names", names).otherwise(F.array("name"))
+        joined = joined.withColumn("name", F.explode(names))
+        content = F.col("content")
     is_class = F.col("chunk_type") == "classes"
     return joined.select(
         chunk_id(F.col("path"), F.col("name"), F.col("chunk_type"), F.col("s")).alias("id"),

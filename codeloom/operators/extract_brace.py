@@ -7,14 +7,14 @@ block (or finishes a statement): again a next-row window per (file, depth).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import lexis
 from codeloom.operators.lines import masked_lines
-from codeloom.operators.patterns import BRACKET_PAIR, Pattern, matches
+from codeloom.operators.patterns import BRACKET_PAIR, NAME, SCRIPT_NAME, Pattern, matches
 
 LANGUAGES = ["go", "javascript", "typescript", "rust"]
 
@@ -30,6 +30,15 @@ def _list(depth: int = 24) -> str:
     return inner
 
 
+def _type_arguments(depth: int = 24) -> str:
+    """Type arguments, ``depth`` levels deep; a comparison that runs into an assignment is none."""
+    inner = r"<(?:[^<>=;]|=>)*+>"
+    for _ in range(depth - 1):
+        inner = rf"<(?:[^<>=;]|=>|{inner})*+>"
+    return inner
+
+
+_TYPE_ARGUMENTS = _type_arguments()
 _ARROW = rf"(?:async\s*)?{_list()}\s*(?::[^=;{{}}]*+)?=>"
 
 
@@ -37,17 +46,86 @@ def _last_brace(code: Column) -> Column:
     return F.length(code) - F.instr(F.reverse(code), "}") + 1
 
 
+def _places(code: Column, expression: str, describe: Callable[[Column, Column], Column]) -> Column:
+    """``describe(token, number of characters ahead of it)`` of everything in a line that ``expression`` finds."""
+    found = F.regexp_extract_all(code, F.lit(expression), F.lit(0))
+    between = F.split(code, expression, -1)
+
+    def placed(token: Column, i: Column) -> Column:
+        ahead = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda total, text: total + F.length(text))
+        inside = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda total, text: total + F.length(text))
+        return describe(token, ahead + inside)
+
+    return F.transform(found, placed)
+
+
+def _inline(code: Column, pattern: Pattern) -> Column:
+    """Statements that ``pattern`` finds in this line: (chunk_type, style, name, col, own_end)."""
+
+    def describe(token: Column, at: Column) -> Column:
+        rest = code.substr(at + F.length(token) + 1, F.length(code))
+        body = F.regexp_extract(rest, rf"^(?:[^()\[\]{{}};]|{BRACKET_PAIR})*+;?", 0)
+        whole = F.length(body) == F.length(rest)
+        ends = ~whole | body.endswith(";")
+        return F.struct(
+            F.lit(pattern.chunk_type).alias("chunk_type"),
+            F.lit("names").alias("style"),
+            F.lit("").alias("name"),
+            (at + 1).alias("col"),
+            # A bracket that stays open in this line is no end; one that is closed but not opened is.
+            F.when(ends & ~rest.substr(F.length(body) + 1, F.lit(1)).isin(*"([{"), at + F.length(token) + F.length(F.rtrim(body)))
+            .cast("int")
+            .alias("own_end"),
+        )
+
+    rows = _places(code, pattern.head, describe)
+    found = code.contains(pattern.hint) & code.rlike(pattern.head) if pattern.hint else code.rlike(pattern.head)
+    return F.when(found, rows).otherwise(F.slice(rows, 1, 0))
+
+
+def declared_names(content: Column, language: Column, chunk_type: Column) -> Column:
+    """The names that one declaration declares, in order.
+
+    A declaration begins outside of literals, so it is masked by itself. Brackets are taken out; what is left of a Go
+    declaration are its lines, what is left of a script's are its declarators.
+    """
+    return F.when(language == "go", _go_names(content, chunk_type)).otherwise(_script_names(content, language))
+
+
+def _flat(content: Column, language: str) -> Column:
+    return lexis.uncommented(lexis.masked_as(content, language))
+
+
+def _go_names(content: Column, chunk_type: Column) -> Column:
+    inner = F.regexp_replace(_flat(content, "go"), r"^(?:type|var|const)\b\s*(?:\(([\s\S]*)\))?", "$1")
+    flat = F.regexp_replace(inner, BRACKET_PAIR, "")
+    flat = F.regexp_replace(flat, r"([=+\-*/%&|^<>,.:!])\s*\n\s*", "$1 ")
+    specs = F.filter(
+        F.split(flat, r"[\n;]", -1),
+        lambda spec: F.when(chunk_type == "constants", spec.contains("="))
+        .when(chunk_type == "types", ~spec.rlike(rf"^\s*{NAME}\s*="))
+        .otherwise(F.lit(True)),
+    )
+    lists = F.transform(specs, lambda spec: F.regexp_extract(spec, rf"^\s*({NAME}(?:\s*,\s*{NAME})*)", 1))
+    names = F.flatten(F.transform(lists, lambda listed: F.split(listed, r"\s*,\s*", -1)))
+    return F.filter(names, lambda name: name != "")
+
+
+def _script_names(content: Column, language: Column) -> Column:
+    flat = F.regexp_replace(_flat(content, "javascript"), r"^(?:const|let|var)\s+", "")
+    flat = F.regexp_replace(flat, BRACKET_PAIR, "")
+    # Type arguments hold commas, too.
+    flat = F.when(language == "typescript", F.regexp_replace(flat, _TYPE_ARGUMENTS, "")).otherwise(flat)
+    declarators = F.split(flat, ",", -1)
+    names = F.transform(declarators, lambda one: F.regexp_extract(one, rf"^\s*({SCRIPT_NAME})\s*(?:[=:;!]|\z)", 1))
+    return F.filter(names, lambda name: name != "")
+
+
 def _arrows(code: Column) -> Column:
     """Arrow functions that start in this line, nameless: (chunk_type, style, name, col, own_end)."""
-    found = F.regexp_extract_all(code, F.lit(_ARROW), F.lit(0))
-    between = F.split(code, _ARROW, -1)
-
     nothing = F.lit(None).cast("int")
 
-    def describe(token: Column, i: Column) -> Column:
-        ahead = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda total, text: total + F.length(text))
-        inside = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda total, text: total + F.length(text))
-        at = ahead + inside
+    def describe(token: Column, at: Column) -> Column:
         # An expression body ends in front of the comma or bracket that follows it.
         rest = F.ltrim(code.substr(at + F.length(token) + 1, F.length(code)))
         body = F.rtrim(F.regexp_extract(rest, rf"^(?:[^()\[\]{{}},;]|{BRACKET_PAIR})*+", 0))
@@ -61,7 +139,7 @@ def _arrows(code: Column) -> Column:
             F.when(one_line, at + F.length(token) + blank + F.length(body)).otherwise(nothing).alias("own_end"),
         )
 
-    rows = F.transform(found, describe)
+    rows = _places(code, _ARROW, describe)
     return F.when(code.contains("=>"), rows).otherwise(F.slice(rows, 1, 0))
 
 
@@ -89,6 +167,8 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         listed = F.transform(matches(code, mine), lambda d: d.withField("own_end", F.lit(None).cast("int")))
         if arrows:
             listed = F.concat(listed, _arrows(code))
+        for pattern in (p for p in patterns if p.language == language and p.style == "inline"):
+            listed = F.concat(listed, _inline(code, pattern))
         found = (F.when if found is None else found.when)(F.col("language") == language, listed)
 
     inside = code.substr(F.lit(1), F.lit(1)) == lexis.STRING_FILL
@@ -203,6 +283,7 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
             "path",
             "language",
             "chunk_type",
+            "style",
             "name",
             F.col("ln").alias("s"),
             "scol",

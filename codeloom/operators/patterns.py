@@ -5,6 +5,8 @@ A pattern says how the first line of a declaration looks and how its end is foun
 ``indent``     the block that is indented deeper than its header
 ``block``      up to the closing brace of the block that the header opens
 ``statement``  up to the end of the statement
+``inline``     like ``statement``, but anywhere in a line, and every name that the statement declares
+               is a chunk of its own
 ``assignment`` Python assignments to plain names
 ``arrow``      an arrow function with a parenthesized parameter list
 
@@ -58,11 +60,18 @@ _PYTHON = (
     Pattern("python", "variables", "", rf"({NAME})\s*[:=]", "assignment", "effective"),
     Pattern("python", "imports", "", r"(?:import\s|from\s+\S+\s+import\b)", "statement", "declared", False, "import"),
 )
+
+
+def _declaring(word: str) -> str:
+    """``word`` in front of a name or of a group of declarations."""
+    return rf"(?<![\p{{L}}\p{{N}}_.]){word}(?=\s+{NAME}|\s*\()"
+
+
 _GO = (
     Pattern("go", "functions", "", rf"func\s+(?:\([^)]*\)\s*)?({NAME})\s*[\[(]", "block", "declared", True, "func"),
-    Pattern("go", "types", "", rf"type\s+({NAME})(?:\[[^\]]*\])?\s+[^\s=]", "statement", "declared", True, "type"),
-    Pattern("go", "variables", "", rf"var\s+({NAME})", "statement", "declared", True, "var"),
-    Pattern("go", "constants", "", rf"const\s+({NAME})(?:\s+[^=]*)?=", "statement", "declared", True, "const"),
+    Pattern("go", "types", "", _declaring("type"), "inline", "declared", True, "type"),
+    Pattern("go", "variables", "", _declaring("var"), "inline", "declared", True, "var"),
+    Pattern("go", "constants", "", _declaring("const"), "inline", "declared", True, "const"),
 )
 
 
@@ -71,7 +80,7 @@ def _script(language: str) -> tuple[Pattern, ...]:
         Pattern(language, "functions", _EXPORT, rf"(?:async\s+)?function\s+({SCRIPT_NAME})\s*[<(]", "block", "declared", True, "function"),
         Pattern(language, "functions", "", r"=>", "arrow", "arrow", False),
         Pattern(language, "classes", _EXPORT, rf"class\s+({SCRIPT_NAME})", "block", "declared", True, "class"),
-        Pattern(language, "variables", _EXPORT, rf"(?:const|let|var)\s+({SCRIPT_NAME})", "statement"),
+        Pattern(language, "variables", "", rf"(?<![\p{{L}}\p{{N}}_$.])(?:const|let|var)(?=\s+[^\s(])", "inline"),
     )
 
 

@@ -96,6 +96,24 @@ var Table{k} = map[string]int{
 }
 
 func Use{k}() int { return Rate{k} }
+''',
+    '''
+const (
+	Low{k}, High{k} = {z}, 2 // not, these = 1
+	Sum{k}          = Low{k} +
+		High{k}
+	Repeated{k}
+)
+
+var left{k}, right{k} = pair({z}, 2), "x, y"
+
+type (
+	Pair{k} struct {
+		a, b int
+	}
+	Same{k} = int
+	List{k} []int
+)
 ''',
 )
 JAVASCRIPT_PARTS = (
@@ -123,6 +141,16 @@ export const table{k} = {
 };
 
 export async function load{k}() { return table{k}; }
+''',
+    '''
+let low{k} = {z}, high{k} = [2, 3];
+
+const near{k} = 1; const far{k} = { a: 1, b: 2 };
+
+function test{k}(x) {
+  if (/[{]/.test(x)) { var deep{k} = {z}; }
+  return /[}]/;
+}
 ''',
 )
 TYPESCRIPT_PARTS = (
@@ -169,10 +197,12 @@ pub const RATE_{k}: u64 = {z};
 ''',
     '''
 enum Kind{k} {
-    Small,
+    Small, /* a { /* b { */ c */
     Large { size: u64 },
 }
 
+const RAW_{k}: &str = r##"{ "# {"##;
+
 trait Priced{k} {
     fn price{k}(&self) -> u64;
     fn twice{k}(&self) -> u64 {

