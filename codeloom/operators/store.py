@@ -11,15 +11,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Types of columns that can be hashed.
+_PLAIN = (T.StringType, T.BinaryType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType)
 
 
 def latest(rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("batch_seq", "position")) -> DataFrame:
     """The last row of every key. An aggregate, so copies of a hot key shrink before the shuffle.
 
-    The key itself stays a grouping column: later steps by key then need no exchange.
+    Rows that are equal in ``order`` are told apart by a hash of their plain columns, so that a run gives
+    the same row as any other. The key itself stays a grouping column: later steps by key then need no exchange.
     """
     rest = F.struct(*[name for name in rows.columns if name != key])
-    picked = rows.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("row"))
+    plain = [f.name for f in rows.schema if f.name != key and isinstance(f.dataType, _PLAIN)]
+    place = F.struct(*order, F.xxhash64(*plain).alias("tie")) if plain else F.struct(*order)
+    picked = rows.groupBy(key).agg(F.max_by(rest, place).alias("row"))
     return picked.select(key, "row.*").select(*rows.columns)
 
 

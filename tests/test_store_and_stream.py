@@ -71,6 +71,17 @@ CASES = [
 ]
 
 
+def test_latest_of_ties_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("a", f"text {i}", 1) for i in range(40)]
+    schema = "id string, document string, position int"
+    found = {
+        store.latest(spark.createDataFrame(given, schema).repartition(n), order=("position",)).first().document
+        for given in (rows, rows[::-1])
+        for n in (1, 3, 7)
+    }
+    assert len(found) == 1
+
+
 def test_request_cases(spark):
     frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "n int, value string")
     found = requests.acks(requests.parsed(frame)).orderBy("n").collect()
