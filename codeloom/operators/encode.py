@@ -2,7 +2,7 @@
 
 The built-in encoder is lexical, deterministic and offline: character trigrams of the
 words, hashed into a fixed number of buckets, weighted by ``1 + ln(tf)`` and brought to
-unit length. A sentence model can take its place where its package is installed.
+unit length. A model of your own can take its place through ``model_encoder``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from codeloom.session import placed_by
 BUCKETS = 4096
 BUILT_IN = "trigrams-4096"
 _MULTIPLIER = 2654435761
-DEFAULT_MODEL = "all-MiniLM-L6-v2"
 
 # Words that say nothing about a piece of code or a question.
 STOP_WORDS = "function def return if else to is this where class self the a".split()
@@ -85,17 +84,6 @@ def as_postings(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.select(key, F.inline(pairs).alias("bucket", "weight"))
 
 
-def sentence_model(name: str = DEFAULT_MODEL) -> Callable[[], object]:
-    """A loader for a cached sentence model; it never downloads."""
-
-    def load() -> object:
-        from sentence_transformers import SentenceTransformer
-
-        return SentenceTransformer(name, local_files_only=True)
-
-    return load
-
-
 def model_encoder(load: Callable[[], object]) -> Callable[[Column], Column]:
     """A vectorized function from text to a dense vector.
 
@@ -133,8 +121,3 @@ class Encoder(NamedTuple):
 
 
 TRIGRAMS = Encoder(BUILT_IN)
-
-
-def model(name: str = DEFAULT_MODEL) -> Encoder:
-    """The encoder of a cached sentence model, for sessions whose workers have its package."""
-    return Encoder(name, sentence_model(name))

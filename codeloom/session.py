@@ -33,7 +33,8 @@ def local_session(app: str, cores: int = 8, partitions: int | None = None, memor
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """Whether driver and executors are one process; ``local-cluster`` is a cluster."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
 
 
 def shared_folder(spark: SparkSession) -> str:
