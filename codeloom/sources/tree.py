@@ -21,7 +21,10 @@ from codeloom.functions.text import SKIPPED_DIRECTORIES
 from codeloom.schemas import FILE
 from codeloom.session import placed_by
 
+#: Subtrees to look for before they are shared out, and the most partitions of a listing.
 _ROOTS_WANTED = 256
+#: Files met on the way down that a partition takes at least.
+_FILES_EACH = 1000
 _BYTES_PER_BATCH = 32 << 20
 
 
@@ -62,19 +65,17 @@ class TreeReader(DataSourceReader):
             return [Subtrees([], [self.root] if _extension(name) in self.extensions else [])]
         if name in self.skipped:
             return [Subtrees([], [])]
-        parts: list[InputPartition] = []
-        level = [self.root]
+        level, met = [self.root], []
         # Go down level by level until there are enough subtrees to share out.
         while level and len(level) < _ROOTS_WANTED:
             deeper: list[str] = []
             for directory in level:
                 below, files = self._list(directory)
                 deeper += below
-                if files:
-                    parts.append(Subtrees([], files))
+                met += files
             level = deeper
-        parts += [Subtrees([directory], []) for directory in level]
-        return parts or [Subtrees([], [])]
+        n = min(_ROOTS_WANTED, max(1, len(level), len(met) // _FILES_EACH))
+        return [Subtrees(level[i::n], met[i::n]) for i in range(n)]
 
     def read(self, partition: Subtrees) -> Iterator[tuple[str, int]]:
         for path in partition.files:
