@@ -11,13 +11,16 @@ the same suffix, and from there they agree for ``HEAD`` words at least.
    suffix are compared, each with its equals. Each window of a text owns
    one suffix, so nothing is compared twice and no repeated window is missed.
 3. Repeated windows that overlap or touch are joined to maximal passages.
+4. Every repeated window has one first place: the least ``doc_id``, then the least begin. What can be cut follows window by
+   window, so a passage may stay in one part and go in another, and a repeat inside one document goes too.
 
 Which heads repeat reaches the second pass as a bitmap of bounded size; a false positive costs some rows and
 changes nothing. Copies of a whole text count as one text in the comparison, so neither they nor
 a passage that all documents share gather in one task: everything before the join is a minimum, maximum or count.
 
 Defined results: texts with fewer than ``LEAST`` words, null and empty ones too, have no passages, so no rows; rows with equal
-text count as repeats of each other, also if their ids are equal or null (rows equal in both give equal result rows);
+text count as repeats of each other, also if their ids are equal or null (rows equal in both give equal result rows, so
+both stay or go; make such rows distinct before); null ids come after all others;
 an empty table gives an empty one; further columns are ignored.
 """
 
@@ -42,6 +45,7 @@ BITS_PER_HEAD, SMALLEST, LARGEST = 16, 20, 30
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
+_PLACE = (1 << 31) - 1
 #: Bytes that separate words.
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -104,6 +108,23 @@ def heads_of(hasher: Hasher, words: np.ndarray) -> np.ndarray:
     return hasher.runs(words, np.unique(owners(hasher, words)), HEAD)
 
 
+def _order(doc_id: int | None, text_hash: int, places: np.ndarray) -> np.ndarray:
+    """Places of a text as numbers of 128 bits (low and high halves) in the order of ``doc_id`` and place.
+
+    Null ids come last; of texts with one id 31 bits of the hash decide. All fit a decimal of 38 digits.
+    """
+    base = ((1 << 63 if doc_id is None else doc_id) << 62) + ((text_hash & _PLACE) << 31)
+    out = np.empty((len(places), 2), np.uint64)
+    out[:, 0] = np.uint64(base & _MASK) + places.astype(np.uint64)
+    out[:, 1] = np.uint64((base >> 64) & _MASK)
+    return out
+
+
+def _doc_id(order: np.ndarray) -> int | None:
+    low, high = (int(x) for x in order)
+    return None if high == 1 << 61 else int(np.uint64((high << 2 | low >> 62) & _MASK).astype(np.int64))
+
+
 def repeated_heads(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts (``doc_id``, ``text_hash``, ``n_words``) and the ``head`` values that occur in two places."""
 
@@ -154,7 +175,10 @@ def head_bitmap(heads: DataFrame) -> np.ndarray:
 
 
 def windows(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """All windows of ``LEAST`` words whose first retained suffix has a head of the bitmap: ``window`` (hash), ``place``."""
+    """All windows of ``LEAST`` words whose first retained suffix has a head of the bitmap: ``window`` (hash), ``place``, ``at``.
+
+    ``at`` orders the places of a window over all documents.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +186,7 @@ def windows(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         low = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
             rows = []
-            hashes = batch.column(1).to_pylist()
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, text in enumerate(strings(batch.column(2))):
                 # Copies within a task need not be compared again.
                 if hashes[at] in seen:
@@ -177,29 +201,36 @@ def windows(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 met = (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
                 begins = np.flatnonzero(met[of_window])
                 if len(begins):
-                    rows.append((at, begins, hasher.runs(words, begins, LEAST)))
+                    rows.append((at, begins, hasher.runs(words, begins, LEAST), _order(ids[at], hashes[at], begins)))
             if not rows:
                 continue
             index = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))
+            order = pa.py_buffer(np.concatenate([r[3] for r in rows]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)),
                     batch.column(1).take(index),
                     pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32)),
-                    batch.column(0).take(index),
+                    pa.Array.from_buffers(pa.decimal128(38, 0), len(index), [None, order]),
                 ],
-                ["window", "text_hash", "place", "doc_id"],
+                ["window", "text_hash", "place", "at"],
             )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "window bigint, text_hash bigint, place int, doc_id bigint")
+    return rows.mapInArrow(run, "window bigint, text_hash bigint, place int, at decimal(38,0)")
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """A row for each repeated passage of each document.
 
     ``doc_id``, ``begin`` and ``n_words`` (in words), ``first_doc_id``: the smallest id of a document that holds
-    a part of it. A passage whose ``first_doc_id`` is its own may stay; the others can be cut.
+    a part of it. ``parts`` splits the passage where the first document of its windows changes: ``begin`` and ``n_words``
+    of the windows (neighbours overlap by less than ``LEAST`` words), their first place ``first_doc_id`` and
+    ``first_begin`` (of the part's first window), and whether they ``stay``, being that place.
+
+    ``cuts`` are the words that can be cut: those in a window whose first place is elsewhere and in none that stays. After
+    cutting, every repeated window is still at its first place. Elsewhere it is left only where all its words belong to windows
+    that stay there too, as in copies of a text around a passage of less than ``2 * LEAST - 1`` words from another text.
     """
     texts, heads = repeated_heads(docs)
     found = windows(docs, head_bitmap(heads))
@@ -208,13 +239,15 @@ def passages(docs: DataFrame) -> DataFrame:
     place = F.xxhash64("text_hash", "place")
     equal = checkpointed(
         found.groupBy("window")
-        .agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("doc_id").alias("first_doc_id"))
+        .agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("at").alias("first"))
         .where("low <> high")
-        .select(F.col("window").alias("of"), "first_doc_id")
+        .select(F.col("window").alias("of"), "first")
     )
-    repeated = found.join(equal, found["window"] == equal["of"]).select("text_hash", "place", equal["first_doc_id"])
-    of_text = repeated.groupBy("text_hash", "place").agg(F.min("first_doc_id").alias("first_doc_id"))
-    lists = of_text.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("place", "first_doc_id"))).alias("places"))
+    stays = (F.col("at") == F.col("first")).alias("stays")
+    repeated = found.join(equal, found["window"] == equal["of"]).select("text_hash", "place", "first", stays)
+    # A copy that is not the first one of its text has the same windows, which stay in the first one.
+    of_text = repeated.groupBy("text_hash", "place").agg(F.min("first").alias("first"), F.max("stays").alias("stays"))
+    lists = of_text.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("place", "first", "stays"))).alias("places"))
     # Copies of whole texts are repeats from end to end.
     copies = texts.groupBy("text_hash").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_copy"), F.max("n_words").alias("n_words")
@@ -222,31 +255,94 @@ def passages(docs: DataFrame) -> DataFrame:
     copies = copies.where((F.col("copies") > 1) & (F.col("n_words") >= LEAST)).drop("copies")
     spans = checkpointed(_joined(copies.join(lists, "text_hash", "full")))
     named = texts.select("doc_id", F.col("text_hash").alias("of_text"))
-    return named.join(spans, named["of_text"] == spans["text_hash"]).select("doc_id", "begin", "n_words", "first_doc_id")
+    # Of a copied text the first copy and the others have spans of their own.
+    meant = spans["first"].isNull() | (spans["first"] == named["doc_id"].eqNullSafe(spans["first_copy"]))
+    return named.join(spans, (named["of_text"] == spans["text_hash"]) & meant).select(
+        "doc_id", "begin", "n_words", "first_doc_id", "parts", "cuts"
+    )
+
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def _covered(at: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` words lie in the windows that begin at ``at``."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + LEAST, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _passage(at: np.ndarray, first: np.ndarray, stays: np.ndarray) -> tuple[int, int, int | None, list, list]:
+    """``begin``, ``n_words``, ``first_doc_id``, ``parts`` and ``cuts`` of the windows at ``at``."""
+    begin, size = int(at[0]), int(at[-1] - at[0]) + LEAST
+    whose = np.column_stack((first[:, 0] >> np.uint64(31), first[:, 1], stays))
+    starts = np.concatenate(([0], np.flatnonzero((whose[1:] != whose[:-1]).any(axis=1)) + 1))
+    ends = np.append(starts[1:], len(at)) - 1
+    parts = [
+        {
+            "begin": int(at[a]),
+            "n_words": int(at[b] - at[a]) + LEAST,
+            "first_doc_id": _doc_id(first[a]),
+            "first_begin": int(first[a, 0]) & _PLACE,
+            "stays": bool(stays[a]),
+        }
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True)
+    ]
+    cut = _covered(at[~stays] - begin, size) & ~_covered(at[stays] - begin, size)
+    cuts = [{"begin": begin + a, "n_words": b - a} for a, b in _runs(cut)]
+    least = min((p["first_doc_id"] for p in parts if p["first_doc_id"] is not None), default=None)
+    return begin, size, least, parts, cuts
+
+
+_PARTS = "parts array<struct<begin:int,n_words:int,first_doc_id:bigint,first_begin:int,stays:boolean>>"
+_CUTS = "cuts array<struct<begin:int,n_words:int>>"
 
 
 def _joined(lists: DataFrame) -> DataFrame:
-    """Windows of each text joined to passages; a copied text is one passage."""
+    """Windows of each text joined to passages; a copied text is one passage, once for its first copy and once for the others."""
+    span = [("begin", pa.int32()), ("n_words", pa.int32())]
+    part = [*span, ("first_doc_id", pa.int64()), ("first_begin", pa.int32()), ("stays", pa.bool_())]
+    schema = pa.schema(
+        [
+            ("text_hash", pa.int64()), ("first_copy", pa.int64()), ("first", pa.bool_()), *span, ("first_doc_id", pa.int64()),
+            ("parts", pa.list_(pa.struct(part))), ("cuts", pa.list_(pa.struct(span))),
+        ]
+    )
+
+    def spans_of(text_hash: int, first_copy: int | None, n_words: int | None, at: np.ndarray, first: np.ndarray, stays: np.ndarray) -> Iterator[tuple]:
+        if n_words is None:
+            for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > LEAST) + 1):
+                yield text_hash, None, None, *_passage(at[group], first[group], stays[group])
+            return
+        every = np.arange(n_words - LEAST + 1)
+        firsts, stay = _order(first_copy, text_hash, every), np.ones(len(every), bool)
+        firsts[at], stay[at] = first, stays
+        yield text_hash, first_copy, True, *_passage(every, firsts, stay)
+        yield text_hash, first_copy, False, *_passage(every, firsts, np.zeros(len(every), bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text_hash, first_copy, n_words, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n_words is not None:
-                    ids = [p["first_doc_id"] for p in places or [] if p["first_doc_id"] is not None]
-                    out.append((text_hash, 0, n_words, min([*ids, first_copy] if first_copy is not None else ids, default=None)))
-                    continue
-                at = np.array([p["place"] for p in places])
-                groups = np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > LEAST) + 1)
-                for group in groups:
-                    ids = [places[i]["first_doc_id"] for i in group if places[i]["first_doc_id"] is not None]
-                    begin = int(at[group[0]])
-                    out.append((text_hash, begin, int(at[group[-1]]) + LEAST - begin, min(ids, default=None)))
+            keys = zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)
+            for key, places in zip(keys, batch.column(3), strict=True):
+                values = places.values
+                if values is None:
+                    at, first, stays = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, bool)
+                else:
+                    columns = values.flatten()
+                    at = columns[0].to_numpy(zero_copy_only=False).astype(np.int64)
+                    halves = np.frombuffer(columns[1].buffers()[1], np.uint64)
+                    first = halves[2 * columns[1].offset :][: 2 * len(at)].reshape(-1, 2)
+                    stays = columns[2].to_numpy(zero_copy_only=False)
+                out.extend(spans_of(*key, at, first, stays))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["text_hash", "begin", "n_words", "first_doc_id"])
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return lists.select("text_hash", "first_copy", "n_words", "places").mapInArrow(
-        run, "text_hash bigint, begin int, n_words int, first_doc_id bigint"
+        run, f"text_hash bigint, first_copy bigint, first boolean, begin int, n_words int, first_doc_id bigint, {_PARTS}, {_CUTS}"
     )

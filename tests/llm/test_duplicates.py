@@ -105,6 +105,44 @@ def test_passages_agree_with_all_windows(documents):
     assert suffix_dedup.passages(documents([])).count() == 0
 
 
+def left_after_cutting(rows, texts: list, ids: list) -> tuple[dict, Counter, dict]:
+    """The places of each repeated window, how often it is left when the ``cuts`` are cut, and the words cut."""
+    n = suffix_dedup.LEAST
+    cut = defaultdict(set)
+    for r in rows:
+        assert all(r.begin <= c["begin"] and c["begin"] + c["n_words"] <= r.begin + r.n_words for c in r.cuts)
+        cut[r.doc_id].update(i for c in r.cuts for i in range(c["begin"], c["begin"] + c["n_words"]))
+    places = defaultdict(list)
+    for doc, text in zip(ids, texts, strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+        for i in range(len(w) - n + 1):
+            places[tuple(w[i : i + n])].append((doc, i))
+    places = {w: sorted(p) for w, p in places.items() if len(p) > 1}
+    return places, Counter({w: sum(cut[d].isdisjoint(range(i, i + n)) for d, i in p) for w, p in places.items()}), cut
+
+
+def test_every_repeated_window_stays_once_after_cutting(documents):
+    rng = random.Random(11)
+    p1, p2, p3, p4 = (prose(rng, n) for n in (120, 130, 140, 150))
+    own = lambda n: prose(rng, n)
+    copied = own(60) + p4 + own(70)
+    texts = {
+        9: p2, 5: p1 + p2, 1: own(20) + p1 + own(30),  # the first document changes inside one passage
+        12: own(10) + p3 + own(10) + p3,  # repeated in one document alone
+        11: copied, 10: copied, 2: own(9) + p4,  # a passage of another document in copies
+        20: ["x"] * 300,
+    }
+    ids, texts = list(texts), [" ".join(w) for w in texts.values()]
+    rows = suffix_dedup.passages(documents(texts, ids).coalesce(1)).collect()
+    places, left, cut = left_after_cutting(rows, texts, ids)
+    assert places and set(left.values()) == {1}
+    assert cut[5] == set(range(120)) and cut[9] == set(range(130)) and cut[12] == set(range(160, 300))
+    assert cut[10] == set(range(60 + 49, 60 + 150 - 49)) and cut[11] == set(range(280)) and cut[20] == set(range(50, 300))
+    parts = {r.doc_id: [tuple(p) for p in r.parts] for r in rows}
+    assert parts[5] == [(0, 120, 1, 20, False), (120, 130, 5, 120, True)]
+    assert parts[10] == [(0, 109, 10, 0, True), (60, 150, 2, 9, False), (161, 119, 10, 161, True)]
+
+
 def words_of(text: str | None) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
 
