@@ -177,21 +177,22 @@ def head_bitmap(heads: DataFrame) -> np.ndarray:
 def windows(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """All windows of ``LEAST`` words whose first retained suffix has a head of the bitmap: ``window`` (hash), ``place``, ``at``.
 
-    ``at`` orders the places of a window over all documents.
+    ``at`` orders the places of a window over all documents. A text occurs at least once with its smallest id.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hasher, seen = shared.value, Hasher(), set()
+        bits, hasher, seen = shared.value, Hasher(), {}
         low = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
             rows = []
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, text in enumerate(strings(batch.column(2))):
-                # Copies within a task need not be compared again.
-                if hashes[at] in seen:
+                # Copies within a task need not be compared again, unless their id is smaller.
+                rank = (ids[at] is None, ids[at] or 0)
+                if hashes[at] in seen and seen[hashes[at]] <= rank:
                     continue
-                seen.add(hashes[at])
+                seen[hashes[at]] = rank
                 words = hasher.words(text)
                 if len(words) < LEAST:
                     continue

@@ -143,6 +143,42 @@ def test_every_repeated_window_stays_once_after_cutting(documents):
     assert parts[10] == [(0, 109, 10, 0, True), (60, 150, 2, 9, False), (161, 119, 10, 161, True)]
 
 
+def test_first_place_does_not_depend_on_the_order_of_rows(documents):
+    rng = random.Random(12)
+    shared = prose(rng, 80)
+    copied = " ".join(prose(rng, 30) + shared)
+    texts, ids = [copied, copied, " ".join(shared + prose(rng, 20))], [7, 3, 5]
+    for order in ((0, 1, 2), (1, 0, 2), (2, 0, 1)):
+        rows = suffix_dedup.passages(documents([texts[i] for i in order], [ids[i] for i in order]).coalesce(1)).collect()
+        assert {r.doc_id: (r.first_doc_id, [tuple(c) for c in r.cuts]) for r in rows} == {
+            3: (3, []), 5: (3, [(0, 80)]), 7: (3, [(0, 110)]),
+        }
+
+
+def test_cutting_loses_no_repeated_window(documents):
+    rng = random.Random(13)
+    shared = [prose(rng, n) for n in (50, 51, 75, 110)]
+    texts = []
+    for _ in range(40):
+        pieces = [prose(rng, rng.randrange(30)) if rng.randrange(3) else rng.choice(shared)[rng.randrange(9) :] for _ in range(6)]
+        texts.append(" ".join(w for piece in pieces for w in piece))
+    texts += texts[:6] + [t.upper() for t in texts[4:8]]
+    ids = list(range(-20, len(texts) - 20))
+    ids[3], ids[7] = (1 << 63) - 1, -1 << 63
+    rng.shuffle(ids)
+    rows = suffix_dedup.passages(documents(texts, ids).repartition(3)).collect()
+    places, left, cut = left_after_cutting(rows, texts, ids)
+    n = suffix_dedup.LEAST
+    kept = defaultdict(set)
+    for first, *_ in places.values():
+        assert cut[first[0]].isdisjoint(range(first[1], first[1] + n))
+        kept[first[0]].update(range(first[1], first[1] + n))
+    for first, *others in places.values():
+        for doc, i in others:
+            assert not cut[doc].isdisjoint(range(i, i + n)) or kept[doc].issuperset(range(i, i + n))
+    assert {(r.doc_id, p["begin"]) for r in rows for p in r.parts if p["stays"]} <= {p[0] for p in places.values()}
+
+
 def words_of(text: str | None) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
 
