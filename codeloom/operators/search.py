@@ -10,7 +10,7 @@ depend on the order in which floating point numbers were added.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions.vectors import similarity, squared_l2
+from codeloom.session import shared_folder
 
 CANDIDATES = 50
 SHOWN = 5
@@ -35,6 +36,7 @@ QUERY_VALUES = 4_000_000
 BROADCAST_HITS = 100_000
 _SALTS = 64
 _CELLS = 4_000_000
+_SEED = 7
 
 
 class EncoderMismatch(ValueError):
@@ -93,19 +95,40 @@ class _Dense:
             part = rows[start : start + step]
             own = (part * part).sum(axis=1)
             rough = own[:, None] + self.squares[None, :] - 2.0 * (part @ self.queries.T)
+            apart = self.apart(part)
+            if apart is not None:
+                rough[apart] = np.inf
             # Rounding of sums of ``width`` products, twice over; half a last digit for ties after rounding.
             slack = 8.0 * (width + 2) * np.finfo(np.float64).eps * (own[:, None] + self.squares[None, :]) + 10.0**-DIGITS
             limit = np.full(count, self.threshold)
             if len(part) > self.k:
                 limit = np.minimum(limit, np.partition(rough + slack, self.k - 1, axis=0)[self.k - 1])
-            row, query = np.nonzero(rough - slack <= limit[None, :])
+            row, query = np.nonzero((rough - slack <= limit[None, :]) & (rough < np.inf))
             found = np.empty(len(row))
             pairs = max(1, _CELLS // width)
             for at in range(0, len(row), pairs):
-                apart = part[row[at : at + pairs]] - self.queries[query[at : at + pairs]]
-                found[at : at + pairs] = (apart * apart).sum(axis=1)
+                away = part[row[at : at + pairs]] - self.queries[query[at : at + pairs]]
+                found[at : at + pairs] = (away * away).sum(axis=1)
             yield start + row, query, found
 
+    def apart(self, part: np.ndarray) -> np.ndarray | None:
+        """The cells that are not compared: none."""
+        return None
+
+
+class _Bucketed(_Dense):
+    """Distances to those rows that share a bucket of a random projection with the query in at least one table."""
+
+    def __init__(self, block: pd.DataFrame, k: int, threshold: float | None, tables: int, bucket_length: float) -> None:
+        super().__init__(block, k, threshold)
+        lines = np.random.default_rng(_SEED).normal(size=(tables, self.queries.shape[1]))
+        self.lines = lines / np.linalg.norm(lines, axis=1, keepdims=True) / bucket_length
+        self.buckets = np.floor(self.queries @ self.lines.T)
+
+    def apart(self, part: np.ndarray) -> np.ndarray:
+        of_rows = np.floor(part @ self.lines.T)
+        return reduce(np.logical_and, (of_rows[:, t, None] != self.buckets[None, :, t] for t in range(len(self.lines))))
+
 
 class _Sparse:
     """Distances to a block of sparse query vectors of unit length.
@@ -163,14 +186,14 @@ class _Sparse:
 
 
 def _search_pass(
-    shared: Broadcast, dense: bool, k: int, threshold: float | None, output: pa.Schema
+    shared: Broadcast, compared: Callable, k: int, threshold: float | None, output: pa.Schema
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One pass over the corpus for all queries of ``shared``: the k best rows of the task for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         blocks = [
-            (start, (_Dense if dense else _Sparse)(queries.iloc[start : start + QUERIES_PER_BLOCK], k, threshold))
+            (start, compared(queries.iloc[start : start + QUERIES_PER_BLOCK], k, threshold))
             for start in range(0, len(queries), QUERIES_PER_BLOCK)
         ]
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(blocks)
@@ -237,9 +260,12 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, threshol
     return _nearest(corpus, queries, k, threshold)[0]
 
 
-def _nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None) -> tuple[DataFrame, int]:
+def _nearest(
+    corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None, compared: Callable | None = None
+) -> tuple[DataFrame, int]:
     """What ``nearest`` returns, and the number of queries."""
     dense = "embedding" in corpus.columns
+    compared = compared or (_Dense if dense else _Sparse)
     key_type = corpus.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
     schema = T.StructType(
@@ -258,7 +284,7 @@ def _nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | N
 
     parts, count = [], 0
     for part in _query_passes(asked):
-        parts.append(rows.mapInArrow(_search_pass(context.broadcast(part), dense, k, threshold, output), schema))
+        parts.append(rows.mapInArrow(_search_pass(context.broadcast(part), compared, k, threshold, output), schema))
         count += len(part)
     if not parts:
         none = corpus.sparkSession.createDataFrame([], schema)
@@ -290,19 +316,29 @@ def hits(
     )
 
 
+def approximately_nearest(
+    corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, tables: int = 8, bucket_length: float = 0.5
+) -> DataFrame:
+    """k neighbours of every dense query by random projections: ``(query_id, rank, id, distance)``.
+
+    Only rows that share a bucket with the query are compared, in one pass as in ``nearest``. Queries for which the buckets
+    hold fewer than k rows are asked again exactly, so every query has k rows if the corpus has them.
+    """
+    compared = partial(_Bucketed, tables=tables, bucket_length=bucket_length)
+    found = _nearest(corpus, queries, k, None, compared)[0]
+    context = corpus.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(corpus.sparkSession))
+    found = found.checkpoint()
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full, queries["query_id"].eqNullSafe(full["query_id"]), "left_anti")
+    exact = nearest(corpus, short, k)
+    return found.join(full.withColumnRenamed("query_id", "full_id"), F.col("query_id").eqNullSafe(F.col("full_id")), "left_semi").unionByName(exact)
+
+
 def approximate_nearest(
     corpus: DataFrame, query: Sequence[float], k: int = CANDIDATES, tables: int = 8, bucket_length: float = 0.5
 ) -> DataFrame:
     """k approximate neighbours of one dense vector by random projections: ``(rank, id, distance)``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    features = corpus.select("id", array_to_vector(F.col("embedding")).alias("features"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7
-    )
-    found = lsh.fit(features).approxNearestNeighbors(features, Vectors.dense([float(x) for x in query]), k, "l2")
-    squared = F.round(F.col("l2") * F.col("l2"), DIGITS)
-    rows = found.select("id", squared.alias("distance"))
-    return rows.select(F.row_number().over(Window.orderBy("distance", "id")).alias("rank"), "id", "distance")
+    asked = corpus.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, embedding array<double>")
+    return approximately_nearest(corpus, asked, k, tables, bucket_length).drop("query_id")

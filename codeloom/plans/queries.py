@@ -358,8 +358,7 @@ def knn_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = vectors(spark, sf_dir).where("id = 0").select("embedding").first()["embedding"]
-    return search.approximate_nearest(vectors(spark, sf_dir), query, 50)
+    return search.approximately_nearest(vectors(spark, sf_dir), probes(spark, sf_dir), 50)
 
 
 def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import encode, search
 from codeloom.operators.store import Collection
 from codeloom.plans.index import ask, index_directory, index_files, refresh_directory
+from codeloom.plans.queries import QUERIES
 
 DOCUMENTS = [
     ("door.js_openDoor_3", "function openDoor(key) { return lock.turn(key); }"),
@@ -154,6 +155,30 @@ def test_approximate_search_recall(spark):
     assert len(exact & close) >= 8
 
 
+def test_approximate_query_as_registered(spark):
+    """Every probe has its rows, and at least nine of ten are the exact ones."""
+    approximate, exact = (
+        {(r.query_id, r.id): r.distance for r in QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
+        for name in ("knn_lsh", "knn_batch")
+    )
+    per_query = Counter(q for q, _ in approximate)
+    assert set(per_query) == {q for q, _ in exact if q % 20 == 0} and set(per_query.values()) == {50}
+    wanted = {pair for pair in exact if pair[0] % 20 == 0}
+    assert len(wanted & approximate.keys()) >= 0.9 * len(wanted)
+    assert all(approximate[pair] == exact[pair] for pair in wanted & approximate.keys())
+
+
+def test_approximate_search_completes_queries(spark):
+    """Buckets too narrow to hold k rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(80, 6)))]
+    rows += [(100 + i, rows[0][1]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    asked = frame.where("id < 5").withColumnRenamed("id", "query_id")
+    found = search.approximately_nearest(frame, asked, 10, tables=1, bucket_length=1e-6)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in search.nearest(frame, asked, 10).collect()}
+
+
 def test_model_encoder(spark):
     class StubModel:
         def encode(self, texts):
