@@ -5,10 +5,9 @@ hash of ``GRAM`` words is the least of ``SPAN`` neighbouring places. Every windo
 first ``SPAN`` places. The choice follows from the window's content alone, so equal windows retain
 the same suffix, and from there they agree for ``HEAD`` words at least.
 
-1. The heads of the retained suffixes are sorted and compared with their neighbours: those that
-   stand alone begin no repeat.
-2. Where a head repeats, the match is extended left and right: all windows of ``LEAST`` words that have this
-   suffix are compared, each with its equals. Each window of a text owns
+1. The heads of the retained suffixes are hashed and grouped: those that stand alone begin no repeat.
+2. Where a head repeats, all windows of ``LEAST`` words that have this
+   suffix are hashed and grouped, each with its equals. Each window of a text owns
    one suffix, so nothing is compared twice and no repeated window is missed.
 3. Repeated windows that overlap or touch are joined to maximal passages.
 4. Every repeated window has one first place: the least ``doc_id``, then the least begin. What can be cut follows window by
