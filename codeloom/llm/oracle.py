@@ -100,8 +100,18 @@ def _urls() -> str:
     FROM n"""
 
 
+def _exact() -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, {_lowered("coalesce(text, '')")} AS t FROM documents),
+    g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+    SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
+           sha256(t) AS text_sha256
+    FROM d JOIN g USING (t)"""
+
+
 ORACLE: dict[str, str] = {
     "op3_decontamination": _contamination(),
     "op4_quality_rules": _quality(),
     "op5_url_filter": _urls(),
+    "op11_exact_dedup": _exact(),
 }
