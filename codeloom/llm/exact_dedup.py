@@ -13,7 +13,8 @@ reaches the scan as a broadcast set of keys when the set's size is counted and f
 beyond it, the scan hashes the rows of the coarser level instead (never texts moved through a shuffle): more
 hashing, the same result. Every level is an aggregate with map-side combination, so a group of copies that
 holds a third of all rows is counted in every task before anything moves, and the join back to the rows is an
-equi-join on keys of one row a key, which adaptive execution splits where a key is hot. The narrow rows of the
+equi-join on keys of one row a key. Groups larger than a task's share of the rows (at most as many as there are
+shuffle partitions) are joined where the rows lie, by a broadcast, so a hot group never lands in one task. The narrow rows of the
 third level (no text) are written below the shared folder once, so a lost executor costs no second scan.
 
 Defined results: a null text counts as the empty text; rows with equal doc_id and equal text are all kept if their
@@ -53,6 +54,22 @@ def _marked(rows: DataFrame, open_keys: DataFrame, keys: list[str], name: str) -
     return rows.withColumn(name, F.lit(True))
 
 
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with their group's ``group_keep`` and ``group_n`` (null where they have none).
+
+    A group of more rows than one task's share (rows / shuffle partitions) is hot. There are at most as many hot
+    groups as shuffle partitions, so they are sent to every task and joined where the rows are; only the other
+    groups meet their rows in a shuffle, where no key holds more than a task's share.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-rows.count() // parts))
+    hot = groups.where(F.col("group_n") >= share)
+    first = rows.join(F.broadcast(hot), keys, "left")
+    settled = first.where(F.col("group_n").isNotNull())
+    rest = first.where(F.col("group_n").isNull()).drop("group_keep", "group_n")
+    return settled.unionByName(rest.join(groups.where(F.col("group_n") < share), keys, "left"))
+
+
 def exact_duplicates(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size (long), kept, text_hash.
 
@@ -78,12 +95,10 @@ def exact_duplicates(docs: DataFrame, digest_all: bool = False) -> DataFrame:
         (whole if digest_all else F.when(F.col("open1") & F.col("open2"), whole)).alias("text_hash"),
     ))
     keys = ["length", "head", "text_hash"]
-    groups = (
-        hashed.where("open")
-        .groupBy(*keys)
-        .agg(F.max("doc_id").alias("group_keep"), F.count(F.lit(1)).alias("group_n"))
+    groups = checkpointed(
+        hashed.where("open").groupBy(*keys).agg(F.max("doc_id").alias("group_keep"), F.count(F.lit(1)).alias("group_n"))
     )
-    joined = hashed.join(groups, keys, "left")
+    joined = _joined(hashed, groups, keys)
     open_row = F.col("open")
     keep_id = F.when(open_row, F.col("group_keep")).otherwise(F.col("doc_id"))
     return joined.select(

@@ -230,3 +230,14 @@ def test_alignment_through_the_join(documents, monkeypatch):
 def test_alignment_of_nothing(documents):
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     assert token_alignment.alignment(documents([]).where("false"), a, b).count() == 0
+
+
+def test_exact_duplicates_with_a_hot_group(documents, spark):
+    texts = ["same"] * 30 + ["Same"] * 10 + ["other", "OTHER", "third"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        got = exact_dedup.exact_duplicates(documents(texts), digest_all=True).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((tuple(r) for r in got), key=repr) == plain_exact(list(enumerate(texts)))
