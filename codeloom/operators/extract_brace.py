@@ -39,6 +39,10 @@ def _type_arguments(depth: int = 24) -> str:
 
 
 _TYPE_ARGUMENTS = _type_arguments()
+# Where a masked line is cut into pieces: behind an opening brace or a semicolon, in front of a closing brace, and
+# behind one that a word follows which begins a statement (not one that goes on with an expression).
+_GOES_ON = r"(?:as|satisfies|instanceof|in|of|extends|implements|where)\b"
+_PIECE_CUT = r"(?<=[{;])|(?=\})|(?<=\})(?=[ \t]*[\p{L}_$#])(?![ \t]*" + _GOES_ON + ")"
 _ARROW = rf"(?:async\s*)?{_list()}\s*(?::[^=;{{}}]*+)?=>"
 
 
@@ -143,11 +147,30 @@ def _arrows(code: Column) -> Column:
     return F.when(code.contains("=>"), rows).otherwise(F.slice(rows, 1, 0))
 
 
+def statement_pieces(lines: DataFrame) -> DataFrame:
+    """Masked lines cut where a statement can begin: behind ``{`` and ``;``, in front of ``}``, behind it before a word.
+
+    Each piece is a row (path, language, ln, k: its place in the line, off: characters in front of it, code). A
+    declaration behind other code of its line, or a block that opens and closes within one line, then starts
+    and ends pieces of its own, so every later step can keep reading rows as lines. A brace that an operator,
+    a bracket or a word like ``as`` follows stays with them. Pieces of blanks only are dropped; the end-of-file row
+    stays one piece.
+    """
+    parts = lines.select(
+        "path", "language", "ln", F.posexplode(F.split(F.col("code"), _PIECE_CUT, -1)).alias("k", "piece")
+    )
+    in_line = Window.partitionBy("path", "ln").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("off", F.coalesce(F.sum(F.length("piece")).over(in_line), F.lit(0)).cast("int"))
+    return placed.select(
+        "path", "language", "ln", "k", "off", lexis.right_trimmed(F.col("piece")).alias("code")
+    ).where(F.trim(F.col("code"), F.lit(lexis.BLANKS)) != "")
+
+
 def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """Declarations: path, language, chunk_type, name, s, scol, e, ecol."""
     languages = [name for name in LANGUAGES if any(p.language == name for p in patterns)]
-    lines = masked_lines(partitioned, languages)
-    order = Window.partitionBy("path").orderBy("ln")
+    lines = statement_pieces(masked_lines(partitioned, languages))
+    order = Window.partitionBy("path").orderBy("ln", "k")
     code = F.col("code")
     at_end = code == lexis.END_OF_FILE
     before = F.coalesce(
@@ -228,6 +251,8 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         "path",
         "language",
         "ln",
+        "k",
+        "off",
         "code",
         "before",
         "has_brace",
@@ -239,15 +264,19 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         "path",
         "language",
         "ln",
+        "k",
+        "off",
         "event.*",
         F.when(
             F.col("event.chunk_type").isNull() & F.col("ends_block"),
-            F.struct("ln", brace_at.alias("end"), (F.col("has_brace") & ~F.col("at_end")).alias("body")),
+            F.struct("ln", "k", "off", brace_at.alias("end"), (F.col("has_brace") & ~F.col("at_end")).alias("body")),
         ).alias("block_end"),
         F.when(
             F.col("event.chunk_type").isNull() & F.col("ends_statement"),
             F.struct(
                 "ln",
+                "k",
+                "off",
                 F.length("code").alias("end"),
                 (~F.col("at_end")).alias("body"),
                 F.length(F.rtrim("code", F.lit(";, "))).alias("expression"),
@@ -256,23 +285,24 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     )
     later = (
         Window.partitionBy("path", "level")
-        .orderBy(F.desc("ln"), F.col("chunk_type").isNotNull())
+        .orderBy(F.desc("ln"), F.desc("k"), F.col("chunk_type").isNotNull())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     events = events.withColumn("block_end", F.last("block_end", ignorenulls=True).over(later)).withColumn(
         "statement_end", F.last("statement_end", ignorenulls=True).over(later)
     )
-    own = F.struct("ln", F.col("own_end").alias("end"), F.lit(True).alias("body"))
+    own = F.struct("ln", "off", F.col("own_end").alias("end"), F.lit(True).alias("body"))
     # An arrow function ends with its expression, not with the statement around it.
     is_arrow = (F.col("chunk_type") == "functions") & (F.col("name") == "")
     statement = F.struct(
         F.col("statement_end.ln").alias("ln"),
+        F.col("statement_end.off").alias("off"),
         F.when(is_arrow, F.col("statement_end.expression")).otherwise(F.col("statement_end.end")).alias("end"),
         F.col("statement_end.body").alias("body"),
     )
     end = (
         F.when(F.col("own_end").isNotNull(), own)
-        .when(F.col("style") == "block", F.col("block_end"))
+        .when(F.col("style") == "block", F.col("block_end").dropFields("k"))
         .otherwise(statement)
     )
     return (
@@ -286,8 +316,8 @@ def spans(partitioned: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
             "style",
             "name",
             F.col("ln").alias("s"),
-            "scol",
+            (F.col("off") + F.col("scol")).alias("scol"),
             F.col("end.ln").alias("e"),
-            F.col("end.end").alias("ecol"),
+            (F.col("end.off") + F.col("end.end")).alias("ecol"),
         )
     )

@@ -53,6 +53,8 @@ class Pattern(NamedTuple):
 
 _EXPORT = r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
 _VISIBLE = r"(?:pub(?:\s*\([^)]*\))?\s+)?"
+# Attributes in front of a Rust item belong to the line, not to the item.
+_ATTRIBUTES = r"(?:#\[(?:[^\[\]]|\[[^\[\]]*\])*\]\s*)*"
 
 _PYTHON = (
     Pattern("python", "functions", "", rf"(?:async\s+)?def\s+({NAME})", "indent", "effective", True, "def"),
@@ -92,17 +94,17 @@ _RUST = (
     Pattern(
         "rust",
         "functions",
-        "",
+        _ATTRIBUTES,
         rf"{_VISIBLE}(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\S+\s+)?)*fn\s+({NAME})",
         "block",
         hint="fn",
     ),
-    Pattern("rust", "structs", "", rf"{_VISIBLE}struct\s+({NAME})\s*(?:<|\{{|where\b|\z)", "block", "declared", True, "struct"),
-    Pattern("rust", "enums", "", rf"{_VISIBLE}enum\s+({NAME})", "block", "declared", True, "enum"),
-    Pattern("rust", "impls", "", rf"(?:unsafe\s+)?impl\b(?:[^{{;]*\sfor\s+|\s+){NAME}\s*(?:\{{|where\b|\z)", "block", "declared", False, "impl"),
-    Pattern("rust", "traits", "", rf"{_VISIBLE}(?:unsafe\s+)?trait\s+({NAME})", "block", "declared", True, "trait"),
-    Pattern("rust", "constants", "", rf"{_VISIBLE}const\s+({NAME})\s*:", "statement", "declared", True, "const"),
-    Pattern("rust", "statics", "", rf"{_VISIBLE}static\s+(?:mut\s+)?({NAME})\s*:", "statement", "declared", True, "static"),
+    Pattern("rust", "structs", _ATTRIBUTES, rf"{_VISIBLE}struct\s+({NAME})\s*(?:<|\{{|where\b|\z)", "block", "declared", True, "struct"),
+    Pattern("rust", "enums", _ATTRIBUTES, rf"{_VISIBLE}enum\s+({NAME})", "block", "declared", True, "enum"),
+    Pattern("rust", "impls", _ATTRIBUTES, rf"(?:unsafe\s+)?impl\b(?:[^{{;]*\sfor\s+|\s+){NAME}\s*(?:\{{|where\b|\z)", "block", "declared", False, "impl"),
+    Pattern("rust", "traits", _ATTRIBUTES, rf"{_VISIBLE}(?:unsafe\s+)?trait\s+({NAME})", "block", "declared", True, "trait"),
+    Pattern("rust", "constants", _ATTRIBUTES, rf"{_VISIBLE}const\s+({NAME})\s*:", "statement", "declared", True, "const"),
+    Pattern("rust", "statics", _ATTRIBUTES, rf"{_VISIBLE}static\s+(?:mut\s+)?({NAME})\s*:", "statement", "declared", True, "static"),
 )
 
 PATTERNS: tuple[Pattern, ...] = _PYTHON + _GO + _script("javascript") + _TYPESCRIPT + _RUST

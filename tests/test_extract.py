@@ -325,3 +325,24 @@ const { one, two } = three;
 def test_type_arguments_are_no_declarators(spark):
     text = "const m: Map<string, Map<number, boolean>> = new Map(), k: (a: A, b: B) => void = f;\nconst enum E { A }\ndeclare const t: T;\n"
     assert names_of(spark, "a.ts", text) == {("m", 1, 1), ("k", 1, 1), ("t", 3, 3)}
+
+
+MIDLINE = {
+    "a.js": ("if (x) { function q() { return 1; } }\nlet z = 1; function tail() {}\nclass A {} class B {}\n",
+             {("q", 1, 1, "function q() { return 1; }"), ("tail", 2, 2, "function tail() {}"), ("z", 2, 2, "let z = 1;"),
+              ("A", 3, 3, "class A {}"), ("B", 3, 3, "class B {}")}),
+    "b.rs": ("mod m { fn a() {} }\nimpl A { fn b(&self) {} }\n#[test] fn c() {}\n#[derive(Debug, Clone)]\npub struct S { x: i32 }\n",
+             {("a", 1, 1, "fn a() {}"), ("b", 2, 2, "fn b(&self) {}"), ("", 2, 2, "impl A { fn b(&self) {} }"),
+              ("c", 3, 3, "fn c() {}"), ("S", 5, 5, "pub struct S { x: i32 }")}),
+    "c.ts": ("type A = string; type B = number;\nnamespace N { export function f(): void {\n  return;\n} }\n",
+             {("A", 1, 1, "type A = string;"), ("B", 1, 1, "type B = number;"), ("f", 2, 4, "function f(): void {\n  return;\n}")}),
+    "d.go": ("package p\nfunc a() {}; func b() int { return 1 }\n",
+             {("a", 2, 2, "func a() {}"), ("b", 2, 2, "func b() int { return 1 }")}),
+}
+
+
+@pytest.mark.parametrize("path", sorted(MIDLINE))
+def test_declarations_behind_other_code(spark, path):
+    text, expected = MIDLINE[path]
+    rows = chunks(files(spark, [(path, text)]), "declared").collect()
+    assert {(r.function_name or r.class_name or "", r.start_line, r.end_line, r.content) for r in rows} == expected
