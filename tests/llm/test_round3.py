@@ -122,7 +122,8 @@ def test_variants_match_plain_search(documents):
 
 
 def test_variants_in_many_small_blocks(documents, monkeypatch):
-    monkeypatch.setattr(spelling_variants, "BLOCK", 2)
+    monkeypatch.setattr(spelling_variants, "INDEX_BLOCK", 3)
+    monkeypatch.setattr(spelling_variants, "ASK_BLOCK", 2)
     monkeypatch.setattr(spelling_variants, "LEAF", 1)
     texts = variant_texts()
     got = spelling_variants.variants(documents(texts)).collect()
@@ -141,6 +142,9 @@ def test_near_pairs_against_all_pairs():
         want |= {(a, b) for a in same for b in longer if plain_near(a, b)}
         got = set(spelling_variants.near_pairs(same, same)) | set(spelling_variants.near_pairs(same, longer))
         assert got == want
+    assert set(spelling_variants.near_pairs(words, words)) == {
+        (a, b) for a in words for b in words if (len(a) < len(b) or (len(a) == len(b) and a < b)) and plain_near(a, b)
+    }
 
 
 def test_variants_of_nothing(documents):
