@@ -101,6 +101,43 @@ def masked(text: Column, language: Column, languages: Sequence[str]) -> Column:
     return plain_blanks(chain)
 
 
+#: What ``flattened`` puts in place of a bracket pair and its content.
+PAIR_FILL = "\u0004"
+_INNERMOST = r"[(\[{][^()\[\]{}]*+[)\]}]"
+
+
+def _fill_innermost(text: Column) -> Column:
+    between = F.split(text, _INNERMOST, -1)
+    found = F.regexp_extract_all(text, F.lit(_INNERMOST), F.lit(0))
+    pairs = F.zip_with(between, found, lambda code, pair: F.concat(code, F.coalesce(F.repeat(F.lit(PAIR_FILL), F.length(pair)), F.lit(""))))
+    return F.array_join(pairs, "")
+
+
+def flattened(text: Column) -> Column:
+    """``text`` with every balanced bracket pair, content included, replaced by ``PAIR_FILL``, at any depth.
+
+    Columns do not move, and unbalanced brackets stay. The number of passes is the text's own nesting depth,
+    read from its brackets in one pass; each pass fills the innermost pairs. No depth is fixed.
+    """
+    steps = F.transform(
+        F.split(F.regexp_replace(text, r"[^()\[\]{}]", ""), "", -1),
+        lambda c: F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0),
+    )
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("high"), F.lit(0).alias("low"))
+    reach = F.aggregate(
+        steps,
+        start,
+        lambda state, step: F.struct(
+            (state["d"] + step).alias("d"),
+            F.greatest(state["high"], state["d"] + step).alias("high"),
+            F.least(state["low"], state["d"] + step).alias("low"),
+        ),
+    )
+    passes = reach["high"] - reach["low"]
+    filled = F.aggregate(F.sequence(F.lit(1), F.greatest(passes, F.lit(1))), text, lambda acc, _: _fill_innermost(acc))
+    return F.when(text.rlike(_INNERMOST), filled).otherwise(text)
+
+
 def plain_blanks(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r"), F.lit(" ")), F.lit("\f"), F.lit(" "))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lexis
 from codeloom.operators.lines import masked_lines
-from codeloom.operators.patterns import BRACKET_PAIR, NAME, SCRIPT_NAME, Pattern, matches
+from codeloom.operators.patterns import NAME, SCRIPT_NAME, Pattern, matches
 
 LANGUAGES = ["go", "javascript", "typescript", "rust"]
 
@@ -39,6 +39,7 @@ def _type_arguments(depth: int = 24) -> str:
 
 
 _TYPE_ARGUMENTS = _type_arguments()
+_FILLED = f"{lexis.PAIR_FILL}++"
 # Where a masked line is cut into pieces: behind an opening brace or a semicolon, in front of a closing brace, and
 # behind one that a word follows which begins a statement (not one that goes on with an expression).
 _GOES_ON = r"(?:as|satisfies|instanceof|in|of|extends|implements|where)\b"
@@ -68,7 +69,8 @@ def _inline(code: Column, pattern: Pattern) -> Column:
 
     def describe(token: Column, at: Column) -> Column:
         rest = code.substr(at + F.length(token) + 1, F.length(code))
-        body = F.regexp_extract(rest, rf"^(?:[^()\[\]{{}};]|{BRACKET_PAIR})*+;?", 0)
+        # Brackets opened in front of the token are not in ``rest``, so what closes them stays unbalanced.
+        body = F.regexp_extract(lexis.flattened(rest), r"^[^()\[\]{};]*+;?", 0)
         whole = F.length(body) == F.length(rest)
         ends = ~whole | body.endswith(";")
         return F.struct(
@@ -102,7 +104,7 @@ def _flat(content: Column, language: str) -> Column:
 
 def _go_names(content: Column, chunk_type: Column) -> Column:
     inner = F.regexp_replace(_flat(content, "go"), r"^(?:type|var|const)\b\s*(?:\(([\s\S]*)\))?", "$1")
-    flat = F.regexp_replace(inner, BRACKET_PAIR, "")
+    flat = F.regexp_replace(lexis.flattened(inner), _FILLED, "")
     flat = F.regexp_replace(flat, r"([=+\-*/%&|^<>,.:!])\s*\n\s*", "$1 ")
     specs = F.filter(
         F.split(flat, r"[\n;]", -1),
@@ -117,7 +119,7 @@ def _go_names(content: Column, chunk_type: Column) -> Column:
 
 def _script_names(content: Column, language: Column) -> Column:
     flat = F.regexp_replace(_flat(content, "javascript"), r"^(?:const|let|var)\s+", "")
-    flat = F.regexp_replace(flat, BRACKET_PAIR, "")
+    flat = F.regexp_replace(lexis.flattened(flat), _FILLED, "")
     # Type arguments hold commas, too.
     flat = F.when(language == "typescript", F.regexp_replace(flat, _TYPE_ARGUMENTS, "")).otherwise(flat)
     declarators = F.split(flat, ",", -1)
@@ -132,7 +134,7 @@ def _arrows(code: Column) -> Column:
     def describe(token: Column, at: Column) -> Column:
         # An expression body ends in front of the comma or bracket that follows it.
         rest = F.ltrim(code.substr(at + F.length(token) + 1, F.length(code)))
-        body = F.rtrim(F.regexp_extract(rest, rf"^(?:[^()\[\]{{}},;]|{BRACKET_PAIR})*+", 0))
+        body = F.rtrim(F.regexp_extract(lexis.flattened(rest), r"^[^()\[\]{},;]*+", 0))
         one_line = ~rest.startswith("{") & (body != "") & ~body.rlike(_CONTINUES)
         blank = F.length(code) - at - F.length(token) - F.length(rest)
         return F.struct(

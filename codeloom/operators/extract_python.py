@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lexis
 from codeloom.operators.lines import masked_lines
-from codeloom.operators.patterns import BRACKET_PAIR, NAME, Pattern, matches
+from codeloom.operators.patterns import NAME, Pattern, matches
 
 # Words that can stand in front of "=" or ":" but are not names.
 KEYWORDS = (
@@ -25,13 +25,15 @@ KEYWORDS = (
 ).split()
 
 
-_ATOM = rf"\*?(?:{NAME}|{BRACKET_PAIR})(?:\s*\.\s*{NAME}|{BRACKET_PAIR})*+"
+# Statements are read with their bracket pairs filled (``lexis.flattened``): a pair of any depth is one run.
+_PAIR = f"{lexis.PAIR_FILL}++"
+_ATOM = rf"\*?(?:{NAME}|{_PAIR})(?:\s*\.\s*{NAME}|{_PAIR})*+"
 _TARGETS = rf"{_ATOM}(?:\s*,\s*{_ATOM})*+\s*,?\s*"
-_ANNOTATION = rf"(?::(?!=)(?:[^=()\[\]{{}}]|{BRACKET_PAIR})*+)?"
+_ANNOTATION = r"(?::(?!=)[^=()\[\]{}]*+)?"
 _ASSIGN = rf"{_TARGETS}{_ANNOTATION}=(?!=)\s*"
 _HEADER_WITH_BODY = (
     r"^\s*(?:async\s+)?(?:if|elif|else|for|while|try|except|finally|with|def|class|case(?=\s+[^\s:=]))\b"
-    rf"(?:[^()\[\]{{}}:]|:=|{BRACKET_PAIR})*+:(?=\s*\S)"
+    r"(?:[^()\[\]{}:]|:=)*+:(?=\s*\S)"
 )
 
 # Larger than any indent, so that a later statement always outweighs an earlier one.
@@ -133,7 +135,7 @@ def statements(partitioned: DataFrame) -> DataFrame:
     at_end = code == lexis.END_OF_FILE
     order = Window.partitionBy("path").orderBy("ln")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = masked_lines(partitioned, ["python"]).select(
+    rows = masked_lines(partitioned, ["python"]).withColumn("code", lexis.flattened(code)).select(
         "path",
         "language",
         "ln",

@@ -29,17 +29,6 @@ NAME = r"[\p{L}_][\p{L}\p{N}_]*"
 SCRIPT_NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
 
 
-def _bracketed(depth: int = 40) -> str:
-    """A bracket pair with its content, up to ``depth`` levels deep."""
-    pair = r"[(\[{][^()\[\]{}]*+[)\]}]"
-    for _ in range(depth - 1):
-        pair = rf"[(\[{{](?:[^()\[\]{{}}]|{pair})*+[)\]}}]"
-    return pair
-
-
-BRACKET_PAIR = _bracketed()
-
-
 class Pattern(NamedTuple):
     language: str
     chunk_type: str

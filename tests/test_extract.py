@@ -346,3 +346,15 @@ def test_declarations_behind_other_code(spark, path):
     text, expected = MIDLINE[path]
     rows = chunks(files(spark, [(path, text)]), "declared").collect()
     assert {(r.function_name or r.class_name or "", r.start_line, r.end_line, r.content) for r in rows} == expected
+
+
+@pytest.mark.parametrize("levels", [5, 60, 5000])
+def test_no_nesting_limit(spark, levels):
+    deep = "[" * levels + "int" + "]" * levels
+    calls = "f(" * levels + "1" + ")" * levels
+    py = f"y: A{deep} = 1\nz[{calls}] = w = 2\n"
+    assert {n for n, _, _ in names_of(spark, "a.py", py, "effective")} == {"y", "w"}
+    js = f"let a = {calls}, b = 2;\nconst c = [{deep}];\n"
+    assert names_of(spark, "a.js", js) == {("a", 1, 1), ("b", 1, 1), ("c", 2, 2)}
+    go = f"package p\nvar (\n\tv = {calls}\n\tu = 3\n)\n"
+    assert {n for n, _, _ in names_of(spark, "a.go", go)} == {"v", "u"}
