@@ -36,11 +36,12 @@ from codeloom.llm.common import checkpointed
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 LEAST_CHARS = 7
+LONG_RUN = f"[A-Za-z\\u00C0-\\u00FF]{{{LEAST_CHARS},}}"
 LEAST_SEEN = 2
 FORM_RATIO = 10
 #: Words of one length in one tree, and queries of one length asked in one group.
 INDEX_BLOCK = 250_000
-ASK_BLOCK = 20_000
+ASK_BLOCK = 100_000
 #: Points in a leaf of a tree.
 LEAF = 8
 #: One edit moves a vector of letter counts by at most this much.
@@ -52,7 +53,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """One row (``word``) per run of every text, A-Z lower-cased and with the hashed deletion applied."""
     runs = docs.select(
         "doc_id",
-        F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), F.lit(0))).alias("run"),
+        # Only runs of LEAST_CHARS or more can give a word (a deletion only shortens); matching from the left with
+        # a greedy count still yields maximal runs.
+        F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LONG_RUN), F.lit(0))).alias("run"),
     ).select("doc_id", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("run"))
     hashed = runs.withColumn("h", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run"))))
     return hashed.selectExpr(
@@ -75,11 +78,11 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def _vectors(words: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(words), len(alphabet)), np.int16)
+    width = len(alphabet)
     rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
     cols = np.fromiter((alphabet[c] for w in words for c in w), np.int64, len(rows))
-    np.add.at(out, (rows, cols), 1)
-    return out
+    counts = np.bincount(rows * width + cols, minlength=len(words) * width)
+    return counts.astype(np.int16).reshape(len(words), width)
 
 
 class KdTree:
