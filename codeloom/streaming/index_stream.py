@@ -12,7 +12,7 @@ from codeloom.operators import encode
 from codeloom.operators.requests import accepted_chunks, acks, parsed
 from codeloom.operators.store import Collection, latest
 
-DESCRIPTION = "Code chunks for semantic search"
+DESCRIPTION = "Declarations of source files, encoded for nearest-neighbour questions"
 COLLECTION = "code_chunks"
 
 
