@@ -94,12 +94,15 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    # Products in 64 bits: a text of a few million repeated words or symbols would overflow 32.
+    words, repeated = F.col("n_words").cast("bigint"), F.col("n_repeat_words").cast("bigint")
+    return (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * words)
 
 
 def measure(of: Measure) -> Column:
     """The measure as a whole number; 0 for texts without words."""
-    return F.when(F.col(of.whole) > 0, F.floor(F.col(of.part) * of.scale / F.col(of.whole)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    part = F.col(of.part).cast("bigint") * F.lit(of.scale).cast("bigint")
+    return F.when(F.col(of.whole) > 0, F.floor(part / F.col(of.whole)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def bucket(value: str) -> Column:

@@ -208,3 +208,11 @@ def test_markers():
     text = "User: hi\nAssistant: hello\nthere\n### Human:\nok\n<|im_start|>assistant\nfine<|im_end|>\n[USER] x\nAnswer me: no"
     assert chat_turns.segments(text) == [(2, "hi"), (3, "hello\nthere"), (2, "ok"), (3, "fine"), (2, "x\nAnswer me: no")]
     assert chat_turns.segments("") == [(0, "")]
+
+
+def test_quality_counts_do_not_overflow_on_long_texts(documents):
+    words = " ".join(f"w{i}" for i in range(30))
+    texts = [words + " " + "#" * 3_000_000, words + " " + "a" * 22_000_000, words + "\n" + (words + "\n") * 100_000]
+    found = {r.doc_id: r for r in quality_rules.quality_verdicts(documents(texts)).collect()}
+    assert found[0].n_symbols == 3_000_000 and found[1].word_chars == 22_000_000 + sum(len(f"w{i}") for i in range(30))
+    assert found[2].n_dup_lines == 100_000 and found[2].base_failed
