@@ -60,10 +60,14 @@ def segments(text: str) -> list[tuple[int, str]]:
     return out
 
 
+_LISTING = re.compile(r"(?m)^[^\S\n]*(?:[-*] |\d+[.)] |```)")
+
+
 def seen(marker: int, text: str) -> list[int]:
     """What the model sees of a segment."""
     lines = text.strip().count("\n") + 1
-    listing = bool(re.search(r"(?m)^\s*(?:[-*] |\d+[.)] |```)", text))
+    # White space other than newlines: a line start is then tried once, not run over every later line.
+    listing = bool(_LISTING.search(text))
     return [marker, min(13, len(text).bit_length()), min(7, lines - 1), int(text.rstrip().endswith("?")), int(listing)]
 
 
@@ -141,7 +145,8 @@ def weights_of(rows: DataFrame) -> Weights:
     places = checkpointed(
         known.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("known").alias("known"))
     )
-    before = places.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("known").alias("before"))
+    # The largest turn has no next one; try_add gives null there instead of an overflow.
+    before = places.select("conv_id", F.try_add(F.col("turn"), F.lit(1)).alias("turn"), F.col("known").alias("before"))
     met = places.join(before, ["conv_id", "turn"], "left").groupBy("before", "known").count().collect()
     return Weights(
         {r.known: r["count"] for r in met if r.before is None},

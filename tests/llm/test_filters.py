@@ -216,3 +216,20 @@ def test_quality_counts_do_not_overflow_on_long_texts(documents):
     found = {r.doc_id: r for r in quality_rules.quality_verdicts(documents(texts)).collect()}
     assert found[0].n_symbols == 3_000_000 and found[1].word_chars == 22_000_000 + sum(len(f"w{i}") for i in range(30))
     assert found[2].n_dup_lines == 100_000 and found[2].base_failed
+
+
+def test_turns_bear_long_blank_texts_and_the_largest_turn(conversations, spark):
+    import time
+
+    begun = time.perf_counter()
+    assert chat_turns.seen(0, "a" + "\n" * 200_000 + "b")[4] == 0
+    assert chat_turns.seen(0, "a\n\n \t- b")[4] == 1
+    assert time.perf_counter() - begun < 1
+    last = (1 << 63) - 1
+    extra = spark.createDataFrame(
+        [(90, last - 1, "user", "why?"), (90, last, "assistant", "because\n" * 3), (91, 0, None, "\n" * 20_000)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    rows = chat_turns.chat_turns(conversations.unionByName(extra)).collect()
+    assert {r.turn for r in rows if r.conv_id == 90} == {last - 1, last}
+    assert any(r.conv_id == 91 for r in rows)
