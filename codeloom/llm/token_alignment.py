@@ -24,9 +24,9 @@ an empty one; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -38,6 +38,8 @@ from codeloom.llm.common import checkpointed, map_texts, strings
 
 #: Distinct id pairs that are sent to every task for the per-document sums; more are joined.
 MOST_PAIRS = 4_000_000
+#: Characters of texts handed to the tokenizers in one call: memory follows this, not the batch.
+CHARS_AT_ONCE = 1 << 20
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, links array<struct<a:int,b:int,n:int>>"
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
@@ -59,6 +61,8 @@ class Encoders:
     """The two tokenizers and the bytes of every id, loaded once in a worker."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
+        # One thread per task, as Spark counts it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -74,7 +78,7 @@ class Encoders:
             self.b_bytes.append(bytes([int(byte.group(1), 16)]) if byte else piece.replace("▁", " ").encode())
 
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         return a, b
 
@@ -84,15 +88,18 @@ def _ends(ids: list[int], table: list[bytes]) -> tuple[np.ndarray, bytes]:
     return np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), b"".join(parts)
 
 
-def align(text: str, enc: Encoders, a_ids: list[int], b_ids: list[int]) -> tuple[int, int, int, str, Counter]:
-    """n_a, n_b, n_groups, the group string and the linked id pairs with their occurrences, for one text."""
+_NO_LINKS = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def align(text: str, enc: Encoders, a_ids: list[int], b_ids: list[int]) -> tuple:
+    """n_a, n_b, n_groups, the group string and the linked id pairs (a, b, occurrences as arrays), for one text."""
     if not text:
-        return 0, 0, 0, "", Counter()
+        return 0, 0, 0, "", *_NO_LINKS
     a_end, a_joined = _ends(a_ids, enc.a_bytes)
     b_end, b_joined = _ends(b_ids, enc.b_bytes)
     whole = (" " + text).encode("utf-8", "surrogatepass")
     if a_joined != whole or b_joined != whole:
-        return 0, 0, 0, "", Counter()
+        return 0, 0, 0, "", *_NO_LINKS
     a_start = a_end - np.diff(a_end, prepend=0)
     b_start = b_end - np.diff(b_end, prepend=0)
     starts, ends = np.concatenate((a_start, b_start)), np.concatenate((a_end, b_end))
@@ -105,17 +112,30 @@ def align(text: str, enc: Encoders, a_ids: list[int], b_ids: list[int]) -> tuple
     group[order] = np.cumsum(opens) - 1
     n_groups = int(opens.sum())
     a_group, b_group = group[: len(a_end)], group[len(a_end) :]
-    a_text, b_text = np.array(a_ids).astype(str), np.array(b_ids).astype(str)
+    a_arr, b_arr = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
     a_cuts = np.flatnonzero(np.diff(a_group)) + 1
     b_cuts = np.flatnonzero(np.diff(b_group)) + 1
     groups = ";".join(
-        f"{','.join(x)}|{','.join(y)}" for x, y in zip(np.split(a_text, a_cuts), np.split(b_text, b_cuts), strict=True)
+        f"{','.join(x)}|{','.join(y)}"
+        for x, y in zip(np.split(a_arr.astype(str), a_cuts), np.split(b_arr.astype(str), b_cuts), strict=True)
     )
     pieces = np.union1d(a_end, b_end)
-    at_a = np.searchsorted(a_end, pieces, "left")
-    at_b = np.searchsorted(b_end, pieces, "left")
-    links = Counter(zip(np.array(a_ids)[at_a].tolist(), np.array(b_ids)[at_b].tolist(), strict=True))
-    return len(a_ids), len(b_ids), n_groups, groups, links
+    keys = (a_arr[np.searchsorted(a_end, pieces, "left")] << 32) | b_arr[np.searchsorted(b_end, pieces, "left")]
+    pairs, counts = np.unique(keys, return_counts=True)
+    links = ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32))
+    return len(a_ids), len(b_ids), n_groups, groups, *links
+
+
+def _parts(texts: list[str]) -> Iterator[slice]:
+    """Consecutive slices of ``texts`` of about ``CHARS_AT_ONCE`` characters, one text at least."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= CHARS_AT_ONCE:
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
 
 
 def _work(a_path: str, b_path: str) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
@@ -124,16 +144,27 @@ def _work(a_path: str, b_path: str) -> Callable[[], Callable[[pa.RecordBatch], p
 
         def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = strings(batch.column("text"))
-            a_all, b_all = enc.ids(texts)
-            out = {"n_a": [], "n_b": [], "n_groups": [], "groups": [], "links": []}
-            for text, a_ids, b_ids in zip(texts, a_all, b_all, strict=True):
-                n_a, n_b, n_groups, groups, links = align(text, enc, a_ids, b_ids)
-                out["n_a"].append(n_a)
-                out["n_b"].append(n_b)
-                out["n_groups"].append(n_groups)
-                out["groups"].append(groups)
-                out["links"].append([{"a": a, "b": b, "n": n} for (a, b), n in links.items()])
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **out}, schema=_SCHEMA)
+            counts, groups, firsts, seconds, times, sizes = [], [], [], [], [], []
+            for part in _parts(texts):
+                a_all, b_all = enc.ids(texts[part])
+                for text, a_ids, b_ids in zip(texts[part], a_all, b_all, strict=True):
+                    n_a, n_b, n_groups, group, a, b, n = align(text, enc, a_ids, b_ids)
+                    counts.append((n_a, n_b, n_groups))
+                    groups.append(group)
+                    firsts.append(a)
+                    seconds.append(b)
+                    times.append(n)
+                    sizes.append(len(n))
+            counted = np.array(counts, np.int64).reshape(-1, 3)
+            offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+            links = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([*firsts, _NO_LINKS[0]])), pa.array(np.concatenate([*seconds, _NO_LINKS[0]])),
+                 pa.array(np.concatenate([*times, _NO_LINKS[0]]))],
+                names=["a", "b", "n"],
+            )
+            columns = [batch.column("doc_id"), *(pa.array(counted[:, k]) for k in range(3)), pa.array(groups, pa.string())]
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), links))
+            return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
         return of_batch
 

@@ -202,7 +202,9 @@ ALIGN_TEXTS = [
 def test_align_matches_all_overlapping_pairs(encoders):
     for text in ALIGN_TEXTS:
         a_ids, b_ids = (x[0] for x in encoders.ids([text or ""]))
-        assert token_alignment.align(text or "", encoders, a_ids, b_ids) == plain_alignment(encoders, text)
+        n_a, n_b, n_groups, groups, a, b, n = token_alignment.align(text or "", encoders, a_ids, b_ids)
+        links = Counter({(x, y): c for x, y, c in zip(a.tolist(), b.tolist(), n.tolist(), strict=True)})
+        assert (n_a, n_b, n_groups, groups, links) == plain_alignment(encoders, text)
 
 
 def test_alignment_sums_match_plain_counts(documents, encoders):
@@ -225,6 +227,7 @@ def test_alignment_sums_match_plain_counts(documents, encoders):
 
 def test_alignment_through_the_join(documents, monkeypatch):
     monkeypatch.setattr(token_alignment, "MOST_PAIRS", 0)
+    monkeypatch.setattr(token_alignment, "CHARS_AT_ONCE", 5)
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     via_join = sorted(tuple(r) for r in token_alignment.alignment(documents(ALIGN_TEXTS), a, b).collect())
     monkeypatch.setattr(token_alignment, "MOST_PAIRS", 10**9)
@@ -245,3 +248,12 @@ def test_exact_duplicates_with_a_hot_group(documents, spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted((tuple(r) for r in got), key=repr) == plain_exact(list(enumerate(texts)))
+
+
+def test_texts_are_encoded_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(token_alignment, "CHARS_AT_ONCE", 5)
+    texts = ["abc", "de", "", "fghijkl", "m", "n"]
+    parts = list(token_alignment._parts(texts))
+    assert [i for part in parts for i in range(len(texts))[part]] == list(range(len(texts)))
+    assert all(sum(map(len, texts[part][:-1])) < 5 for part in parts)
+    assert list(token_alignment._parts([])) == []
