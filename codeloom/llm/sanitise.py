@@ -17,6 +17,7 @@ often; an empty table gives an empty one; further columns are kept by ``sanitise
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -112,6 +113,15 @@ def _outside(terms: Iterator[re.Match], spans: list[Span]) -> Iterator[re.Match]
 def nearby(text: str, spans: list[Span]) -> set[tuple[str, str]]:
     """(term, entity) for the terms up to ``REACH`` words before and after each identifier."""
     pairs = set()
+    # Spans sorted once by start: those that reach into a window are found by bisection, reaching back by the
+    # longest span, so a text with many identifiers costs a logarithm for each window, not a pass over all spans.
+    ordered = sorted(spans, key=lambda span: span[1])
+    starts = [span[1] for span in ordered]
+    longest = max((span[2] - span[1] for span in spans), default=0)
+
+    def touching(low: int, high: int) -> list[Span]:
+        return [s for s in ordered[bisect_left(starts, low - longest) : bisect_left(starts, high)] if s[2] > low]
+
     for kind, begin, end in spans:
         entity = entity_of(kind, text[begin:end])
         # Words can be long; terms are looked for in a window that grows until it has enough.
@@ -119,7 +129,7 @@ def nearby(text: str, spans: list[Span]) -> set[tuple[str, str]]:
             size = 200
             while True:
                 low, high = (max(left, right - size), right) if side < 0 else (left, min(right, left + size))
-                others = [s for s in spans if s[2] > low and s[1] < high]
+                others = touching(low, high)
                 found = [m.group().lower() for m in _outside(_TERM.finditer(text, low, high), others)]
                 if side < 0 and low > left:
                     found = found[1:]  # the first may be cut

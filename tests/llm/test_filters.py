@@ -233,3 +233,17 @@ def test_turns_bear_long_blank_texts_and_the_largest_turn(conversations, spark):
     rows = chat_turns.chat_turns(conversations.unionByName(extra)).collect()
     assert {r.turn for r in rows if r.conv_id == 90} == {last - 1, last}
     assert any(r.conv_id == 91 for r in rows)
+
+
+def test_many_identifiers_in_one_text_cost_linear_time():
+    import time
+
+    text = " ".join(f"mail to person{i}@example.org about Kim" for i in range(20_000))
+    spans = sanitise.base_spans(text)
+    begun = time.perf_counter()
+    pairs = sanitise.nearby(text, spans)
+    assert time.perf_counter() - begun < 10
+    small = " ".join(f"mail to person{i}@example.org about Kim +1 555 010 {i:04d}" for i in range(30))
+    found = sanitise.base_spans(small)
+    assert sanitise.nearby(small, found[::-1]) == sanitise.nearby(small, found)  # the order of spans does not matter
+    assert len(spans) == 20_000 and len(pairs) >= 20_000
