@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators import encode, incremental, reports, requests, search, store
+from codeloom.operators import clustered, encode, incremental, reports, requests, search, store
 from codeloom.operators.extract import chunks, rejects
 from codeloom.operators.lines import by_path, line_facts, line_model
 from codeloom.operators.patterns import of_language
@@ -357,6 +357,11 @@ def knn_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "id", "distance", F.round("similarity", 6).alias("similarity"))
 
 
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector asks for 50 neighbours in a clustered index (k-means cells, probed cells only)."""
+    return clustered.clustered_nearest(vectors(spark, sf_dir), probes(spark, sf_dir), 50)
+
+
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.approximately_nearest(vectors(spark, sf_dir), probes(spark, sf_dir), 50)
 
@@ -422,6 +427,7 @@ QUERIES: dict[str, Query] = {
     "knn_threshold": knn_threshold,
     "knn_wide": knn_wide,
     "knn_lsh": knn_lsh,
+    "knn_ivf": knn_ivf,
     "encode_text": encode_text,
     "search_text": search_text,
     "search_chunks": search_chunks,
