@@ -1,8 +1,8 @@
 """Directory trees as FILE rows, names starting with ``_`` or ``.`` included.
 
-Spark's own file sources skip such names, and ``__init__.py`` is one of them. A small
-data source lists the tree; the listed paths are then spread evenly before any content is
-read, so a subtree with a large share of the files costs one task its listing only.
+Spark's own file sources skip such names, and ``__init__.py`` is one of them. The tree is
+listed by Spark stages, one for each level; the listed paths are then spread evenly before
+any content is read, so a subtree with a large share of the files costs one task its listing only.
 Skipped directories are never entered, other extensions are never opened, and a failing
 listing or read fails the query.
 """
@@ -11,95 +11,54 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
 
 from codeloom.functions.text import SKIPPED_DIRECTORIES
 from codeloom.schemas import FILE
-from codeloom.session import placed_by
+from codeloom.session import placed_by, shared_folder
 
-#: Subtrees to look for before they are shared out, and the most partitions of a listing.
-_ROOTS_WANTED = 256
-#: Files met on the way down that a partition takes at least.
-_FILES_EACH = 1000
 _BYTES_PER_BATCH = 32 << 20
 
 
-class Subtrees(InputPartition):
-    """Directories to walk and single files."""
-
-    def __init__(self, directories: list[str], files: list[str]) -> None:
-        self.directories, self.files = directories, files
-
-
 def _extension(name: str) -> str:
     dot = name.rfind(".")
     return name[dot:] if dot >= 0 else ""
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.root = options["path"]
-        self.extensions = set(options.get("extensions", ".py").split(","))
-        self.skipped = set(options.get("skipped", ",".join(SKIPPED_DIRECTORIES)).split(","))
-
-    def _list(self, directory: str) -> tuple[list[str], list[str]]:
-        """Subdirectories to enter and files to take, in lexical order, links not followed."""
-        below, files = [], []
-        with os.scandir(directory) as entries:
-            for entry in sorted(entries, key=lambda e: e.name):
-                if entry.is_dir(follow_symlinks=False):
-                    if entry.name not in self.skipped:
-                        below.append(entry.path)
-                elif _extension(entry.name) in self.extensions:
-                    files.append(entry.path)
-        return below, files
-
-    def partitions(self) -> list[InputPartition]:
-        name = os.path.basename(self.root.rstrip("/"))
-        if not os.path.isdir(self.root):
-            os.stat(self.root)  # fails for a missing root
-            return [Subtrees([], [self.root] if _extension(name) in self.extensions else [])]
-        if name in self.skipped:
-            return [Subtrees([], [])]
-        level, met = [self.root], []
-        # Go down level by level until there are enough subtrees to share out.
-        while level and len(level) < _ROOTS_WANTED:
-            deeper: list[str] = []
-            for directory in level:
-                below, files = self._list(directory)
-                deeper += below
-                met += files
-            level = deeper
-        n = min(_ROOTS_WANTED, max(1, len(level), len(met) // _FILES_EACH))
-        return [Subtrees(level[i::n], met[i::n]) for i in range(n)]
-
-    def read(self, partition: Subtrees) -> Iterator[tuple[str, int]]:
-        for path in partition.files:
-            yield path, os.path.getsize(path)
-        pending = list(reversed(partition.directories))
-        while pending:
-            below, files = self._list(pending.pop())
-            for path in files:
-                yield path, os.path.getsize(path)
-            pending += reversed(below)
-
-
-class TreeSource(DataSource):
-    """``spark.read.format("source_tree").option("extensions", ".py").load(root)``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return "path string, length bigint"
-
-    def reader(self, schema: StructType) -> TreeReader:
-        return TreeReader(dict(self.options))
+def _lister(extensions: set[str], skipped: set[str]):
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For every path of the frontier: its subdirectories to enter and its files to take; links not followed."""
+        for frame in frames:
+            kinds, paths, lengths = [], [], []
+            for path in frame["path"]:
+                if not os.path.isdir(path):
+                    os.stat(path)  # a missing path fails the query
+                    if _extension(os.path.basename(path)) in extensions:
+                        kinds.append("file"), paths.append(path), lengths.append(os.path.getsize(path))
+                    continue
+                with os.scandir(path) as entries:
+                    for entry in entries:
+                        if entry.is_dir(follow_symlinks=False):
+                            if entry.name not in skipped:
+                                kinds.append("dir"), paths.append(entry.path), lengths.append(None)
+                        elif _extension(entry.name) in extensions:
+                            kinds.append("file"), paths.append(entry.path), lengths.append(os.path.getsize(entry.path))
+            yield pd.DataFrame({"kind": kinds, "path": paths, "length": pd.array(lengths, "Int64")})
+
+    return listed
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """``rows`` written once below the shared folder, lineage cut."""
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()
 
 
 def tree_listing(
@@ -110,11 +69,22 @@ def tree_listing(
 ) -> DataFrame:
     """``(path, length)`` of the files below ``root``, without opening them.
 
-    On a cluster the tree lies on a file system that driver and executors mount.
+    The tree is walked level by level: the frontier of directories is a table, each level is listed by the tasks
+    (the directories spread over the shuffle partitions) and written below the shared folder, and the next frontier is
+    the directories it found. The driver lists nothing; it only asks whether a frontier is empty. A directory with
+    very many entries is one task's listing. On a cluster the tree lies on a file system that the executors mount.
     """
-    spark.dataSource.register(TreeSource)
-    reader = spark.read.format("source_tree").option("extensions", ",".join(extensions))
-    return reader.option("skipped", ",".join(skipped)).load(root)
+    wanted, skip = set(extensions), set(skipped)
+    found = []
+    frontier = spark.createDataFrame([(root,)], "path string")
+    if os.path.basename(root.rstrip("/")) in skip:
+        frontier = frontier.where("false")
+    while True:
+        level = _written(placed_by(frontier, "path").mapInPandas(_lister(wanted, skip), "kind string, path string, length bigint"))
+        found.append(level.where(F.col("kind") == "file").select("path", "length"))
+        frontier = level.where(F.col("kind") == "dir").select("path")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as X
 from codeloom.operators import incremental, reports, store
 from codeloom.operators.apply import for_each_file
-from codeloom.sources.tree import TreeReader, source_tree, tree_listing
+from codeloom.sources.tree import source_tree, tree_listing
 
 TREE = """a.py pkg/__init__.py pkg/_p.py pkg/b.txt pkg/c.PY venv/v.py .git/g.py node_modules/n.py
 pkg/__pycache__/c.py venv2/w.py x/venv .hidden/h.py x/deep/er/y.py x/noext""".split()
@@ -90,14 +90,15 @@ def test_user_function_over_files(spark, tree):
     assert len(rows) == len(FOUND) and all(r["size"] > 3 for r in rows)
 
 
-def test_a_wide_tree_is_listed_in_a_bounded_number_of_partitions(tmp_path):
+def test_a_wide_and_deep_tree_is_listed_by_levels(spark, tmp_path):
     for i in range(20):
         for j in range(20):
             (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
             (tmp_path / f"d{i}" / f"e{j}" / "m.py").write_text("x = 1")
         (tmp_path / f"d{i}" / "n.py").write_text("y = 1")
-    reader = TreeReader({"path": str(tmp_path)})
-    parts = reader.partitions()
-    assert len(parts) == 256
-    found = [path for part in parts for path, _ in reader.read(part)]
+    deep = tmp_path.joinpath(*[f"l{k}" for k in range(30)])
+    deep.mkdir(parents=True)
+    (deep / "z.py").write_text("z = 1")
+    found = [r.path for r in tree_listing(spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted(str(path) for path in tmp_path.rglob("*.py"))
+    assert tree_listing(spark, str(deep / "z.py")).collect()[0].length == 5
