@@ -111,14 +111,20 @@ def align(text: str, enc: Encoders, a_ids: list[int], b_ids: list[int]) -> tuple
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(opens) - 1
     n_groups = int(opens.sum())
-    a_group, b_group = group[: len(a_end)], group[len(a_end) :]
     a_arr, b_arr = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-    a_cuts = np.flatnonzero(np.diff(a_group)) + 1
-    b_cuts = np.flatnonzero(np.diff(b_group)) + 1
-    groups = ";".join(
-        f"{','.join(x)}|{','.join(y)}"
-        for x, y in zip(np.split(a_arr.astype(str), a_cuts), np.split(b_arr.astype(str), b_cuts), strict=True)
-    )
+    # The group string in one pass: tokens in (group, side, place) order, each followed by its separator.
+    sides = side.astype(np.int64)
+    placed = np.lexsort((np.arange(len(order)), sides, group))
+    here_group, here_side = group[placed], sides[placed]
+    same_group = np.append(here_group[1:] == here_group[:-1], False)
+    same_side = np.append(here_side[1:] == here_side[:-1], False)
+    separators = np.where(same_group, np.where(same_side, ",", "|"), ";")
+    separators[-1] = ""
+    names = [*map(str, a_ids), *map(str, b_ids)]
+    joined: list[str] = [""] * (2 * len(placed))
+    joined[0::2] = [names[i] for i in placed.tolist()]
+    joined[1::2] = separators.tolist()
+    groups = "".join(joined)
     pieces = np.union1d(a_end, b_end)
     keys = (a_arr[np.searchsorted(a_end, pieces, "left")] << 32) | b_arr[np.searchsorted(b_end, pieces, "left")]
     pairs, counts = np.unique(keys, return_counts=True)
