@@ -49,7 +49,8 @@ def windows(words: list[bytes], size: int = WINDOW_WORDS) -> Iterator[bytes]:
 
 
 def item_shards(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in lists of bounded size. The driver holds one at a time."""
+    """The items in lists of bounded size, read as a stream; ``contamination`` keeps all of them on the driver while it
+    plans one scan for each (the benchmark is a query set: its size, not the corpus's, decides the driver's share)."""
     shard, size = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         if not text:

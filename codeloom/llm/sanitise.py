@@ -164,7 +164,8 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def term_blocks(terms: DataFrame) -> Iterator[frozenset[str]]:
-    """The terms in sets of bounded size; the driver holds one at a time."""
+    """The terms in sets of bounded size, read as a stream; the caller keeps every set it has taken, so the driver
+    holds all disclosing terms while it plans (they are a vocabulary, bounded by the distinct terms, not by rows)."""
     block: list[str] = []
     for (term,) in terms.toLocalIterator():
         block.append(term)
