@@ -28,13 +28,6 @@ FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("conte
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("sha256", T.StringType())])
 
-SPARSE_VECTOR = T.StructType(
-    [
-        T.StructField("buckets", T.ArrayType(T.IntegerType())),
-        T.StructField("weights", T.ArrayType(T.DoubleType())),
-    ]
-)
-
 ACK = T.StructType(
     [
         T.StructField("id", T.StringType()),
