@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import re
 
-from codeloom.llm.quality_rules import LEAST_ROWS, LEAST_WORDS, MEASURES, MOST_REPEATED_PERCENT, REACH
-from codeloom.llm.url_filter import BLOCKED_GLOBS, LOWER, SITE_RULES, UPPER
+from codeloom.llm.quality_rules import LEAST_ROWS, MEASURES, REACH
+from codeloom.llm.url_filter import BLOCKED_GLOBS
+
+# Fixed values that the contracts state, written out here and not taken from the code under test:
+# A-Z only is lower-cased; the base rule of op4; the site rules of op5 as (verdict, host, path).
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
+SITE_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
 
 
 def _lowered(text: str) -> str:
@@ -86,9 +98,9 @@ def _urls() -> str:
     def fits(host: str, path: str) -> str:
         return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
 
-    rules = sorted(SITE_RULES, key=lambda rule: -len(rule.name))
-    names = " ".join(f"WHEN {fits(r.host, r.path)} THEN '{r.name}'" for r in rules)
-    verdicts = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in rules)
+    rules = sorted(SITE_RULES, key=lambda rule: -len(rule[1] + rule[2]))
+    names = " ".join(f"WHEN {fits(host, path)} THEN '{host}{path}'" for _, host, path in rules)
+    verdicts = " ".join(f"WHEN rule = '{host}{path}' THEN '{verdict}'" for verdict, host, path in rules)
     parts = {"**": "(.|\\n)*", "*": "[^/]*", "?": "[^/]"}
     globs = "|".join("".join(parts.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*|\?)", glob)) for glob in BLOCKED_GLOBS)
     return f"""
