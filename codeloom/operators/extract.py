@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import chunk_id, detect_language
 from codeloom.operators import extract_brace, extract_python
 from codeloom.operators.lines import by_path
-from codeloom.operators.patterns import PATTERNS, Pattern, in_mode
+from codeloom.operators.patterns import PATTERNS, Pattern, compiling, in_mode
 
 CHUNK_COLUMNS = [
     "id", "content", "file_path", "function_name", "class_name", "start_line", "end_line", "language", "chunk_type",
@@ -73,7 +73,7 @@ def chunks(
     Indented and braced languages are separate branches over disjoint files. In each one
     whole files are shuffled once; the span side and the content side share that exchange.
     """
-    active = in_mode(patterns, mode, arrows)
+    active = compiling(files.sparkSession, in_mode(patterns, mode, arrows))
     families = [
         [p for p in active if p.language == "python"],
         [p for p in active if p.language in extract_brace.LANGUAGES],

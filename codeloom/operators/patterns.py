@@ -18,6 +18,7 @@ tuple.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -109,6 +110,22 @@ def in_mode(patterns: Sequence[Pattern], mode: str, arrows: bool = False) -> tup
     return tuple(p for p in patterns if p.mode in wanted)
 
 
+def compiling(spark: SparkSession, patterns: Sequence[Pattern]) -> tuple[Pattern, ...]:
+    """The patterns whose expressions the JVM compiles; any other is reported as a warning and skipped.
+
+    A failing pattern of one's own then costs its own chunks only, not the whole job.
+    """
+    kept = []
+    for p in patterns:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(rf"^(\s*{p.lead}){p.head}")
+        except Exception as error:  # noqa: BLE001 - the JVM's syntax error, reported and skipped
+            warnings.warn(f"pattern skipped ({p.language}, {p.chunk_type}): {str(error).splitlines()[0]}", stacklevel=2)
+            continue
+        kept.append(p)
+    return tuple(kept)
+
+
 def of_language(language: str, patterns: Sequence[Pattern] = PATTERNS) -> tuple[Pattern, ...]:
     """The rows of one language: files of the others are then not even shuffled."""
     return tuple(p for p in patterns if p.language == language)

@@ -358,3 +358,10 @@ def test_no_nesting_limit(spark, levels):
     assert names_of(spark, "a.js", js) == {("a", 1, 1), ("b", 1, 1), ("c", 2, 2)}
     go = f"package p\nvar (\n\tv = {calls}\n\tu = 3\n)\n"
     assert {n for n, _, _ in names_of(spark, "a.go", go)} == {"v", "u"}
+
+
+def test_a_failing_pattern_is_reported_and_skipped(spark):
+    broken = Pattern("python", "broken", "", r"def\s+(unclosed", "statement", "effective", True, "def")
+    with pytest.warns(UserWarning, match="pattern skipped"):
+        rows = chunks(files(spark, [("h.py", "def f():\n    return 1\n")]), patterns=PATTERNS + (broken,)).collect()
+    assert [(r.function_name, r.chunk_type) for r in rows] == [("f", "functions")]
