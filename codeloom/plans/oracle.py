@@ -352,6 +352,15 @@ SELECT status, count(*) AS requests, sum(CASE WHEN indexed_count > 0 THEN indexe
     "run_report": f"""WITH {_REQUESTS}
 SELECT (SELECT count(*) FROM (SELECT DISTINCT conv_id, blk // {Q.REQUESTS_PER_SESSION} FROM blocks)) AS files_found,
        (SELECT count(*) FROM answers WHERE status = 'success') AS files_ok""",
+    "stream_changes": """
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations),
+e AS (SELECT 3 AS sent, conv_id, turn, role,
+             CASE WHEN role = 'assistant' THEN 'again: ' || coalesce(text, '') ELSE text END AS text FROM c),
+a AS (SELECT 1 AS sent, * FROM c
+      UNION ALL
+      SELECT * FROM e WHERE EXISTS (SELECT 1 FROM c WHERE c.role = 'assistant'
+                                    AND c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.turn IS NOT DISTINCT FROM e.turn))
+SELECT DISTINCT sent, conv_id, turn, role, text, sha256(coalesce(role, '') || chr(1) || coalesce(text, '')) AS digest FROM a""",
     "stream_index": """
 SELECT 'c' || conv_id || '_' || turn AS id, md5(CASE WHEN role = 'assistant' THEN 'again: ' || text ELSE text END) AS document_md5, role
 FROM conversations""",

@@ -17,7 +17,7 @@ from codeloom.plans.corpus import modules
 from codeloom.plans.index import ask, index_files, question
 from codeloom.session import shared_folder
 from codeloom.sources.requests import stream_requests
-from codeloom.streaming import index_stream
+from codeloom.streaming import changes, index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,6 +211,32 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.run_report(request_sessions(spark, sf_dir), session_acks(spark, sf_dir))
 
 
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sends of all conversation turns over one checkpoint: all, the same again, assistants' turns edited.
+
+    Keyed state by (conv_id, turn): the replay writes nothing, the edit writes the rows of the edited keys.
+    """
+    root = fresh_folder(spark, "changes")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    edited = turns.withColumn(
+        "text", F.when(F.col("role") == "assistant", F.concat(F.lit("again: "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    )
+    schema = turns.withColumn("sent", F.lit(0)).schema
+
+    for sent, rows in ((1, turns), (2, turns), (3, edited)):
+        rows.withColumn("sent", F.lit(sent)).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        found = changes.changed(stream, ["conv_id", "turn"], changes.row_digest("role", "text"))
+        query = (
+            found.writeStream.format("parquet")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{root}/out")
+        )
+        query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("sent", "conv_id", "turn", "role", "text", "digest")
+
+
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the stream over one checkpoint; the second replaces what assistants said."""
     root = fresh_folder(spark, "stream")
@@ -428,6 +454,7 @@ QUERIES: dict[str, Query] = {
     "knn_wide": knn_wide,
     "knn_lsh": knn_lsh,
     "knn_ivf": knn_ivf,
+    "stream_changes": stream_changes,
     "encode_text": encode_text,
     "search_text": search_text,
     "search_chunks": search_chunks,
