@@ -70,19 +70,24 @@ def _inline(code: Column, pattern: Pattern) -> Column:
     def describe(token: Column, at: Column) -> Column:
         rest = code.substr(at + F.length(token) + 1, F.length(code))
         # Brackets opened in front of the token are not in ``rest``, so what closes them stays unbalanced.
-        body = F.regexp_extract(lexis.flattened(rest), r"^[^()\[\]{};]*+;?", 0)
-        whole = F.length(body) == F.length(rest)
-        ends = ~whole | body.endswith(";")
-        return F.struct(
-            F.lit(pattern.chunk_type).alias("chunk_type"),
-            F.lit("names").alias("style"),
-            F.lit("").alias("name"),
-            (at + 1).alias("col"),
-            # A bracket that stays open in this line is no end; one that is closed but not opened is.
-            F.when(ends & ~rest.substr(F.length(body) + 1, F.lit(1)).isin(*"([{"), at + F.length(token) + F.length(F.rtrim(body)))
-            .cast("int")
-            .alias("own_end"),
-        )
+        found = F.regexp_extract(lexis.flattened(rest), r"^[^()\[\]{};]*+;?", 0)
+
+        def described(body: Column) -> Column:
+            whole = F.length(body) == F.length(rest)
+            ends = ~whole | body.endswith(";")
+            return F.struct(
+                F.lit(pattern.chunk_type).alias("chunk_type"),
+                F.lit("names").alias("style"),
+                F.lit("").alias("name"),
+                (at + 1).alias("col"),
+                # A bracket that stays open in this line is no end; one that is closed but not opened is.
+                F.when(ends & ~rest.substr(F.length(body) + 1, F.lit(1)).isin(*"([{"), at + F.length(token) + F.length(F.rtrim(body)))
+                .cast("int")
+                .alias("own_end"),
+            )
+
+        # The body is worked out once: inside a lambda Spark would evaluate each use anew.
+        return F.transform(F.array(found), described)[0]
 
     rows = _places(code, pattern.head, describe)
     found = code.contains(pattern.hint) & code.rlike(pattern.head) if pattern.hint else code.rlike(pattern.head)
@@ -134,16 +139,20 @@ def _arrows(code: Column) -> Column:
     def describe(token: Column, at: Column) -> Column:
         # An expression body ends in front of the comma or bracket that follows it.
         rest = F.ltrim(code.substr(at + F.length(token) + 1, F.length(code)))
-        body = F.rtrim(F.regexp_extract(lexis.flattened(rest), r"^[^()\[\]{},;]*+", 0))
-        one_line = ~rest.startswith("{") & (body != "") & ~body.rlike(_CONTINUES)
+        found = F.rtrim(F.regexp_extract(lexis.flattened(rest), r"^[^()\[\]{},;]*+", 0))
         blank = F.length(code) - at - F.length(token) - F.length(rest)
-        return F.struct(
-            F.lit("functions").alias("chunk_type"),
-            F.when(rest.startswith("{"), "block").otherwise("statement").alias("style"),
-            F.lit("").alias("name"),
-            (at + 1).alias("col"),
-            F.when(one_line, at + F.length(token) + blank + F.length(body)).otherwise(nothing).alias("own_end"),
-        )
+
+        def described(body: Column) -> Column:
+            one_line = ~rest.startswith("{") & (body != "") & ~body.rlike(_CONTINUES)
+            return F.struct(
+                F.lit("functions").alias("chunk_type"),
+                F.when(rest.startswith("{"), "block").otherwise("statement").alias("style"),
+                F.lit("").alias("name"),
+                (at + 1).alias("col"),
+                F.when(one_line, at + F.length(token) + blank + F.length(body)).otherwise(nothing).alias("own_end"),
+            )
+
+        return F.transform(F.array(found), described)[0]
 
     rows = _places(code, _ARROW, describe)
     return F.when(code.contains("=>"), rows).otherwise(F.slice(rows, 1, 0))
