@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from functools import cache
 
 import numpy as np
@@ -76,6 +77,8 @@ class Encoders:
             piece = self.b.id_to_piece(i)
             byte = _BYTE.fullmatch(piece) if self.b.is_byte(i) else None
             self.b_bytes.append(bytes([int(byte.group(1), 16)]) if byte else piece.replace("▁", " ").encode())
+        self.a_lengths = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
+        self.b_lengths = np.fromiter(map(len, self.b_bytes), np.int64, len(self.b_bytes))
 
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -83,9 +86,11 @@ class Encoders:
         return a, b
 
 
-def _ends(ids: list[int], table: list[bytes]) -> tuple[np.ndarray, bytes]:
-    parts = [table[i] for i in ids]
-    return np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), b"".join(parts)
+def _ends(ids: list[int], table: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, bytes]:
+    if not ids:
+        return np.zeros(0, np.int64), b""
+    parts = itemgetter(*ids)(table)
+    return np.cumsum(lengths[np.asarray(ids, np.int64)]), parts if len(ids) == 1 else b"".join(parts)
 
 
 _NO_LINKS = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))
@@ -95,8 +100,8 @@ def align(text: str, enc: Encoders, a_ids: list[int], b_ids: list[int]) -> tuple
     """n_a, n_b, n_groups, the group string and the linked id pairs (a, b, occurrences as arrays), for one text."""
     if not text:
         return 0, 0, 0, "", *_NO_LINKS
-    a_end, a_joined = _ends(a_ids, enc.a_bytes)
-    b_end, b_joined = _ends(b_ids, enc.b_bytes)
+    a_end, a_joined = _ends(a_ids, enc.a_bytes, enc.a_lengths)
+    b_end, b_joined = _ends(b_ids, enc.b_bytes, enc.b_lengths)
     whole = (" " + text).encode("utf-8", "surrogatepass")
     if a_joined != whole or b_joined != whole:
         return 0, 0, 0, "", *_NO_LINKS
@@ -120,14 +125,17 @@ def align(text: str, enc: Encoders, a_ids: list[int], b_ids: list[int]) -> tuple
     same_side = np.append(here_side[1:] == here_side[:-1], False)
     separators = np.where(same_group, np.where(same_side, ",", "|"), ";")
     separators[-1] = ""
-    names = [*map(str, a_ids), *map(str, b_ids)]
     joined: list[str] = [""] * (2 * len(placed))
-    joined[0::2] = [names[i] for i in placed.tolist()]
+    joined[0::2] = map(str, np.concatenate((a_arr, b_arr))[placed].tolist())
     joined[1::2] = separators.tolist()
     groups = "".join(joined)
-    pieces = np.union1d(a_end, b_end)
+    pieces = np.concatenate((a_end, b_end))
+    pieces.sort(kind="stable")
+    pieces = pieces[np.concatenate(([True], pieces[1:] != pieces[:-1]))]
     keys = (a_arr[np.searchsorted(a_end, pieces, "left")] << 32) | b_arr[np.searchsorted(b_end, pieces, "left")]
-    pairs, counts = np.unique(keys, return_counts=True)
+    keys.sort()
+    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    pairs, counts = keys[firsts], np.diff(np.append(firsts, len(keys)))
     links = ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32))
     return len(a_ids), len(b_ids), n_groups, groups, *links
 
