@@ -25,3 +25,17 @@ def test_replays_write_nothing_and_edits_their_keys(spark, tmp_path):
     edited = [(1, "user", "hi!"), *rows[1:]]
     assert run(spark, tmp_path, edited, 3) == [(1, "user", "hi!")]
     assert run(spark, tmp_path, [(2, "user", "same")], 4) == [(2, "user", "same")]  # the key now holds less
+
+
+def test_keys_share_calls_to_the_state(spark, tmp_path, monkeypatch):
+    """Far fewer groups than keys; whole numbers beside a null stay exact, keys of one bucket stay apart."""
+    monkeypatch.setattr(changes, "BUCKETS", 2)
+    big = 2**53 + 1
+    rows = [(k, "user", f"text {k}") for k in (*range(40), big, None)]
+    stream = spark.readStream.schema("k long, role string, text string").parquet(str(tmp_path))
+    plan = changes.changed(stream, ["k"], changes.row_digest("role", "text"))._jdf.queryExecution().analyzed().toString()
+    assert "changes_bucket" in plan.partition("TransformWithState")[2].partition("\n")[0]
+    assert run(spark, tmp_path, rows, 1) == sorted(rows, key=repr)
+    assert run(spark, tmp_path, rows, 2) == []
+    edited = [(big, "user", "again"), *[r for r in rows if r[0] != big]]
+    assert run(spark, tmp_path, edited, 3) == [(big, "user", "again")]
