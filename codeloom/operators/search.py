@@ -35,7 +35,8 @@ QUERY_VALUES = 4_000_000
 #: Hits up to this number are sent to the scan of the documents; of more the join is left to Spark.
 BROADCAST_HITS = 100_000
 _SALTS = 64
-_CELLS = 4_000_000
+#: Cells (or numbers of their vectors) that a task works on at once: about 8 MB for each array of them.
+_CELLS = 1_000_000
 _SEED = 7
 
 
@@ -85,25 +86,32 @@ class _Dense:
         self.squares = (self.queries * self.queries).sum(axis=1)
         self.k, self.threshold = k, np.inf if threshold is None else threshold
 
-    def cells(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, query, distance) of the cells that matter."""
+    def cells(self, batch: pa.RecordBatch, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, query, distance) of the cells that matter: those that may lie within ``bound``, a distance per query.
+
+        The caller may lower ``bound`` between two steps.
+        """
         count, width = self.queries.shape
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        rows = flat.reshape(batch.num_rows, width)
-        step = max(1, _CELLS // count)
+        rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+        step = max(1, _CELLS // max(count, width))
         for start in range(0, len(rows), step):
-            part = rows[start : start + step]
+            part = rows[start : start + step].astype(np.float64)
             own = (part * part).sum(axis=1)
-            rough = own[:, None] + self.squares[None, :] - 2.0 * (part @ self.queries.T)
+            # Rounding of sums of ``width`` products, twice over; half a last digit for ties after rounding.
+            slack = 8.0 * (width + 2) * np.finfo(np.float64).eps * (own.max() + self.squares) + 10.0**-DIGITS
+            rough = self.queries @ part.T
+            rough *= -2.0
+            rough += self.squares[:, None]
+            rough += own[None, :]
             apart = self.apart(part)
             if apart is not None:
                 rough[apart] = np.inf
-            # Rounding of sums of ``width`` products, twice over; half a last digit for ties after rounding.
-            slack = 8.0 * (width + 2) * np.finfo(np.float64).eps * (own[:, None] + self.squares[None, :]) + 10.0**-DIGITS
-            limit = np.full(count, self.threshold)
-            if len(part) > self.k:
-                limit = np.minimum(limit, np.partition(rough + slack, self.k - 1, axis=0)[self.k - 1])
-            row, query = np.nonzero((rough - slack <= limit[None, :]) & (rough < np.inf))
+            limit = np.minimum(bound, self.threshold)
+            unbound = np.flatnonzero(np.isinf(limit))
+            if len(unbound) and len(part) > self.k:
+                limit[unbound] = np.partition(rough[unbound], self.k - 1, axis=1)[:, self.k - 1] + slack[unbound]
+            query, row = np.nonzero((rough <= (limit + slack)[:, None]) & (rough < np.inf))
+            del rough
             found = np.empty(len(row))
             pairs = max(1, _CELLS // width)
             for at in range(0, len(row), pairs):
@@ -127,7 +135,7 @@ class _Bucketed(_Dense):
 
     def apart(self, part: np.ndarray) -> np.ndarray:
         of_rows = np.floor(part @ self.lines.T)
-        return reduce(np.logical_and, (of_rows[:, t, None] != self.buckets[None, :, t] for t in range(len(self.lines))))
+        return reduce(np.logical_and, (self.buckets[:, t, None] != of_rows[None, :, t] for t in range(len(self.lines))))
 
 
 class _Sparse:
@@ -148,7 +156,7 @@ class _Sparse:
         self.count = len(block)
         self.sharing = threshold is not None and threshold <= 2.0
 
-    def cells(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def cells(self, batch: pa.RecordBatch, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         buckets_of, weights_of = batch.column(1), batch.column(2)
         ends = np.concatenate([[0], np.cumsum(np.asarray(buckets_of.value_lengths()))])
         found = buckets_of.flatten().to_numpy(zero_copy_only=False)
@@ -185,6 +193,17 @@ class _Sparse:
             start = stop
 
 
+def _within(
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, bound: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every query in all of ``found``; ``bound`` is lowered to the k-th distance of those that have k."""
+    query, distances, ids = _first_k(*(np.concatenate(parts) for parts in zip(*found, strict=True)), k)
+    lasts = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if len(query) else np.empty(0, np.int64)
+    full = lasts[np.diff(lasts, prepend=-1) == k]
+    bound[query[full]] = distances[full]
+    return query, distances, ids
+
+
 def _search_pass(
     shared: Broadcast, compared: Callable, k: int, threshold: float | None, output: pa.Schema
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -197,20 +216,26 @@ def _search_pass(
             for start in range(0, len(queries), QUERIES_PER_BLOCK)
         ]
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(blocks)
+        bounds = np.full(len(queries), np.inf)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_pandas().to_numpy()
-            for b, (_, block) in enumerate(blocks):
-                for row, query, found in block.cells(batch):
+            for b, (start, block) in enumerate(blocks):
+                bound = bounds[start : start + QUERIES_PER_BLOCK]
+                mine, waiting = [] if kept[b] is None else [kept[b]], 0
+                for row, query, found in block.cells(batch, bound):
                     found = np.round(np.maximum(found, 0.0), DIGITS)
                     if threshold is not None:
                         near = found < threshold
                         row, query, found = row[near], query[near], found[near]
-                    mine = (query, found, ids[row])
-                    if kept[b] is not None:
-                        mine = tuple(np.concatenate(pair) for pair in zip(kept[b], mine, strict=True))
-                    kept[b] = _first_k(*mine, k)
+                    mine.append((query, found, ids[row]))
+                    waiting += len(query)
+                    # What waits is at most as much as is kept, and one step.
+                    if waiting > k * len(bound):
+                        mine, waiting = [_within(mine, k, bound)], 0
+                if mine:
+                    kept[b] = mine[0] if len(mine) == 1 and not waiting else _within(mine, k, bound)
         names = pa.array(queries["query_id"].to_list(), output.field(0).type)
         for (start, _), best in zip(blocks, kept, strict=True):
             if best is not None and len(best[0]):
@@ -228,7 +253,8 @@ def _query_passes(queries: DataFrame) -> Iterator[pd.DataFrame]:
     taken: list[tuple] = []
     values = 0
     for row in queries.toLocalIterator(prefetchPartitions=True):
-        taken.append(tuple(row))
+        # Packed numbers: lists of them take four times the memory, in every task too.
+        taken.append((row[0], *(np.asarray(v) for v in row[1:])))
         values += len(row["v0"])
         if values >= QUERY_VALUES:
             yield pd.DataFrame(taken, columns=queries.columns)
