@@ -5,9 +5,10 @@ centroid and sends one partial sum per cell, so vectors never move for training;
 centroids (``cells`` x width numbers). Rows are stored with their cell. A query is compared with the rows of its
 ``probes`` nearest cells only, with exact distances, and the best k of all its cells are ranked as in ``nearest``.
 
-Skew: the rows of one cell are dealt into blocks of at most ``BLOCK_ROWS``, the queries that probe it into blocks of
-at most ``BLOCK_QUERIES``; every (row block, query block) of a cell is one group. A cell that holds a third of all
-rows, or that every query probes, is then many bounded groups.
+Skew: whole cells are packed into blocks of about ``BLOCK_ROWS`` rows, a larger cell is dealt into several blocks, the
+queries into blocks of about ``BLOCK_QUERIES``. Every (row block, query block) is one group, which keeps ``k`` rows for a query whatever
+number of its probed cells it holds; within it a query is compared with the rows of the cells it probes only. Groups are
+dealt to as many tasks as bound the rows of one.
 
 Defined results: a row or query without a vector takes no part; a query gets fewer than k rows only if its cells hold
 fewer; ties are ranked by id; distances are rounded to six digits before ranking. The start of training is a bounded,
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.search import DIGITS, top_per_query
+from codeloom.operators.search import DIGITS, _first_k, top_per_query
 
 ROUNDS = 8
 #: Share of the cells that a query probes. On the given embeddings a recall of 0.9 at k = 50 needs about 0.7 of the
@@ -34,6 +36,7 @@ ROUNDS = 8
 PROBE_SHARE = 0.75
 BLOCK_ROWS = 20_000
 BLOCK_QUERIES = 2_000
+_ASKED_AT_ONCE = 64
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -116,32 +119,58 @@ def assigned(vectors: DataFrame, centroids: np.ndarray, key: str, probes: int =
     return present.mapInArrow(cells, f"{key} {key_type}, embedding array<double>, cell int")
 
 
-def _compared(k: int):
+def _compared(k: int, probes: int, centroids: Broadcast):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         asks = group[group["role"] == "q"]
-        rows = group[group["role"] == "r"]
+        rows = group[group["role"] == "r"].sort_values("cell", kind="stable")
         if asks.empty or rows.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         points = np.stack(rows["embedding"].to_list())
         ids = rows["key"].to_numpy()
-        out = []
+        held, starts = np.unique(rows["cell"].to_numpy(), return_index=True)
+        stops = np.append(starts[1:], len(points))
         norms = (points * points).sum(1)
-        for at in range(0, len(asks), 256):
-            part = asks.iloc[at : at + 256]
+        out = []
+        for at in range(0, len(asks), _ASKED_AT_ONCE):
+            part = asks.iloc[at : at + _ASKED_AT_ONCE]
             q = np.stack(part["embedding"].to_list())
-            # The product form only preselects twice as many as are kept; what is ranked is computed exactly.
-            rough = norms[None, :] - 2 * q @ points.T
-            wide = min(2 * k, len(points))
-            chosen = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
-            exact = np.round(((q[:, None, :] - points[chosen]) ** 2).sum(axis=2), DIGITS)
-            order = np.lexsort((ids[chosen], exact), axis=1)[:, : min(k, len(points))]
-            best, distance = np.take_along_axis(chosen, order, 1), np.take_along_axis(exact, order, 1)
-            out.append(pd.DataFrame({"query_id": np.repeat(part["key"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "distance": distance.ravel()}))
+            near = _nearest_cells(q, centroids.value, probes)
+            probed = np.zeros((len(q), len(centroids.value)), bool)
+            np.put_along_axis(probed, near, True, axis=1)
+            squares = (q * q).sum(1)
+            rough = np.full((len(q), len(points)), np.inf)
+            for cell, start, stop in zip(held, starts, stops, strict=True):
+                who = np.flatnonzero(probed[:, cell])
+                rough[who, start:stop] = squares[who, None] + norms[None, start:stop] - 2 * q[who] @ points[start:stop].T
+            # The product form only preselects, within its rounding error; what is ranked is computed exactly.
+            slack = 8.0 * (q.shape[1] + 2) * np.finfo(np.float64).eps * (norms.max() + squares) + 10.0**-DIGITS
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(points) > k else np.full(len(q), np.inf)
+            asked, row = np.nonzero((rough <= (limit + 2 * slack)[:, None]) & (rough < np.inf))
+            exact = np.empty(len(row))
+            for i in range(0, len(row), BLOCK_ROWS):
+                exact[i : i + BLOCK_ROWS] = ((q[asked[i : i + BLOCK_ROWS]] - points[row[i : i + BLOCK_ROWS]]) ** 2).sum(axis=1)
+            best, distance, found = _first_k(asked, np.round(exact, DIGITS), ids[row], k)
+            out.append(pd.DataFrame({"query_id": part["key"].to_numpy()[best], "id": found, "distance": distance}))
         return pd.concat(out, ignore_index=True)
 
     return compare
 
 
+def _row_blocks(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(cell, first block, number of blocks) of cells with their sizes: small cells share a block, large ones have several."""
+    placed, block, held = [], 0, 0
+    for cell, size in sorted(sizes):
+        if held and held + size > BLOCK_ROWS:
+            block, held = block + 1, 0
+        parts = max(1, math.ceil(size / BLOCK_ROWS))
+        placed.append((cell, block, parts))
+        if parts > 1:
+            block, held = block + parts, 0
+        else:
+            held += size
+    return placed
+
+
 def clustered_nearest(
     corpus: DataFrame, queries: DataFrame, k: int = 50, cells: int | None = None, probes: int | None = None
 ) -> DataFrame:
@@ -155,34 +184,39 @@ def clustered_nearest(
     if not len(centroids):
         return corpus.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance double")
     probes = min(len(centroids), probes or max(1, math.ceil(PROBE_SHARE * len(centroids))))
+    spark = corpus.sparkSession
     rows = assigned(corpus, centroids, "id")
-    asked = assigned(queries, centroids, "query_id", probes)
-    sizes = (
-        rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("row_blocks"))
-        .join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("ask_blocks")), "cell")
-    )
-    # One row for each cell: at most ``cells`` rows are sent to the tasks.
-    sizes = F.broadcast(sizes)
-    placed_rows = rows.join(sizes, "cell").select(
-        "cell",
-        F.pmod(F.xxhash64("id"), F.col("row_blocks")).alias("row_block"),
-        F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask_block"),
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>"))
+    # One row for each cell: at most ``cells`` of them.
+    blocks = _row_blocks([tuple(r) for r in rows.groupBy("cell").count().collect()])
+    row_blocks = max(first + parts for _, first, parts in blocks)
+    n_asked = asked.count()
+    ask_blocks = max(1, math.ceil(n_asked / BLOCK_QUERIES))
+    of_cells = F.broadcast(spark.createDataFrame(blocks, "cell int, first int, parts int"))
+    placed_rows = rows.join(of_cells, "cell").select(
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("row_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))).alias("ask_block"),
         F.lit("r").alias("role"),
         F.col("id").cast("long").alias("key"),
+        "cell",
         "embedding",
     )
-    placed_asks = asked.join(sizes, "cell").select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("row_block"),
-        F.pmod(F.xxhash64("query_id"), F.col("ask_blocks")).alias("ask_block"),
+    placed_asks = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("row_block"),
+        F.pmod(F.xxhash64("query_id"), F.lit(ask_blocks)).cast("int").alias("ask_block"),
         F.lit("q").alias("role"),
         F.col("query_id").cast("long").alias("key"),
+        F.lit(-1).alias("cell"),
         "embedding",
     )
+    # As many tasks as bound the rows of one, whatever the size of the whole.
+    tasks = math.ceil((total * ask_blocks + n_asked * row_blocks) / (BLOCK_ROWS + BLOCK_QUERIES))
+    tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = (
         placed_rows.unionByName(placed_asks)
-        .groupBy("cell", "row_block", "ask_block")
-        .applyInPandas(_compared(k), "query_id long, id long, distance double")
+        .repartition(tasks, "row_block", "ask_block")
+        .groupBy("row_block", "ask_block")
+        .applyInPandas(_compared(k, probes, spark.sparkContext.broadcast(centroids)), "query_id long, id long, distance double")
     )
     return top_per_query(found, k)
 
