@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,20 @@ from codeloom.operators.store import Collection, latest
 
 DESCRIPTION = "Declarations of source files, encoded for nearest-neighbour questions"
 COLLECTION = "code_chunks"
+#: Characters of documents that one task encodes.
+CHARS_PER_TASK = 1 << 20
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks to encode the chunks of parsed requests in, so that one has about ``CHARS_PER_TASK`` characters of them.
+
+    Words and trigrams take a few hundred bytes for each character, and all of a task's chunks are counted together;
+    merged by their size in bytes, the tasks would take on more with every larger batch.
+    """
+    chars = F.aggregate("chunks", F.lit(0).cast("long"), lambda sum_, c: sum_ + F.coalesce(F.length(c["content"]), F.lit(0)))
+    total = rows.where(F.col("error").isNull()).agg(F.sum(chars)).first()[0] or 0
+    # Into the session's own number the rows are placed already: Spark would leave the step out, and merge.
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, math.ceil(total / CHARS_PER_TASK))
 
 
 def index_batch(
@@ -32,6 +47,7 @@ def index_batch(
     rows = parsed(requests).persist()
     try:
         newest = latest(accepted_chunks(rows, order), order=("position",))
+        newest = newest.repartition(_tasks(rows), "id")
         seq = collection.upsert(encoder.add_vectors(newest, "id", "document", placed=True), batch, unique=True)
         acks(rows).write.mode("overwrite").parquet(f"{ack_path}/batch_seq={seq}")
     finally:
