@@ -157,6 +157,17 @@ class _Sparse:
         self.sharing = threshold is not None and threshold <= 2.0
 
     def cells(self, batch: pa.RecordBatch, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, query, distance) of the cells. Rows are taken in parts of at most ``_CELLS`` postings, one row at least."""
+        ends = np.cumsum(np.asarray(batch.column(1).value_lengths()), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + _CELLS, "right")))
+            for row, query, found in self._cells(batch.slice(start, stop - start)):
+                yield start + row, query, found
+            start = stop
+
+    def _cells(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         buckets_of, weights_of = batch.column(1), batch.column(2)
         ends = np.concatenate([[0], np.cumsum(np.asarray(buckets_of.value_lengths()))])
         found = buckets_of.flatten().to_numpy(zero_copy_only=False)
