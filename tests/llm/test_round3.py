@@ -1,13 +1,16 @@
 """Exact duplicates, spelling variants and token alignment against plain versions."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD
+from sentencepiece import sentencepiece_model_pb2
 
 from codeloom.llm import exact_dedup, spelling_variants, token_alignment
 
@@ -257,3 +260,83 @@ def test_texts_are_encoded_in_bounded_parts(monkeypatch):
     assert [i for part in parts for i in range(len(texts))[part]] == list(range(len(texts)))
     assert all(sum(map(len, texts[part][:-1])) < 5 for part in parts)
     assert list(token_alignment._parts([])) == []
+
+
+UNIT_TEXTS = [
+    None,
+    "",
+    " ",
+    "one",
+    "one two one two, one two.\nOne two  three",
+    " leading and trailing ",
+    "naïve café é à — 東京 x 東京 y",
+    "a\u00a0b c\u2003d \u200be\x1cf \x1d g\u0085 h",
+    "half ▁ block▁s ▁x a▁ b",
+    "it's o' 's 'll x \t y \r\n z",
+    "<s> </s> <|endoftext|> <0x41> 12 345 +6",
+    "e\u0301 o\u0308 \u0301 x \U0001f600 y\U0001f600 z",
+]
+
+
+def test_units_give_what_whole_texts_give(encoders, monkeypatch):
+    assert encoders.cuts and encoders.cut("one two, é\nx  y z") == ["one", "two,", "é\nx  y", "z"]
+    texts = [t or "" for t in [*UNIT_TEXTS, *ALIGN_TEXTS]]
+    for remembered in (token_alignment.REMEMBERED, 3, 0):
+        monkeypatch.setattr(token_alignment, "REMEMBERED", remembered)
+        units = token_alignment.Units(encoders)
+        for some in (texts, texts[::-1], texts[3:5], [""], texts):
+            got = units.align(some)
+            ends = got.sizes.cumsum().tolist()
+            for i, text in enumerate(some):
+                of_text = slice(ends[i] - int(got.sizes[i]), ends[i])
+                links = zip(got.a[of_text].tolist(), got.b[of_text].tolist(), got.n[of_text].tolist(), strict=True)
+                links = Counter({(x, y): n for x, y, n in links})
+                assert (*got.counts[i].tolist(), got.groups[i], links) == plain_alignment(encoders, text), text
+    assert [plain_alignment(encoders, t)[0] > 0 for t in UNIT_TEXTS[7:9]] == [True, False]
+
+
+def test_words_are_encoded_once(monkeypatch):
+    given = {"a": 0, "b": 0}
+
+    class Counted:
+        def __init__(self, name, real):
+            self.name, self.real = name, real
+
+        def __getattr__(self, method):
+            def call(texts, **options):
+                given[self.name] += sum(map(len, texts))
+                return getattr(self.real, method)(texts, **options)
+
+            return call
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    of_batch, enc = token_alignment._work(*paths)(), token_alignment._units(*paths).enc
+    monkeypatch.setattr(enc, "a", Counted("a", enc.a))
+    monkeypatch.setattr(enc, "b", Counted("b", enc.b))
+    texts = [f"apples and pears, or plums {i % 7} times" for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert of_batch(batch).num_rows == 500
+    assert max(given.values()) < 200
+
+
+def test_texts_stay_whole_where_a_tokenizer_may_join_words(tmp_path):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    with open(a, encoding="utf-8") as file:
+        rules = json.load(file)
+    rules["added_tokens"].append(rules["added_tokens"][0] | {"id": 50257, "content": "two words", "special": False})
+    (tmp_path / "a.json").write_text(json.dumps(rules), encoding="utf-8")
+    assert not token_alignment._words_apart(str(tmp_path / "a.json"), b)
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(b, "rb") as file:
+        model.ParseFromString(file.read())
+    model.pieces[1000].piece = "e▁o"
+    (tmp_path / "b.model").write_bytes(model.SerializeToString())
+    assert not token_alignment._words_apart(a, str(tmp_path / "b.model"))
+    enc = token_alignment.Encoders(a, str(tmp_path / "b.model"))
+    text = "one two the one of the others, apple or eel"
+    assert enc.cut(text) == [text]
+    got = token_alignment.Units(enc).align([text, "one", text])
+    n_a, n_b, n_groups, groups, links = plain_alignment(enc, text)
+    assert n_a and got.counts[2].tolist() == [n_a, n_b, n_groups] and got.groups[0] == groups and got.groups[2] == groups
+    assert got.n[: got.sizes[0]].sum() == sum(links.values())
