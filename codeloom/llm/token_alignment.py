@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, map_texts, strings
+from codeloom.llm.common import checkpointed, strings
 
 #: Distinct id pairs that are sent to every task for the per-document sums; more are joined.
 MOST_PAIRS = 4_000_000
@@ -366,28 +366,26 @@ def _parts(texts: list[str]) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def _work(a_path: str, b_path: str) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
-    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+def _work(a_path: str, b_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(a_path, b_path)
-
-        def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        for batch in batches:
             texts = strings(batch.column("text"))
-            parts = [units.align(texts[part]) for part in _parts(texts)]
-            groups = list(chain.from_iterable(p.groups for p in parts))
-            counts = np.concatenate([p.counts for p in parts])
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate([p.sizes for p in parts])))).astype(np.int32)
-            links = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([p[k] for p in parts])) for k in (2, 3, 4)], names=["a", "b", "n"]
-            )
-            columns = [batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(3)), pa.array(groups, pa.string())]
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets), links))
-            return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
-
-        return of_batch
+            # A batch's links take many times its texts: each part leaves before the next one is aligned.
+            for part in _parts(texts):
+                yield _rows(batch.column("doc_id")[part], units.align(texts[part]))
 
     return work
 
 
+def _rows(doc_id: pa.Array, found: Aligned) -> pa.RecordBatch:
+    offsets = np.concatenate(([0], np.cumsum(found.sizes))).astype(np.int32)
+    links = pa.StructArray.from_arrays([pa.array(found.a), pa.array(found.b), pa.array(found.n)], names=["a", "b", "n"])
+    columns = [doc_id, *(pa.array(found.counts[:, k]) for k in range(3)), pa.array(found.groups, pa.string())]
+    columns.append(pa.ListArray.from_arrays(pa.array(offsets), links))
+    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+
+
 _SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -409,7 +407,7 @@ def _units(a_path: str, b_path: str) -> Units:
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per document: doc_id, n_a, n_b, n_groups, groups (``a1,a2|b1;...``), links (a, b, n: occurrences)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return map_texts(rows, ["doc_id", "text"], ALIGNED, _work(a_path, b_path))
+    return rows.mapInArrow(_work(a_path, b_path), ALIGNED)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
